@@ -84,5 +84,5 @@ def event_bucket_pivot(event_rows: DataFrame, params: CohortParams) -> DataFrame
     """
     labelled = with_bucket(event_rows, params)
     return labelled.groupBy(*COHORT_KEY).agg(*[
-        F.sum(F.when(F.col("d_cat") == bucket, F.col(metric))).alias(f"{metric}_{bucket}")
+        F.expr(f"sum({metric}) FILTER (WHERE d_cat = '{bucket}') AS {metric}_{bucket}")
         for bucket in params.buckets for metric in params.metric_names])

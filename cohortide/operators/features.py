@@ -34,31 +34,31 @@ def join_features(ltv: DataFrame, event_rows: DataFrame, sessions: DataFrame,
 
 
 def fused_features(events: DataFrame, params: CohortParams) -> DataFrame:
-    """The same wide table straight from events: one scan, three exchanges, no join.
+    """The same wide table straight from events: one scan and no join.
 
     Lifetime value, bucket sums and session averages share the cohort key, and all derive from
-    the user timeline at one-second slots. So events are merged per (user, second, dimensions),
-    ordered per user once, rolled up per session on the same partitioning, and combined per
-    cohort. Only cross-user gaps need the three-table form.
+    the user timeline. So events are merged per second and then per slot, ordered per user once,
+    rolled up per session on the same partitioning, and combined per cohort: four exchanges, each
+    of already merged rows. Only cross-user gaps need the three-table form.
     """
     if params.cross_user_gaps:
         raise ValueError("cross-user gaps pool all users; use join_features")
-    timeline = user_timeline(events, params, MICROS_PER_SECOND, metrics=True, revenue=True)
+    timeline = user_timeline(events, params, metrics=True, revenue=True)
     rows = with_earned_seconds(with_sessions(timeline, params)).where(has_dimensions())
     day = day_number(F.col("activity_day"), F.col("first_touch_date"))
-    rows = rows.withColumn("d_cat", bucket_label(day, params.day_edges)).withColumn(
-        "young", day <= params.lifetime_days)
+    young = (day <= params.lifetime_days) & (F.col("timed_rows") > 0)
+    rows = rows.withColumns({"d_cat": bucket_label(day, params.day_edges),
+                             "young_sec": F.when(young, F.col("earned_sec"))})
     columns = [(f"{m.name}_{b}", m.name, b) for b in params.buckets for m in params.summed_metrics]
-    young_sec = F.when(F.col("young") & (F.col("timed_rows") > 0), F.col("earned_sec"))
     per_session = rows.groupBy(*COHORT_KEY, USER, "user_session_id").agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        F.sum("earn_rows").alias("earn_rows"), F.sum(young_sec).alias("young_sec"),
-        *[F.sum(F.when(F.col("d_cat") == b, F.col(m))).alias(name) for name, m, b in columns])
+        F.sum("earn_rows").alias("earn_rows"), F.sum("young_sec").alias("young_sec"),
+        *[F.expr(f"sum({m}) FILTER (WHERE d_cat = '{b}') AS {name}") for name, m, b in columns])
     seconds = elapsed_whole(F.col("last_ts") - F.col("first_ts"), MICROS_PER_SECOND)
     totals = per_session.groupBy(*COHORT_KEY).agg(
         F.sum("earn_rows").alias("earn_rows"), F.sum("young_sec").alias("young_sec"),
         F.sum(seconds).alias("seconds"), F.sum("user_session_id").alias("ordinals"),
-        F.count(F.lit(1)).alias("sessions"), *[F.sum(name).alias(name) for name, _, _ in columns])
+        F.count(F.lit(1)).alias("sessions"), *[F.expr(f"sum({name}) AS {name}") for name, _, _ in columns])
     # A cohort is listed when it has at least one earning row, on whatever day.
     wide = totals.where(F.col("earn_rows") > 0).select(
         *COHORT_KEY, dollars(F.col("young_sec"), params).alias(TARGET),

@@ -3,8 +3,7 @@
 Each earning row is worth the whole seconds since the previous earning row of the same session
 times a fixed rate. Gaps inside one second truncate to zero, so only the first and last instant
 of each second matter: events are merged per (user, second, dimensions) by a map-side combined
-aggregation before anything is ordered, and a user can never bring more than 86,400 rows a day
-per dimension combination to its window task.
+aggregation before anything is ordered.
 
 Seconds are summed as integers and multiplied by the rate once, so the result does not depend on
 the order of additions.
@@ -23,37 +22,30 @@ from cohortide.params import COHORT_KEY, DIMENSIONS, TARGET, CohortParams
 
 
 def with_earned_seconds(sessions: DataFrame) -> DataFrame:
-    """Add ``earned_sec`` and ``timed_rows`` to one-second session rows.
+    """Add ``earned_sec`` and ``timed_rows`` to the slots of a timeline cut into sessions.
 
+    A slot earns what lies between its own rows plus the gap to the last earning row of an
+    earlier slot of the same session, which goes to the dimensions of the slot's first row.
     ``timed_rows`` counts the earning rows that have a predecessor in their session; a sum over
-    no such row is NULL rather than 0. Among rows that share a second only the earliest carries
-    the gap (ties broken by the dimensions), the others are 0.
+    no such row is NULL rather than 0.
     """
+    none = F.lit(0).cast("bigint")
     instant = F.when(F.col("earn_rows") > 0, F.struct("earn_first", *DIMENSIONS))
-    marked = (
-        sessions
-        .withColumn("instant", instant)
-        .withColumn("slot_instant", F.min("instant").over(per_user_by_slot(0, 0)))
-        .withColumn("earned_until", F.max("earn_last").over(per_user_by_slot(None, -1)))
-    )
+    marked = sessions.withColumns({
+        "leads": instant == F.min(instant).over(per_user_by_slot(0, 0)),
+        "earned_until": F.max("earn_last").over(per_user_by_slot(None, -1)),
+    })
     same_session = F.col("earned_until") >= F.col("session_start")
-    gap = F.when(same_session, elapsed_whole(F.col("earn_first") - F.col("earned_until"),
-                                             MICROS_PER_SECOND))
-    leads = F.col("instant") == F.col("slot_instant")
-    return (
-        marked
-        .withColumn("gap", F.when(leads, gap).otherwise(F.lit(0).cast("bigint")))
-        .withColumn("earned_sec", F.when(F.col("earn_rows") > 0,
-                                         F.coalesce("gap", F.lit(0).cast("bigint")))
-                    .otherwise(F.lit(0).cast("bigint")))
-        .withColumn("timed_rows", F.when(F.col("gap").isNull(), F.col("earn_rows") - 1)
-                    .otherwise(F.col("earn_rows")))
-        .drop("instant", "slot_instant", "earned_until", "gap")
-    )
+    since = elapsed_whole(F.col("earn_first") - F.col("earned_until"), MICROS_PER_SECOND)
+    gap = F.when(F.col("leads"), F.when(same_session, since)).otherwise(none)
+    return marked.withColumns({
+        "earned_sec": F.coalesce(gap, none) + F.coalesce("inner_sec", none),
+        "timed_rows": F.col("earn_rows") - gap.isNull().cast("bigint"),
+    }).drop("leads", "earned_until")
 
 
 def _per_session_seconds(events: DataFrame, params: CohortParams) -> DataFrame:
-    timeline = user_timeline(events, params, MICROS_PER_SECOND, revenue=True)
+    timeline = user_timeline(events, params, revenue=True)
     return (with_earned_seconds(with_sessions(timeline, params))
             .where(F.col("earn_rows") > 0)
             .select(USER, *COHORT_KEY, "activity_day", "earned_sec", "timed_rows"))

@@ -2,16 +2,20 @@
 
 A session starts at a user's first event and wherever the gap to the previous event reaches
 ``gap_minutes``. Ordering a user's raw events in one window task would make that task as large as
-the busiest user. Instead the work is done in two steps that stay bounded whatever the skew:
+the busiest user. Instead the work is done in steps that stay bounded whatever the skew:
 
 1. Events are merged per (user, slot, dimensions) by an ordinary aggregation. Spark combines on
    the map side, so a user holding a third of all events leaves each map task as a few rows.
 2. The merged rows are ordered per user. A slot is no longer than the gap, so it lies wholly in
-   one session, and the rows per user are bounded by the calendar (16 slots a day for the
-   90-minute gap, 86,400 for one-second slots) times the dimension values a user shows.
+   one session, and a user has at most 16 slots a day for the 90-minute gap, times the dimension
+   values the user shows.
 
-Session number, first-touch date and session start all come from that one window stage: no
-self-join for the first-touch date, and no second pass over the events.
+Revenue needs the order of events inside a slot as well. It is told by whole seconds, so events
+are first merged per (user, second, dimensions), ordered within one (user, slot) - at most 5,400
+seconds - and only then merged to slots.
+
+Session number, first-touch date and session start all come from one window stage: no self-join
+for the first-touch date, and no second pass over the events.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortide.functions.time import (MINUTE_MICROS, session_slot_width, slot_start, utc_day,
-                                      year_start_micros)
+from cohortide.functions.time import (MICROS_PER_SECOND, MINUTE_MICROS, elapsed_whole,
+                                      session_slot_width, slot_start, utc_day, year_start_micros)
 from cohortide.params import DIMENSIONS, CohortParams, MetricSpec
 
 USER = "user_pseudo_id"
@@ -61,7 +65,7 @@ def explode_params(events: DataFrame, names: Sequence[str] | None = None,
     return rows if keys is None else rows.where(F.col("event_key").isin(list(keys)))
 
 
-def _metric_sum(spec: MetricSpec) -> Column:
+def metric_sum(spec: MetricSpec) -> Column:
     """Sum over the matching parameter rows, NULL when there is none. Millisecond sums stay
     integers here; they become decimal seconds once, at the end."""
     reading = F.col(f"param.value.{VALUE_FIELDS[spec.field]}")
@@ -70,34 +74,34 @@ def _metric_sum(spec: MetricSpec) -> Column:
     return F.sum(F.when(hit, value)).alias(spec.name)
 
 
-def user_timeline(events: DataFrame, params: CohortParams, slot_micros: int | None = None,
-                  metrics: bool = False, revenue: bool = False,
-                  dims: Sequence[str] = DIMENSIONS) -> DataFrame:
+def user_timeline(events: DataFrame, params: CohortParams, metrics: bool = False,
+                  revenue: bool = False, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Merge events per (user, slot, dimensions).
 
     Columns: the grouping key, ``first_any`` (earliest event of any kind), ``first_ts`` and
     ``last_ts`` (events that carry parameters, which alone form sessions) and, on request,
-    ``matched`` with one column per engagement metric, and ``earn_first``, ``earn_last``,
-    ``earn_rows`` for revenue-eligible parameter rows.
+    ``matched`` with one column per engagement metric, and for revenue-eligible parameter rows
+    ``earn_first``, ``earn_last``, ``earn_rows`` and ``inner_sec`` (seconds between such rows of
+    the slot).
 
     Only parameter rows that some requested column reads survive the explode, plus the first of
     each event, so the aggregation sees about one row per event rather than one per parameter.
     Users installed before the install year are dropped later on, so their earlier events are
     merged into a single row that serves just to disqualify them.
     """
-    width = slot_micros or session_slot_width(params.gap_minutes)
-    assert width <= params.gap_minutes * MINUTE_MICROS
+    width = session_slot_width(params.gap_minutes)
+    unit = MICROS_PER_SECOND if revenue else width
     flat = flatten_events(events)
     ts = F.col("event_timestamp")
     opens = year_start_micros(params.install_year)
     if params.cross_user_gaps:
         # Gaps are measured across users of any year here, so nothing may be left out.
-        live, slot = F.lit(True), slot_start(ts, width)
+        live, slot = F.lit(True), slot_start(ts, unit)
     else:
         # No user id means no install date, and such rows never reach a result.
         flat = flat.where(F.col(USER).isNotNull())
         live = ts >= opens
-        slot = F.when(live, slot_start(ts, width)).otherwise(F.lit(opens - width))
+        slot = F.when(live, slot_start(ts, unit)).otherwise(F.lit(opens - width))
     base = [F.col(USER), slot.alias("slot"), ts.alias("event_timestamp"),
             *[F.when(live, F.col(d)).alias(d) for d in dims]]
 
@@ -123,14 +127,43 @@ def user_timeline(events: DataFrame, params: CohortParams, slot_micros: int | No
     when_ts = F.when(F.col("real"), F.col("event_timestamp"))
     aggs = [F.min("event_timestamp").alias("first_any"), F.min(when_ts).alias("first_ts"),
             F.max(when_ts).alias("last_ts")]
+    sums = []
     if metrics:
         aggs.append(F.sum(F.when(matched, 1).otherwise(0)).alias("matched"))
-        aggs += [_metric_sum(m) for m in params.summed_metrics]
-    if revenue:
-        earn_ts = F.when(earns, F.col("event_timestamp"))
-        aggs += [F.min(earn_ts).alias("earn_first"), F.max(earn_ts).alias("earn_last"),
-                 F.count(earn_ts).alias("earn_rows")]
-    return rows.groupBy(USER, "slot", *dims).agg(*aggs)
+        aggs += [metric_sum(m) for m in params.summed_metrics]
+        sums += ["matched", *[m.name for m in params.summed_metrics]]
+    if not revenue:
+        return rows.groupBy(USER, "slot", *dims).agg(*aggs)
+    earn_ts = F.when(earns, F.col("event_timestamp"))
+    aggs += [F.min(earn_ts).alias("earn_first"), F.max(earn_ts).alias("earn_last"),
+             F.count(earn_ts).alias("earn_rows")]
+    seconds = rows.groupBy(USER, F.col("slot").alias("second"), *dims).agg(*aggs)
+    return merge_seconds(seconds, width, dims, [*sums, "earn_rows"])
+
+
+def merge_seconds(seconds: DataFrame, width: int, dims: Sequence[str], sums: Sequence[str]
+                  ) -> DataFrame:
+    """Order the seconds within each (user, slot) and merge them to slots.
+
+    ``inner_sec`` adds up the whole seconds from each earning row to the one before it in the
+    slot. Gaps inside one second are 0, so only the earliest row of a second (ties broken by the
+    dimensions) can carry one. The slot's very first earning row has none yet; what precedes it
+    lies in an earlier slot.
+    """
+    within = Window.partitionBy(USER, "slot").orderBy("second")
+    instant = F.when(F.col("earn_rows") > 0, F.struct("earn_first", *dims))
+    ordered = seconds.withColumn("slot", slot_start(F.col("second"), width)).withColumns({
+        "leads": instant == F.min(instant).over(within.rangeBetween(0, 0)),
+        "earned_until": F.max("earn_last").over(
+            within.rangeBetween(Window.unboundedPreceding, -1)),
+    })
+    gap = elapsed_whole(F.col("earn_first") - F.col("earned_until"), MICROS_PER_SECOND)
+    return ordered.groupBy(USER, "slot", *dims).agg(
+        F.min("first_any").alias("first_any"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), F.min("earn_first").alias("earn_first"),
+        F.max("earn_last").alias("earn_last"),
+        F.sum(F.when(F.col("leads"), gap)).alias("inner_sec"),
+        *[F.expr(f"sum({name}) AS {name}") for name in sums])
 
 
 def per_user_by_slot(lower: int | None = None, upper: int | None = 0):
@@ -148,30 +181,28 @@ def with_sessions(timeline: DataFrame, params: CohortParams, all_years: bool = F
     """
     ordered = Window.partitionBy(USER).orderBy("slot")
     gap = params.gap_minutes * MINUTE_MICROS
-    cut = (
-        timeline
-        .withColumn("slot_first", F.min("first_ts").over(per_user_by_slot(0, 0)))
-        .withColumn("seen_until", F.max("last_ts").over(per_user_by_slot(None, -1)))
-        .withColumn("user_first", F.min("first_any").over(per_user_by_slot(None, None)))
-        .withColumn("slot_before", F.lag("slot").over(ordered))
-    )
+    cut = timeline.withColumns({
+        "slot_first": F.min("first_ts").over(per_user_by_slot(0, 0)),
+        "seen_until": F.max("last_ts").over(per_user_by_slot(None, -1)),
+        "user_first": F.min("first_any").over(per_user_by_slot(None, None)),
+        "slot_before": F.lag("slot").over(ordered),
+    })
     fresh = F.col("slot_first").isNotNull() & (
         F.col("seen_until").isNull() | (F.col("slot_first") - F.col("seen_until") >= gap))
     # One of the peers of a slot has another slot before it; only that one counts the session.
     leads = F.col("slot_before").isNull() | (F.col("slot_before") != F.col("slot"))
     upto = per_user_by_slot(None, 0)
-    numbered = (
-        cut
-        .withColumn("user_session_id",
-                    F.sum(F.when(fresh & leads, 1).otherwise(0).cast("bigint")).over(upto))
-        .withColumn("session_start", F.max(F.when(fresh, F.col("slot_first"))).over(upto))
-        .withColumn("first_touch_date",
-                    F.when(F.col(USER).isNotNull(), utc_day(F.col("user_first"))))
-        .where(F.col("first_ts").isNotNull())
-    )
+    numbered = cut.withColumns({
+        "user_session_id":
+            F.sum(F.when(fresh & leads, 1).otherwise(0).cast("bigint")).over(upto),
+        "session_start": F.max(F.when(fresh, F.col("slot_first"))).over(upto),
+        "first_touch_date": F.when(F.col(USER).isNotNull(), utc_day(F.col("user_first"))),
+        "activity_day": utc_day(F.col("slot")),
+    })
+    kept = F.col("first_ts").isNotNull()
     if not all_years:
-        numbered = numbered.where(F.year("first_touch_date") == params.install_year)
-    return numbered.withColumn("activity_day", utc_day(F.col("slot"))).drop(
+        kept = kept & (F.year("first_touch_date") == params.install_year)
+    return numbered.where(kept).drop(
         "slot_first", "seen_until", "user_first", "slot_before", "first_any")
 
 

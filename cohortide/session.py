@@ -1,4 +1,4 @@
-"""Spark session defaults and the shared folder for intermediate tables."""
+"""Session defaults and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture costs more than planning for queries of this many columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
