@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortide.sources.schemas import PREDICTION
 
 REQUEST_JOBS = ("session", "event", "ltv")
+# A missing prediction needs a spelling: a lone empty cell would be read back as no row at all.
+CSV = {"header": "true", "nullValue": "NULL"}
 
 
 def read_table(spark: SparkSession, name: str, namespace: str | None = None,
@@ -44,13 +46,13 @@ def read_request_tables(spark: SparkSession, root: str, request_id: str) -> dict
 
 def write_prediction(df: DataFrame, root: str, request_id: str) -> str:
     path = f"{root}/{request_id}/prediction"
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
     return path
 
 
 def read_prediction(spark: SparkSession, root: str, request_id: str) -> DataFrame:
     """The stored prediction as a done message's columns."""
-    return (spark.read.schema(PREDICTION).option("header", True)
+    return (spark.read.schema(PREDICTION).options(**CSV)
             .csv(f"{root}/{request_id}/prediction")
             .select(F.lit(request_id).alias("data_id"), "predicted_ltv"))
 
