@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortide.functions.time import (DAY_MICROS, MICROS_PER_SECOND, day_number, elapsed_whole,
                                       session_slot_width, slot_start, utc_day)
 from cohortide.operators.event_metrics import has_dimensions
-from cohortide.operators.timeline import (USER, explode_params, per_user_by_slot, session_slots,
-                                          user_timeline, with_sessions)
+from cohortide.operators.timeline import (USER, explode_params, session_slots, user_timeline,
+                                          with_sessions)
 from cohortide.params import COHORT_KEY, DIMENSIONS, TARGET, CohortParams
+from cohortide.session import materialize
 
 
 def with_earned_seconds(sessions: DataFrame) -> DataFrame:
@@ -30,18 +31,13 @@ def with_earned_seconds(sessions: DataFrame) -> DataFrame:
     no such row is NULL rather than 0.
     """
     none = F.lit(0).cast("bigint")
-    instant = F.when(F.col("earn_rows") > 0, F.struct("earn_first", *DIMENSIONS))
-    marked = sessions.withColumns({
-        "leads": instant == F.min(instant).over(per_user_by_slot(0, 0)),
-        "earned_until": F.max("earn_last").over(per_user_by_slot(None, -1)),
-    })
     same_session = F.col("earned_until") >= F.col("session_start")
     since = elapsed_whole(F.col("earn_first") - F.col("earned_until"), MICROS_PER_SECOND)
-    gap = F.when(F.col("leads"), F.when(same_session, since)).otherwise(none)
-    return marked.withColumns({
+    gap = F.when(F.col("earn_leads"), F.when(same_session, since)).otherwise(none)
+    return sessions.withColumns({
         "earned_sec": F.coalesce(gap, none) + F.coalesce("inner_sec", none),
         "timed_rows": F.col("earn_rows") - gap.isNull().cast("bigint"),
-    }).drop("leads", "earned_until")
+    }).drop("earn_leads", "earned_until")
 
 
 def _per_session_seconds(events: DataFrame, params: CohortParams) -> DataFrame:
@@ -72,9 +68,11 @@ def _pooled_seconds(events: DataFrame, params: CohortParams) -> DataFrame:
     numbers = session_slots(events, params, all_years=True).select(
         F.col(USER).alias("session_user"), F.col("slot").alias("session_slot"),
         "first_touch_date", "user_session_id")
-    rows = earning.join(
+    # Read twice below, with different columns: written once instead of computed twice.
+    rows = materialize(earning.join(
         numbers, F.col(USER).eqNullSafe(F.col("session_user"))
-        & (F.col("slot") == F.col("session_slot"))).drop("session_user", "session_slot", "slot")
+        & (F.col("slot") == F.col("session_slot"))).drop("session_user", "session_slot", "slot"),
+        "earning")
 
     order = ["earn_first", USER, *DIMENSIONS]
     heads = rows.groupBy("user_session_id", "second").agg(

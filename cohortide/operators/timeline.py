@@ -177,16 +177,23 @@ def per_user_by_slot(lower: int | None = None, upper: int | None = 0):
 def with_sessions(timeline: DataFrame, params: CohortParams, all_years: bool = False) -> DataFrame:
     """Add ``user_session_id``, ``session_start``, ``first_touch_date`` and ``activity_day``.
 
-    All windows share one partitioning and ordering, hence one exchange and one sort.
+    A revenue timeline also gets ``earn_leads`` (is this the slot's earliest earning row) and
+    ``earned_until`` (last earning instant of the user's earlier slots). All windows share one
+    partitioning and ordering, hence one exchange and one sort.
     """
     ordered = Window.partitionBy(USER).orderBy("slot")
     gap = params.gap_minutes * MINUTE_MICROS
-    cut = timeline.withColumns({
+    windows = {
         "slot_first": F.min("first_ts").over(per_user_by_slot(0, 0)),
         "seen_until": F.max("last_ts").over(per_user_by_slot(None, -1)),
         "user_first": F.min("first_any").over(per_user_by_slot(None, None)),
         "slot_before": F.lag("slot").over(ordered),
-    })
+    }
+    if "earn_rows" in timeline.columns:
+        instant = F.when(F.col("earn_rows") > 0, F.struct("earn_first", *DIMENSIONS))
+        windows["earn_leads"] = instant == F.min(instant).over(per_user_by_slot(0, 0))
+        windows["earned_until"] = F.max("earn_last").over(per_user_by_slot(None, -1))
+    cut = timeline.withColumns(windows)
     fresh = F.col("slot_first").isNotNull() & (
         F.col("seen_until").isNull() | (F.col("slot_first") - F.col("seen_until") >= gap))
     # One of the peers of a slot has another slot before it; only that one counts the session.

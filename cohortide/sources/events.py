@@ -11,15 +11,23 @@ from cohortide.session import pin_utc
 from cohortide.sources.schemas import EVENTS, PARAM
 
 
-def read_events(spark: SparkSession, paths: str | Sequence[str],
-                fmt: str = "parquet") -> DataFrame:
+def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str = "parquet",
+                since: str | None = None, until: str | None = None,
+                day_column: str = "event_date") -> DataFrame:
     """Union of all daily shards that the path globs match, e.g. ``.../events_*``.
 
     The declared schema names only the nested fields the queries touch, so the scan reads no
-    others. With date-partitioned directories, filter on the partition column before use.
+    others. ``since`` and ``until`` prune a log partitioned by ``day_column``. Mind that first
+    touch needs every earlier day and session averages every later one: prune only days that
+    the question leaves out on purpose.
     """
     globs = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format(fmt).schema(EVENTS).load(globs)
+    rows = spark.read.format(fmt).schema(EVENTS).load(globs)
+    if since is not None:
+        rows = rows.where(F.col(day_column) >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.where(F.col(day_column) <= F.lit(until).cast("date"))
+    return rows.select(*EVENTS.fieldNames())
 
 
 # The driver tables have event types and one integer property instead of game events. These

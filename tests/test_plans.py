@@ -62,6 +62,17 @@ def test_scan_reads_only_what_the_query_needs(stored):
     assert "PushedFilters: [IsNotNull(user_pseudo_id)]" in plan
 
 
+def test_day_partitions_are_pruned(spark, tmp_path):
+    log = [event("u", f"2018-07-0{d} 10:00:00") for d in (1, 2, 3)]
+    frame(spark, log).withColumn(
+        "event_date", F.timestamp_micros("event_timestamp").cast("date")).write.partitionBy(
+        "event_date").parquet(str(tmp_path / "log"))
+    some = read_events(spark, str(tmp_path / "log"), since="2018-07-02", until="2018-07-02")
+    assert some.count() == 1
+    filters = re.search(r"PartitionFilters: (.*?), PushedFilters", plan_of(some)).group(1)
+    assert "event_date" in filters
+
+
 def test_every_shuffle_of_events_is_preceded_by_a_map_side_merge(stored):
     """The first exchange above the scan carries partial aggregates, not raw rows."""
     for name in ("session", "event", "ltv", "fused"):
