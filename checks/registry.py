@@ -15,7 +15,8 @@ from cohortide.params import COHORT_KEY, SESSION_AVERAGES, TARGET, CohortRequest
 from cohortide.plans import cohort_queries, feature_build, model_selection, scoring
 from cohortide.session import materialize, pin_utc, scratch_path
 from cohortide.sources import messages as msg, tables
-from cohortide.sources.events import TABLE_PARAMS as P, events_from_tables, table
+from cohortide.sources.events import (CUSTOMER, NATION, TABLE_PARAMS as P, events_from_tables,
+                                      table)
 from cohortide.streaming import routing, state
 from cohortide.streaming.loop import LoopPaths, start_loop
 
@@ -26,8 +27,8 @@ METRICS = P.metric_names
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, so that both engines hash the same type."""
-    return df.select(*[F.col(n).cast("double").alias(n) if t.startswith("decimal") else F.col(n)
-                       for n, t in df.dtypes])
+    return df.withColumns({n: F.col(n).cast("double")
+                           for n, t in df.dtypes if t.startswith("decimal")})
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,7 +217,8 @@ def forest_predictions(spark, folder):
 def requests(spark, folder):
     """One cohort request per customer."""
     pin_utc(spark)
-    customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
+    customer = table(spark, folder, "customer", CUSTOMER)
+    nation = table(spark, folder, "nation", NATION)
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("request_id"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 4).cast("int"))

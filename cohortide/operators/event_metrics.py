@@ -19,11 +19,13 @@ def has_dimensions() -> Column:
     return known
 
 
-def reported(spec: MetricSpec, params: CohortParams, total) -> Column:
-    """The output value of a metric; ``total(name)`` gives the integer sum behind it."""
-    source = spec.name if params.corrected_metrics or not spec.mirrors else spec.mirrors
-    value = total(source)
-    return (value.cast(DECIMAL) / 1000).cast(DECIMAL) if spec.how == "milli_sum" else value
+def reported(spec: MetricSpec, params: CohortParams, suffix: str = "") -> Column:
+    """The output column of a metric, from the integer sum column ``<metric><suffix>``."""
+    source = spec.mirrors if spec.mirrors and not params.corrected_metrics else spec.name
+    total = f"{source}{suffix}"
+    if spec.how == "milli_sum":
+        total = f"CAST(CAST({total} AS {DECIMAL}) / 1000 AS {DECIMAL})"
+    return F.expr(f"{total} AS {spec.name}{suffix}")
 
 
 def event_session_metrics(events: DataFrame, params: CohortParams) -> DataFrame:
@@ -33,7 +35,7 @@ def event_session_metrics(events: DataFrame, params: CohortParams) -> DataFrame:
     yields a row per day. Everything after the per-user window stays on the same partitioning.
     """
     sessions = with_sessions(user_timeline(events, params, metrics=True), params)
-    sums = [F.sum(m.name).alias(m.name) for m in params.summed_metrics]
+    sums = [F.expr(f"sum({m.name}) AS {m.name}") for m in params.summed_metrics]
     per_day = (
         sessions.where(has_dimensions())
         .groupBy(USER, "first_touch_date", "activity_day", "user_session_id", *DIMENSIONS)
@@ -44,7 +46,7 @@ def event_session_metrics(events: DataFrame, params: CohortParams) -> DataFrame:
     return with_launch_day(per_day, params).select(
         USER, "first_touch_date", "activity_day", "day_after_launch", *flags,
         "user_session_id", *DIMENSIONS,
-        *[reported(m, params, F.col).alias(m.name) for m in params.metrics],
+        *[reported(m, params) for m in params.metrics],
     )
 
 

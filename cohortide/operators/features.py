@@ -62,8 +62,7 @@ def fused_features(events: DataFrame, params: CohortParams) -> DataFrame:
     # A cohort is listed when it has at least one earning row, on whatever day.
     wide = totals.where(F.col("earn_rows") > 0).select(
         *COHORT_KEY, dollars(F.col("young_sec"), params).alias(TARGET),
-        *[reported(m, params, lambda name, b=b: F.col(f"{name}_{b}")).alias(f"{m.name}_{b}")
-          for b in params.buckets for m in params.metrics],
+        *[reported(m, params, f"_{b}") for b in params.buckets for m in params.metrics],
         (F.col("seconds") / F.col("sessions")).alias("avg_session_duration_sec"),
         (F.col("ordinals") / F.col("sessions")).alias("avg_sessions_count"))
     return finish_features(wide, params)

@@ -55,16 +55,21 @@ TABLE_PARAMS = CohortParams(
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+LOG = "ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+NATION = "n_nationkey int, n_name string"
+
+
+def table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
 
 
 def events_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The driver's ``events``, ``customer`` and ``nation`` tables as canonical events."""
     pin_utc(spark)
-    raw = table(spark, folder, "events").select("ts", "user_id", "event_type", "value", "props")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    raw = table(spark, folder, "events", LOG)
+    customer = table(spark, folder, "customer", CUSTOMER)
+    nation = table(spark, folder, "nation", NATION)
     # One table at a time, so that the planner sees each side's real size: it broadcasts the ones
     # under its threshold and sort-merges (with skew splitting) the rest.
     joined = (raw.join(customer, F.col("user_id") == F.col("c_custkey"), "left")
@@ -92,4 +97,4 @@ def events_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-__all__ = ["PARAM", "TABLE_PARAMS", "events_from_tables", "read_events", "table"]
+__all__ = ["CUSTOMER", "NATION", "PARAM", "TABLE_PARAMS", "events_from_tables", "read_events", "table"]
