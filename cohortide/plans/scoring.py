@@ -9,8 +9,8 @@ from cohortide.models.prepare import vectors
 from cohortide.operators.features import join_features
 from cohortide.params import COHORT_KEY, CohortParams, CohortRequest
 from cohortide.plans.cohort_queries import QUERIES
-from cohortide.sources.tables import (read_prediction, read_request_tables, write_prediction,
-                                      write_request_table)
+from cohortide.sources.tables import (read_prediction, read_request_tables, write_by_request,
+                                      write_prediction, write_request_table)
 
 
 def predict(wide: DataFrame, model: Model, params: CohortParams) -> DataFrame:
@@ -47,6 +47,15 @@ def prepare_request(events: DataFrame, params: CohortParams, request: CohortRequ
         write_request_table(query(events, params, request), root, request_id, job)
 
 
+def prepare_requests(events: DataFrame, params: CohortParams, requests: DataFrame, root: str
+                     ) -> None:
+    """The same for any number of requests: each query runs once over all cohorts and its rows go
+    to every request that asked for them, one directory per request."""
+    for job, query in QUERIES.items():
+        rows = query(events, params).join(requests, list(COHORT_KEY))
+        write_by_request(rows, f"{root}/{job}")
+
+
 def predict_request(spark: SparkSession, root: str, request_id: str, model: Model,
                     params: CohortParams) -> DataFrame:
     """Score a prepared request folder, store the prediction, return the done message's columns."""

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ from cohortide.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

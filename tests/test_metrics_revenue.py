@@ -5,7 +5,8 @@ import pytest
 
 from cohortide.operators.event_metrics import (complete_buckets, event_bucket_pivot,
                                                event_session_metrics, missing_buckets)
-from cohortide.operators.features import fused_features, join_features, to_long
+from cohortide.operators.features import (finish_features, fused_features, join_features,
+                                          to_long)
 from cohortide.operators.quality import dq_profile, duplicate_cohorts
 from cohortide.operators.revenue import cohort_ltv, dedupe_ltv, revenue_daily
 from cohortide.operators.session_metrics import session_cohort_metrics
@@ -135,3 +136,15 @@ def test_profile_is_aware_of_types(spark):
          (None, "fine", 2, None)],
         "first_touch_date date, country string, n long, v double")
     assert dq_profile(df).collect()[0].asDict() == {"country": 2, "n": 1, "v": 2}
+
+
+def test_missing_and_nan_numbers_become_zero_and_text_stays(spark):
+    names = [*COHORT_KEY, TARGET, *PARAMS.feature_columns]
+    values = ", ".join(
+        [f"CAST({'NULL' if i % 2 else chr(39) + 'NaN' + chr(39)} AS DOUBLE) AS {n}"
+         for i, n in enumerate([TARGET, *PARAMS.feature_columns])])
+    raw = spark.sql(f"SELECT DATE'2018-07-01' AS first_touch_date, CAST(NULL AS STRING) AS "
+                    f"traffic_source, 'IOS' AS os, '' AS country, {values}")
+    row = finish_features(raw, PARAMS).collect()[0]
+    assert row.traffic_source is None and row.country == "Rest of the World"
+    assert [row[n] for n in names[4:]] == [0.0] * (len(names) - 4)

@@ -9,6 +9,7 @@ from cohortide.operators.features import fused_features
 from cohortide.params import COHORT_KEY, CohortRequest
 from cohortide.plans import scoring
 from cohortide.plans.cohort_queries import QUERIES
+from cohortide.plans.feature_build import store_features
 from cohortide.sources import messages as msg, tables
 from cohortide.streaming import routing, state
 from cohortide.streaming.loop import LoopPaths, start_loop
@@ -128,6 +129,33 @@ def test_requested_cohort_is_the_same_rows_of_the_full_query(spark, fitted):
         assert sorted(map(repr, some)) == sorted(map(repr, every)) and some
 
 
+def test_many_requests_are_prepared_together(spark, fitted, tmp_path):
+    events, wide, _ = fitted
+    some = wide.where("country <> 'Rest of the World'").select(*COHORT_KEY).limit(2).collect()
+    asked = spark.createDataFrame(
+        [("a", *some[0]), ("b", *some[0]), ("c", *some[1])],
+        "request_id string, first_touch_date date, traffic_source string, os string, "
+        "country string")
+    scoring.prepare_requests(events, PARAMS, asked, str(tmp_path))
+    for job, query in QUERIES.items():
+        for name, cohort in (("a", some[0]), ("b", some[0]), ("c", some[1])):
+            got = spark.read.parquet(f"{tmp_path}/{job}").where(f"request_id = '{name}'")
+            want = query(events, PARAMS, CohortRequest(*cohort))
+            columns = want.columns
+            assert sorted(map(repr, got.select(*columns).collect())) == sorted(
+                map(repr, want.collect()))
+
+
+def test_feature_tables_are_stored_once(spark, fitted):
+    events, wide, _ = fitted
+    stored = store_features(events, PARAMS, "wide_t", "long_t")
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, wide.collect()))
+    assert spark.table("wide_t").count() == wide.count()
+    assert spark.table("long_t").count() == wide.count() * len(PARAMS.metric_columns)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        store_features(events, PARAMS, "wide_t", "long_t")
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "n long, s string")
     where = {"path": str(tmp_path / "t")}
