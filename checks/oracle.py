@@ -324,6 +324,7 @@ def statements() -> dict[str, str]:
         "cohort_ltv_dedup": f"WITH {_revenue_cte(PER_USER)} {ltv} ltv_best",
         "features_wide": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
         "features_wide_joined": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
+        "features_from_timeline": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
         "features_wide_pooled": f"WITH {_wide_cte(POOLED)} SELECT {WIDE_COLUMNS} FROM wide",
         "features_long": f"WITH {WIDE} {_unpivoted()}",
         "cohort_filtered_session":

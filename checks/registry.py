@@ -43,12 +43,15 @@ def on_events(operator, params=P):
     return lambda spark, folder: plain(operator(events_from_tables(spark, folder), params))
 
 
-def on_event_rows(operator, *columns):
-    def run(spark, folder):
-        rows = event_metrics.event_session_metrics(events_from_tables(spark, folder), P)
-        out = operator(rows, P)
-        return plain(out.select(*columns) if columns else out)
-    return run
+def on_event_rows(operator):
+    return on_events(lambda e, p: operator(event_metrics.event_session_metrics(e, p), p))
+
+
+def bucket_completion(spark, folder):
+    rows = event_metrics.event_session_metrics(events_from_tables(spark, folder), P)
+    done = event_metrics.complete_buckets(materialize(rows, "event-rows"), P)
+    return plain(done.select(*COHORT_KEY, "user_pseudo_id", "user_session_id", "activity_day",
+                             "d_cat", *METRICS))
 
 
 def on_wide(operator):
@@ -81,6 +84,13 @@ def features_joined(params):
     return run
 
 
+def features_from_timeline(spark, folder):
+    """The three queries from one stored timeline, joined."""
+    stored = timeline.store_timeline(events_from_tables(spark, folder), P)
+    return plain(features.join_features(
+        *[cohort_queries.QUERIES[n](stored, P) for n in ("ltv", "event", "session")], P))
+
+
 def filtered(name):
     def run(spark, folder):
         return plain(cohort_queries.QUERIES[name](events_from_tables(spark, folder), P, ONE_COHORT))
@@ -329,7 +339,6 @@ def stream_score(spark, folder):
 
 
 def queries():
-    buckets = ("user_pseudo_id", "user_session_id", "activity_day", "d_cat")
     return {
         "active_days": active_days,
         "first_touch": first_touch,
@@ -342,8 +351,7 @@ def queries():
         "event_session_metrics_corrected": on_events(event_metrics.event_session_metrics,
                                                      P.but(corrected_metrics=True)),
         "bucket_presence": on_event_rows(event_metrics.bucket_presence),
-        "bucket_completion": on_event_rows(event_metrics.complete_buckets, *COHORT_KEY, *buckets,
-                                           *METRICS),
+        "bucket_completion": bucket_completion,
         "event_bucket_pivot": on_event_rows(event_metrics.event_bucket_pivot),
         "revenue_daily": on_events(revenue.revenue_daily),
         "revenue_daily_pooled": on_events(revenue.revenue_daily, POOLED),
@@ -352,6 +360,7 @@ def queries():
         "cohort_ltv_dedup": on_events(lambda e, p: revenue.dedupe_ltv(revenue.cohort_ltv(e, p))),
         "features_wide": on_events(feature_build.wide_features),
         "features_wide_joined": features_joined(P),
+        "features_from_timeline": features_from_timeline,
         "features_wide_pooled": on_events(feature_build.wide_features, POOLED),
         "features_long": on_wide(lambda w: features.to_long(w, P)),
         "cohort_filtered_session": filtered("session"),

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortide.functions.time import (MICROS_PER_SECOND, MINUTE_MICROS, elapsed_whole,
                                       session_slot_width, slot_start, utc_day, year_start_micros)
 from cohortide.params import DIMENSIONS, CohortParams, MetricSpec
+from cohortide.session import materialize
 
 USER = "user_pseudo_id"
 VALUE_FIELDS = {"int": "int_value", "string": "string_value", "double": "double_value"}
@@ -88,7 +89,12 @@ def user_timeline(events: DataFrame, params: CohortParams, metrics: bool = False
     each event, so the aggregation sees about one row per event rather than one per parameter.
     Users installed before the install year are dropped later on, so their earlier events are
     merged into a single row that serves just to disqualify them.
+
+    A timeline given in place of events is returned as it is, so every query can start from a
+    stored one.
     """
+    if "first_any" in events.columns:
+        return events
     width = session_slot_width(params.gap_minutes)
     unit = MICROS_PER_SECOND if revenue else width
     flat = flatten_events(events)
@@ -141,6 +147,12 @@ def user_timeline(events: DataFrame, params: CohortParams, metrics: bool = False
     return merge_seconds(seconds, width, dims, [*sums, "earn_rows"])
 
 
+def store_timeline(events: DataFrame, params: CohortParams) -> DataFrame:
+    """Scan the log once for all cohort queries: the merged timeline with every column, written
+    to the shared folder. Pooled revenue is the one query that still needs the events."""
+    return materialize(user_timeline(events, params, metrics=True, revenue=True), "timeline")
+
+
 def merge_seconds(seconds: DataFrame, width: int, dims: Sequence[str], sums: Sequence[str]
                   ) -> DataFrame:
     """Order the seconds within each (user, slot) and merge them to slots.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortide.models.prepare import vectors
 from cohortide.operators.features import join_features
+from cohortide.operators.timeline import store_timeline
 from cohortide.params import COHORT_KEY, CohortParams, CohortRequest
 from cohortide.plans.cohort_queries import QUERIES
 from cohortide.sources.tables import (read_prediction, read_request_tables, write_by_request,
@@ -42,17 +43,27 @@ def score_requests(requests: DataFrame, wide: DataFrame, model: Model, params: C
 
 def prepare_request(events: DataFrame, params: CohortParams, request: CohortRequest,
                     root: str, request_id: str) -> None:
-    """Run the three queries for one cohort and store their tables in the request's folder."""
+    """Run the three queries for one cohort and store their tables in the request's folder.
+
+    ``events`` may be a stored timeline; otherwise one is stored first, so the log is scanned
+    once and not by each query."""
+    source = _scanned_once(events, params)
     for job, query in QUERIES.items():
-        write_request_table(query(events, params, request), root, request_id, job)
+        write_request_table(query(source, params, request), root, request_id, job)
+
+
+def _scanned_once(events: DataFrame, params: CohortParams) -> DataFrame:
+    return events if params.cross_user_gaps or "first_any" in events.columns \
+        else store_timeline(events, params)
 
 
 def prepare_requests(events: DataFrame, params: CohortParams, requests: DataFrame, root: str
                      ) -> None:
     """The same for any number of requests: each query runs once over all cohorts and its rows go
     to every request that asked for them, one directory per request."""
+    source = _scanned_once(events, params)
     for job, query in QUERIES.items():
-        rows = query(events, params).join(requests, list(COHORT_KEY))
+        rows = query(source, params).join(requests, list(COHORT_KEY))
         write_by_request(rows, f"{root}/{job}")
 
 

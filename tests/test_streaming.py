@@ -6,6 +6,7 @@ import pytest
 from cohortide.models import estimators as est
 from cohortide.models.prepare import vectors
 from cohortide.operators.features import fused_features
+from cohortide.operators.timeline import store_timeline
 from cohortide.params import COHORT_KEY, CohortRequest
 from cohortide.plans import scoring
 from cohortide.plans.cohort_queries import QUERIES
@@ -121,8 +122,9 @@ def test_requested_cohort_is_the_same_rows_of_the_full_query(spark, fitted):
     events, wide, _ = fitted
     cohort = wide.where("country <> 'Rest of the World'").first()
     request = CohortRequest(cohort.first_touch_date, cohort.traffic_source, cohort.os)
+    stored = store_timeline(events, PARAMS)
     for query in QUERIES.values():
-        some = query(events, PARAMS, request).collect()
+        some = query(stored, PARAMS, request).collect()
         every = [r for r in query(events, PARAMS).collect()
                  if (r.first_touch_date, r.traffic_source, r.os) == (
                      cohort.first_touch_date, cohort.traffic_source, cohort.os)]
