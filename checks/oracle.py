@@ -208,7 +208,8 @@ WIDE = _wide_cte()
 
 
 def split_part(buckets: int, seed: int = 143) -> str:
-    text = f"concat_ws('|', '{seed}', CAST(first_touch_date AS VARCHAR), traffic_source, os, country)"
+    text = (f"concat_ws('|', '{seed}', CAST(first_touch_date AS VARCHAR), traffic_source, os, "
+            "country)")
     return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % {buckets})"
 
 
@@ -357,6 +358,10 @@ def statements() -> dict[str, str]:
                    wide.country IS NOT NULL AS known,
                    wide.cohort_ltv_avg_lifetime, avg_session_duration_sec
             FROM requests LEFT JOIN wide USING ({KEY})""",
+        "stream_answers": f"""WITH {WIDE}, {REQUESTS}
+            SELECT request_id AS id, request_id AS bucket_folder_id,
+                   wide.country IS NOT NULL AS answered
+            FROM requests LEFT JOIN wide USING ({KEY})""",
         "stream_route": f"""WITH {MESSAGES}
             SELECT kind, CASE WHEN kind <> 'rejected' THEN id END AS id, predicted_ltv
             FROM messages""",

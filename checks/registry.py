@@ -338,6 +338,12 @@ def stream_score(spark, folder):
     return state.latest_state(state.read_updates(spark, paths.state))
 
 
+def stream_answers(spark, folder):
+    """Which requests the loop answered with a prediction: those of a known cohort."""
+    return stream_score(spark, folder).select(
+        "id", "bucket_folder_id", F.col("prediction").isNotNull().alias("answered"))
+
+
 def queries():
     return {
         "active_days": active_days,
@@ -392,4 +398,5 @@ def queries():
         "stream_route": stream_route,
         "stream_latest_state": stream_latest_state,
         "stream_score": stream_score,
+        "stream_answers": stream_answers,
     }

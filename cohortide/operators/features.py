@@ -49,11 +49,13 @@ def fused_features(events: DataFrame, params: CohortParams) -> DataFrame:
     young = (day <= params.lifetime_days) & (F.col("timed_rows") > 0)
     rows = rows.withColumns({"d_cat": bucket_label(day, params.day_edges),
                              "young_sec": F.when(young, F.col("earned_sec"))})
-    columns = [(f"{m.name}_{b}", m.name, b) for b in params.buckets for m in params.summed_metrics]
+    columns = [(f"{m.name}_{b}", m.name, b)
+               for b in params.buckets for m in params.summed_metrics]
     per_session = rows.groupBy(*COHORT_KEY, USER, "user_session_id").agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         F.sum("earn_rows").alias("earn_rows"), F.sum("young_sec").alias("young_sec"),
-        *[F.expr(f"sum({m}) FILTER (WHERE d_cat = '{b}') AS {name}") for name, m, b in columns])
+        *[F.expr(f"sum({m}) FILTER (WHERE d_cat = '{b}') AS {name}")
+          for name, m, b in columns])
     seconds = elapsed_whole(F.col("last_ts") - F.col("first_ts"), MICROS_PER_SECOND)
     totals = per_session.groupBy(*COHORT_KEY).agg(
         F.sum("earn_rows").alias("earn_rows"), F.sum("young_sec").alias("young_sec"),

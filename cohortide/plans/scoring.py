@@ -25,7 +25,8 @@ def score_cohorts(wide: DataFrame, model: Model, params: CohortParams) -> DataFr
 
 def request_features(requests: DataFrame, wide: DataFrame) -> DataFrame:
     """All requests with the features of the cohort they ask for; unknown cohorts get NULLs."""
-    return requests.join(wide.withColumn("known", F.lit(True)), list(COHORT_KEY), "left").withColumn(
+    marked = wide.withColumn("known", F.lit(True))
+    return requests.join(marked, list(COHORT_KEY), "left").withColumn(
         "known", F.coalesce("known", F.lit(False)))
 
 

@@ -45,8 +45,9 @@ Sink = Callable[[DataFrame, int], None]
 def broker_sink(servers: str, options: Mapping[str, str] | None = None) -> Sink:
     """Sink for ``topic, value`` rows of one micro-batch."""
     def send(rows: DataFrame, _batch: int) -> None:
-        (rows.write.format("kafka").option("kafka.bootstrap.servers", servers)
-         .options(**dict(options or {})).save())
+        # Only these two: a partition column would pin every message to one partition.
+        (rows.select("topic", "value").write.format("kafka")
+         .option("kafka.bootstrap.servers", servers).options(**dict(options or {})).save())
     return send
 
 
