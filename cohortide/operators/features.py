@@ -60,7 +60,8 @@ def fused_features(events: DataFrame, params: CohortParams) -> DataFrame:
     totals = per_session.groupBy(*COHORT_KEY).agg(
         F.sum("earn_rows").alias("earn_rows"), F.sum("young_sec").alias("young_sec"),
         F.sum(seconds).alias("seconds"), F.sum("user_session_id").alias("ordinals"),
-        F.count(F.lit(1)).alias("sessions"), *[F.expr(f"sum({name}) AS {name}") for name, _, _ in columns])
+        F.count(F.lit(1)).alias("sessions"),
+        *[F.expr(f"sum({name}) AS {name}") for name, _, _ in columns])
     # A cohort is listed when it has at least one earning row, on whatever day.
     wide = totals.where(F.col("earn_rows") > 0).select(
         *COHORT_KEY, dollars(F.col("young_sec"), params).alias(TARGET),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortide.params import CohortParams, MetricSpec
 from cohortide.session import pin_utc
-from cohortide.sources.schemas import EVENTS, PARAM
+from cohortide.sources.schemas import EVENTS
 
 
 def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str = "parquet",
@@ -56,7 +56,8 @@ TABLE_PARAMS = CohortParams(
 
 
 LOG = "ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+CUSTOMER = ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+            "c_mktsegment string")
 NATION = "n_nationkey int, n_name string"
 
 
@@ -97,4 +98,4 @@ def events_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-__all__ = ["CUSTOMER", "NATION", "PARAM", "TABLE_PARAMS", "events_from_tables", "read_events", "table"]
+__all__ = ["CUSTOMER", "NATION", "TABLE_PARAMS", "events_from_tables", "read_events", "table"]
