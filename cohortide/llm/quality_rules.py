@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = (r"(?i)cookie|privacy policy|terms of (use|service)|click here|sign up|log ?in|"
                r"javascript|subscribe|all rights reserved|share this|read more")
 #: Percent of words that failing lines may hold.
@@ -57,8 +56,8 @@ def document_rules(docs: DataFrame, max_lost: int = MAX_LOST, doc_id: str = "doc
         lambda i: F.xxhash64(*[word(i, k) for k in range(5)])))
     rows = rows.select(
         "doc_id", n.cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         F.size("lines").alias("n_lines"), F.array_distinct("lines").alias("lines"),
         windows.alias("windows"))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
