@@ -36,9 +36,12 @@ CACHE = 200_000
 LONG = 64
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, local_start long"
 
-#: One run of letters that normalisation only lower-cases, then perhaps one mark: a text piece whose
-#: ids can be looked up in two parts.
-_SIMPLE = re.compile(r"([A-Za-zÄÖÜßÀ-ÂÇ-ÏÑ-ÔÙ-Ûà-âäç-ïñ-ôöù-ûü]+)([.,]?)")
+#: One run of letters that normalisation only lower-cases, then perhaps marks (no apostrophe, which
+#: may begin a contraction): a text piece whose ids can be looked up in two parts.
+_SIMPLE = re.compile(r"([A-Za-zÄÖÜßÀ-ÂÇ-ÏÑ-ÔÙ-Ûà-âäç-ïñ-ôöù-ûü]+)([!-&(-/:-@\[-`{-~]*)")
+
+#: What split() takes for white space and tokenizers do not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -103,14 +106,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)  # split() takes these separators for white space
-        pieces, seen, make = text.split(), self.new, self._piece
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            return b"".join([seen[p] if p in seen else self._look_up(p, make)
-                             if len(p) < LONG else make(p) for p in pieces])
+        if not self.by_piece or any(c in text for c in _SEPARATORS):
+            return self._whole(text)
+        pieces = text.split()
+        ids = list(map(self.new.get, pieces))
+        if None in ids:
+            for i, known in enumerate(ids):
+                if known is None:
+                    p = pieces[i]
+                    ids[i] = self._look_up(p, self._piece) if len(p) < LONG else self._piece(p)
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
