@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortide.llm import decontaminate, mixing, quality_rules, token_files
+from cohortide.llm import (decontaminate, line_crf, mixing, quality_rules, token_files,
+                           toxicity)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,15 @@ def op4_token_files(spark, folder):
     return token_files.token_digest(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark, folder):
+    return toxicity.score_toxicity(table(spark, folder, "documents"),
+                                   table(spark, folder, "labels"))
+
+
+def op8_line_crf(spark, folder):
+    return line_crf.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -34,6 +44,8 @@ def queries():
         "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op4_token_files": op4_token_files,
+        "op6_toxicity": op6_toxicity,
+        "op8_line_crf": op8_line_crf,
         "op10_mixing": op10_mixing,
     }
 
