@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortide.llm import (decontaminate, line_crf, mixing, quality_rules, token_files,
-                           toxicity)
+from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, quality_rules,
+                           token_files, toxicity, url_filter)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,11 +26,19 @@ def op4_token_files(spark, folder):
     return token_files.token_digest(table(spark, folder, "documents"))
 
 
+def op5_license_scan(spark, folder):
+    return license_scan.digest(license_scan.license_spans(table(spark, folder, "documents")))
+
+
 def op6_toxicity(spark, folder):
     return toxicity.score_toxicity(table(spark, folder, "documents"),
                                    table(spark, folder, "labels"))
 
 
+def op7_url_filter(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
 def op8_line_crf(spark, folder):
     return line_crf.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -44,7 +52,9 @@ def queries():
         "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op4_token_files": op4_token_files,
+        "op5_license_scan": op5_license_scan,
         "op6_toxicity": op6_toxicity,
+        "op7_url_filter": op7_url_filter,
         "op8_line_crf": op8_line_crf,
         "op10_mixing": op10_mixing,
     }
