@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, quality_rules,
-                           token_files, toxicity, url_filter)
+from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, ngram_join,
+                           quality_rules, token_files, toxicity, url_filter)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_line_crf(spark, folder):
     return line_crf.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_ngram_join(spark, folder):
+    return ngram_join.similarity_components(table(spark, folder, "documents"))
+
+
 def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -56,6 +60,7 @@ def queries():
         "op6_toxicity": op6_toxicity,
         "op7_url_filter": op7_url_filter,
         "op8_line_crf": op8_line_crf,
+        "op9_ngram_join": op9_ngram_join,
         "op10_mixing": op10_mixing,
     }
 
