@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, ngram_join,
-                           quality_rules, token_files, toxicity, url_filter)
+                           quality_rules, substring_dedup, token_files, toxicity, url_filter)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, folder):
+    return substring_dedup.digest(substring_dedup.dedup_substrings(
+        table(spark, folder, "documents")))
+
+
 def op2_quality_rules(spark, folder):
     return quality_rules.document_rules(table(spark, folder, "documents")).drop(
         "n_left", "clean_text")
@@ -53,6 +58,7 @@ def op10_mixing(spark, folder):
 
 def queries():
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
         "op4_token_files": op4_token_files,
