@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortide.llm.words import LOWER, ALNUM, Texts, small_batches
 
@@ -102,7 +102,8 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
             cols.append(pa.array([r[3] for r in rows], types[3].type))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", *types.names])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {RESULT}")
+    result = T.StructType([docs.schema["id"], *T.StructType.fromDDL(RESULT)])
+    return docs.mapInArrow(run, result)
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id",
@@ -159,3 +160,11 @@ def digest(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         doc_id, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that no window of an item occurs in."""
+    whole = F.struct(*docs.columns)
+    found = benchmark_hits(docs.select(whole.alias("whole"), F.col(text).alias("body")), items,
+                           doc_id="whole", text="body", **how)
+    return found.where(F.size("hits") == 0).select("whole.*")

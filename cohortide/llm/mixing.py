@@ -43,6 +43,11 @@ def text_size(text) -> "F.Column":
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def place(doc_id, text, seed: int) -> "F.Column":
+    """Seeded place of a row in the order of its shard."""
+    return F.xxhash64(F.lit(seed), doc_id.cast("string"), F.coalesce(text, F.lit("")))
+
+
 def capped_targets(sizes: list[int], weights: list[int], max_repeat: int = 3) -> list[Fraction]:
     """Shares of the total by weight, none above ``max_repeat`` times its size."""
     targets = [Fraction(0)] * len(sizes)
@@ -92,13 +97,14 @@ def sainte_lague(shares: list[float], seats: int) -> np.ndarray:
 
 def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = SEED,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row. ``weights`` repeat over sources."""
+    """doc_id, size, source_size, target and taken of every row (and source and place, which name the
+    row). ``weights`` repeat over sources."""
     spark = docs.sparkSession
     # One row each, without texts, since it is read three times.
     sized = materialize(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         text_size(F.col(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)).alias("place")), "sizes")
+        place(F.col(doc_id), F.col(text), seed).alias("place")), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1)
     sums = [tuple(r) for r in sums.toLocalIterator()]
     if len(sums) > MAX_SOURCES:
@@ -142,4 +148,28 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = SEE
     rest = F.col("quota") - whole * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least("size", rest - F.col("begin")))
     return both.select("doc_id", "size", "source_size", "target",
-                       (whole * F.col("size") + part).cast("long").alias("taken"))
+                       (whole * F.col("size") + part).cast("long").alias("taken"),
+                       placed["source"], "place")
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+               **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it, whole or in part.
+
+    Rows equal in id and text are alike to the mix, so their takings are handed out among them."""
+    taken = mix(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                            F.col(source).alias("source")), **how)
+    same = Window.partitionBy("key_of_row", "source_of_row").orderBy(F.lit(0))
+    key = ("key_of_row", "source_of_row", "number_of_row")
+    times = (taken.select(F.col("place").alias("key_of_row"), F.col("source").alias("source_of_row"),
+                          F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times_of_row"))
+             .withColumn("number_of_row", F.row_number().over(same))
+             .where("times_of_row > 0"))
+    rows = docs.withColumns({
+        "key_of_row": place(F.col(doc_id), F.col(text), how.get("seed", SEED)),
+        "source_of_row": F.col(source).cast("string")}).withColumn(
+            "number_of_row", F.row_number().over(same))
+    left, right = rows.alias("l"), times.alias("r")
+    both = left.join(right, F.expr(" and ".join(f"l.{c} <=> r.{c}" for c in key)))
+    every = F.explode(F.sequence(F.lit(1), F.col("times_of_row")))
+    return both.select("l.*", "times_of_row").withColumn("copy_of_row", every).select(*docs.columns)

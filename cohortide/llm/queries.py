@@ -53,7 +53,13 @@ def op9_ngram_join(spark, folder):
 
 
 def op10_mixing(spark, folder):
-    return mixing.mix(table(spark, folder, "documents"))
+    return mixing.mix(table(spark, folder, "documents")).drop("source", "place")
+
+
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
 
 
 def queries():
@@ -68,6 +74,7 @@ def queries():
         "op8_line_crf": op8_line_crf,
         "op9_ngram_join": op9_ngram_join,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 
