@@ -138,10 +138,10 @@ def count_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(_PACKED, _PACKED_KINDS, out)])
 
 
-_SETS = ["doc_id", "set_id", "n", "tokens", "prefix", "filters"]
-_SETS_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
-_SETS_SCHEMA = ("doc_id long, set_id long, n long, tokens binary, prefix array<long>, "
-                "filters array<binary>")
+_SETS = ["doc_id", "set_id", "n", "shared", "common", "tokens", "prefix", "filters"]
+_SETS_KINDS = [*[pa.int64()] * 5, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+_SETS_SCHEMA = ("doc_id long, set_id long, n long, shared long, common long, tokens binary, "
+                "prefix array<long>, filters array<binary>")
 
 
 def _orderings(orders):
@@ -168,13 +168,13 @@ def assemble(threshold: int, orders):
         for t in range(len(ids)):
             own, n = by[edges[t]:edges[t + 1]], int(sizes[t])
             if not n or 100 * len(own) < threshold * n:
-                out.append((ids[t], sets[t], n, None, None, None))
+                out.append((ids[t], sets[t], n, 0, 0, None, None, None))
                 continue
             x, r = tokens[own], rank[own]
             # Of the prefix, what is left after the shingles that no other document has.
             p = n - -(-threshold * n // 100) + 1 - (n - len(own))
             firsts = [x[np.lexsort((mix(x ^ s), r))[:p]] for s in seeds]
-            out.append((ids[t], sets[t], n, np.sort(x).tobytes(), firsts[0].astype(np.int64),
+            out.append((ids[t], sets[t], n, len(own), int(r.sum()), np.sort(x).tobytes(), firsts[0].astype(np.int64),
                         [np.sort(f).tobytes() for f in firsts[1:]]))
         return pa.Table.from_batches([_rows(_SETS, _SETS_KINDS, out)])
 
@@ -264,7 +264,9 @@ def check(pairs: DataFrame, members: DataFrame, vertices: DataFrame, threshold:
     cells = shape.agg(F.sum(F.col("qblocks") * F.col("mblocks"))).head()[0] or 0
     rows = shape.agg(F.sum((F.col("qblocks") + F.col("mblocks")))).head()[0] or 0
     buckets = max(1, min(cells, max(pairs.count(), rows) // 200 + 1))
-    cell = F.pmod(F.xxhash64("target", "mblock", "qblock"), F.lit(buckets)).alias("cell")
+    # Both sides must hash one type.
+    blocks = [F.col(c).cast("long") for c in ("target", "mblock", "qblock")]
+    cell = F.pmod(F.xxhash64(*blocks), F.lit(buckets)).alias("cell")
     queries = (pairs.join(shape, "target")
                .withColumn("qblock", F.pmod(F.xxhash64("v"), "qblocks"))
                .join(body, F.col("v") == F.col("set_id")))
@@ -279,21 +281,33 @@ def check(pairs: DataFrame, members: DataFrame, vertices: DataFrame, threshold:
         check_cells(threshold), "a long, b long"), "found")
 
 
+def may_link(n, shared, other_n, other_shared, threshold: int):
+    """Whether two sets can reach the threshold if all that they share with any set is common.
+
+    Holds for a whole component if the other set has its least size and largest shared part."""
+    need = threshold * (F.col(n) + F.col(other_n))
+    most = F.least(F.col(shared), F.col(other_shared))
+    return (100 + threshold) * most >= need
+
+
 def link(vertices: DataFrame, threshold: int) -> DataFrame:
     """node and root of every vertex that has a link."""
-    first = materialize(vertices.select("set_id", "n", F.explode("prefix").alias("token")), "prefixes")
+    own = ("set_id", "n", "shared", "common")
+    first = materialize(vertices.select(*own, F.explode("prefix").alias("token")), "prefixes")
     busy = first.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     first = materialize(first.join(busy.select("token"), "token"), "prefixes")
     links, roots = None, None
     for r in range(PIVOT_ROUNDS + 1):
         rows = first.withColumn("root", F.col("set_id")) if roots is None else (
             first.join(roots, first["set_id"] == roots["node"], "left")
-            .select("set_id", "n", "token", F.coalesce("root", "set_id").alias("root")))
+            .select(*own, "token", F.coalesce("root", "set_id").alias("root")))
+        # The first pivot is the member of the most widespread shingles, often the copied text itself.
+        rank = F.lit(0.0) if r else F.col("common") / F.col("n")
         mixed = rows.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), "set_id"), "set_id", "n", "root")).alias("p"),
+            F.max(F.struct(rank, F.xxhash64(F.lit(r), "set_id"), *own, "root")).alias("p"),
             F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         if r < PIVOT_ROUNDS:
-            fits = (100 * F.least("n", "p.n") >= threshold * F.greatest("n", "p.n"))
+            fits = may_link("n", "shared", "p.n", "p.shared", threshold)
             near = (rows.join(mixed, "token").where((F.col("root") != F.col("p.root")) & fits)
                     .groupBy(F.col("set_id").alias("v"), F.col("p.set_id").alias("target"))
                     .agg(F.count("*").alias("k")))
@@ -306,10 +320,13 @@ def link(vertices: DataFrame, threshold: int) -> DataFrame:
                 F.count("*").alias("size")), "sizes")
             left = materialize(rows.join(mixed.select("token"), "token", "left_semi").join(size, "root"),
                                "mixed")
-            there = left.select("token", F.col("root").alias("target"), F.col("size").alias("target_size")).distinct()
+            there = left.groupBy("token", F.col("root").alias("target"),
+                                 F.col("size").alias("target_size")).agg(
+                F.min("n").alias("least_n"), F.max("shared").alias("most_shared"))
             larger = (F.col("target_size") > F.col("size")) | (
                 (F.col("target_size") == F.col("size")) & (F.col("target") > F.col("root")))
-            pairs = (left.join(there, "token").where(larger)
+            fits = may_link("n", "shared", "least_n", "most_shared", threshold)
+            pairs = (left.join(there, "token").where(larger & fits)
                      .select(F.col("set_id").alias("v"), "target").distinct())
             members = rows.select(F.col("root").alias("target"), "set_id").distinct()
         found = check(pairs, members, vertices, threshold)
@@ -324,7 +341,7 @@ def similarity_components(docs: DataFrame, n: int = N, threshold: int = THRESHOL
     sets = document_sets(docs, n, threshold, orders, doc_id, text)
     vertices = materialize(
         sets.where("tokens is not null").groupBy("set_id").agg(
-            *[F.first(c).alias(c) for c in ("n", "tokens", "prefix", "filters")]), "vertices")
+            *[F.first(c).alias(c) for c in _SETS[2:]]), "vertices")
     roots = link(vertices, threshold)
     named = (sets.select("doc_id", "set_id", "n").join(roots, F.col("set_id") == F.col("node"), "left")
              .select("doc_id", "n", F.coalesce("root", "set_id").alias("root")))
