@@ -15,9 +15,6 @@ the window is removed. Maximal spans of removed windows are then cut from the do
 A passage of very many copies meets in a shard as many segments of one content: it is inserted and
 streamed once, and its copies are compared by id alone.
 
-Removed spans are joined to the texts by broadcast when they are few (``MAX_BROADCAST`` runs), else
-by a shuffle.
-
 Cases: a null or empty text has no words. A text shorter than the window keeps all. Rows of one id
 do not remove from each other; rows equal in id and text get equal results. A row without an id
 removes nothing and loses nothing. Other columns are not looked at.
@@ -41,7 +38,6 @@ BUCKET_BYTES = 10 << 20
 SHARD_WORDS = 50_000
 #: Windows in one segment at most.
 _RUN = 240
-MAX_BROADCAST = 1_000_000
 #: Words of so few bytes are common; pairs of them are minimizers last.
 _SHORT = 3
 U64 = np.uint64
@@ -329,12 +325,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_i
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
-    runs = removed_runs(rows, window)
-    n = runs.count()
     # Equal rows send equal runs, which the set holds once.
-    runs = runs.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    if n <= MAX_BROADCAST:
-        runs = F.broadcast(runs)
+    runs = removed_runs(rows, window).groupBy(F.col("key").alias("of")).agg(
+        F.collect_set(F.struct("start", "n")).alias("runs"))
     both = rows.join(runs, F.col("key") == F.col("of"), "left")
     return cut(both, window).withColumnRenamed("id", doc_id)
 
