@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cohortide.llm.words import LOWER, ALNUM, Texts, small_batches
+from cohortide.llm.words import LOWER, ALNUM, Texts, job_settings
 
 #: Maps text to lower-case words with spaces between.
 _SPACED = bytes(b if ALNUM[b] else 32 for b in LOWER)
@@ -115,7 +115,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id:
     own size); with more than one shard, each document's ranges are joined afterwards.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    job_settings(spark)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     items = items.select(F.col(item_id).cast("string").alias("k"),
                          F.col(item_text).cast("string").alias("t"))

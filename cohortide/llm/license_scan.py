@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortide.llm.words import ALNUM, Texts, slices, small_batches
+from cohortide.llm.words import ALNUM, Texts, slices, job_settings
 from cohortide.session import materialize
 
 K = 2
@@ -134,7 +134,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None,
                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id, n_words and spans (name, start, end in words, score)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    job_settings(spark)
     phrases = PHRASES if phrases is None else phrases
     every = (TEMPLATES if templates is None else templates) | {p: p for p in phrases}
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn(

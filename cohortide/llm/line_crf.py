@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortide.llm.labelled import fit_logistic, free_name, held_out, labelled_sample, sigmoid
-from cohortide.llm.words import small_batches
+from cohortide.llm.words import job_settings
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 64
@@ -203,7 +203,7 @@ def score_texts(field: Field, texts: list[str | None]) -> tuple[np.ndarray, np.n
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS,
           sample_lines: int = SAMPLE_LINES, doc_id: str = "doc_id", text: str = "text") -> Field:
-    small_batches(docs.sparkSession)
+    job_settings(docs.sparkSession)
     sample = labelled_sample(labels, label, sample_docs)
     rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
             .join(F.broadcast(sample), F.col("id") == F.col("sample_id"))
@@ -225,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
 
 def with_score(docs: DataFrame, field: Field, name: str, text: str = "text") -> DataFrame:
     """``docs`` with one column more, of that name."""
-    small_batches(docs.sparkSession)
+    job_settings(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred weights
 
     def run(batches):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortide.llm.components import components
-from cohortide.llm.words import PLAIN, Texts, mix, release, slices, small_batches
+from cohortide.llm.words import PLAIN, Texts, job_settings, mix, slices
 from cohortide.session import materialize
 
 N = 5
@@ -183,7 +183,7 @@ def assemble(threshold: int, orders):
 
 def document_sets(docs: DataFrame, n: int, threshold: int, orders, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
+    job_settings(spark)
     rows = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -339,7 +339,6 @@ def similarity_components(docs: DataFrame, n: int = N, threshold: int = THRESHOL
                           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the component) of every row."""
     sets = document_sets(docs, n, threshold, orders, doc_id, text)
-    release(docs.sparkSession)
     vertices = materialize(
         sets.where("tokens is not null").groupBy("set_id").agg(
             *[F.first(c).alias(c) for c in _SETS[2:]]), "vertices")

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortide.llm.words import PLAIN, Texts, mix, release, slices, small_batches
+from cohortide.llm.words import PLAIN, Texts, job_settings, mix, slices
 from cohortide.session import materialize
 
 WINDOW = 13
@@ -322,12 +322,11 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, removed spans (in words) and kept_text of every row."""
-    small_batches(docs.sparkSession)
+    job_settings(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
     # Equal rows send equal runs, which the set holds once.
     removed = removed_runs(rows, window)
-    release(docs.sparkSession)
     runs = removed.groupBy(F.col("key").alias("of")).agg(
         F.collect_set(F.struct("start", "n")).alias("runs"))
     both = rows.join(runs, F.col("key") == F.col("of"), "left")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortide.llm.words import small_batches
+from cohortide.llm.words import job_settings
 from cohortide.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -132,7 +132,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of token files, each partition a range of ids in ascending order."""
     spark = docs.sparkSession
-    small_batches(spark)
+    job_settings(spark)
     path = tokenizer or tokenizer_path()
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -187,7 +187,7 @@ def read_tokens(spark: SparkSession, path: str, columns=("doc_id", "ids", "n_tok
 
 def checksums(rows: DataFrame) -> DataFrame:
     """Adds the unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers."""
-    small_batches(rows.sparkSession)
+    job_settings(rows.sparkSession)
     names = [*(c for c in rows.columns if c != "ids"), "ids_crc32"]
 
     def run(batches):

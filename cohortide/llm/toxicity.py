@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortide.llm.labelled import fit_logistic, held_out, labelled_sample, sigmoid
-from cohortide.llm.words import ALNUM, Texts, slices, small_batches
+from cohortide.llm.words import ALNUM, Texts, slices, job_settings
 
 SAMPLE = 200_000
 BUCKETS = 1 << 22
@@ -90,7 +90,7 @@ def count_cells(docs: DataFrame, buckets: int) -> np.ndarray:
             total[:, at] += np.frombuffer(n, np.uint32).reshape(3, -1)
         return pd.DataFrame({"block": [group["block"].iloc[0]], "n": [total.tobytes()]})
 
-    small_batches(docs.sparkSession)
+    job_settings(docs.sparkSession)
     out = np.zeros((3, buckets), np.int64)
     sums = (docs.mapInArrow(count, "block int, at binary, n binary")
             .groupBy("block").applyInPandas(add, "block int, n binary"))
@@ -136,7 +136,7 @@ def evidence(texts: Texts, tables: list[np.ndarray], windows=WINDOWS) -> np.ndar
 
 def with_evidence(docs: DataFrame, tables: list[np.ndarray], column: str) -> DataFrame:
     """``column`` of ``docs``, and the evidence of each text as a list."""
-    small_batches(docs.sparkSession)
+    job_settings(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):

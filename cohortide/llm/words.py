@@ -6,7 +6,6 @@ bytes modulo 2**64 with random byte values, then mixed; a window's hash is one o
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,15 +151,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         i = j
 
 
-def small_batches(spark) -> None:
-    """Fewer rows in each Arrow batch, since a row here is a whole document."""
+def job_settings(spark) -> None:
+    """Fewer rows in each Arrow batch, since a row here is a whole document; and shuffle files are
+    deleted when the query that wrote them ends, since steps hand on written tables."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
-def release(spark) -> None:
-    """Collect garbage on the driver, whereupon Spark deletes the shuffle files of finished steps.
-
-    Worth it between steps that each shuffle about as much as the input; left alone, the files stay
-    until the driver happens to collect."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
