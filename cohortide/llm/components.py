@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortide.llm.words import ALNUM, Texts, slices, job_settings
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 K = 2
 #: Every place of these phrases is reported, under these labels.

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 SEED = 17
 #: Shards of one source at most, and the tokens that a shard has at least if there are several.
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = SEE
         text_size(F.col(text)).alias("size"),
         place(F.col(doc_id), F.col(text), seed).alias("place")), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1)
-    sums = [tuple(r) for r in sums.toLocalIterator()]
+    sums = [tuple(r) for r in sums.collect()]
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortide.llm.components import components
 from cohortide.llm.words import PLAIN, Texts, job_settings, mix, slices
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 N = 5
 THRESHOLD = 80

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortide.llm.words import PLAIN, Texts, job_settings, mix, slices
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 WINDOW = 13
 #: Text bytes whose windows share a shard.

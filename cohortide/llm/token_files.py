@@ -178,7 +178,7 @@ def read_tokens(spark: SparkSession, path: str, columns=("doc_id", "ids", "n_tok
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row a file, so the sums are as bounded as the number of files.
     sums, before = {}, 0
-    for part, n in sorted(map(tuple, files.toLocalIterator())):
+    for part, n in sorted(map(tuple, files.collect())):
         sums[part], before = before, before + n
     base = spark.createDataFrame(list(sums.items()) or [(-1, 0)], "part int, base long")
     return (rows.join(F.broadcast(base), "part")

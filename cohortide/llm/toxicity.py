@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortide.llm.labelled import fit_logistic, held_out, labelled_sample, sigmoid
+from cohortide.llm.storage import materialize
 from cohortide.llm.words import ALNUM, Texts, slices, job_settings
 
 SAMPLE = 200_000
@@ -94,7 +95,7 @@ def count_cells(docs: DataFrame, buckets: int) -> np.ndarray:
     out = np.zeros((3, buckets), np.int64)
     sums = (docs.mapInArrow(count, "block int, at binary, n binary")
             .groupBy("block").applyInPandas(add, "block int, n binary"))
-    for r in sums.toLocalIterator():  # buckets * 24 bytes in all, block by block
+    for r in materialize(sums, "word-counts").collect():  # buckets * 24 bytes in all
         out[:, r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.n, np.int64).reshape(3, -1)
     return out
 

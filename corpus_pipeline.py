@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortide.llm import decontaminate, line_crf, mixing, ngram_join, token_files
-from cohortide.session import materialize
+from cohortide.llm.storage import materialize
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
