@@ -162,7 +162,8 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     same = Window.partitionBy("key_of_row", "source_of_row").orderBy(F.lit(0))
     key = ("key_of_row", "source_of_row", "number_of_row")
     times = (taken.select(F.col("place").alias("key_of_row"), F.col("source").alias("source_of_row"),
-                          F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times_of_row"))
+                          F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size")))
+                          .cast("int").alias("times_of_row"))
              .withColumn("number_of_row", F.row_number().over(same))
              .where("times_of_row > 0"))
     rows = docs.withColumns({

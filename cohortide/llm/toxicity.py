@@ -181,7 +181,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     known = with_evidence(rows.join(F.broadcast(few), rows["doc_id"] == few["sample_id"])
                           .select("text", "label"), tables, "label").collect()
     y = np.array([r.label for r in known], float)
-    x = np.array([r.evidence for r in known], float).reshape(len(y), len(tables), -1)
+    x = np.array([r.evidence for r in known], float).reshape(len(y), len(tables), 1 + len(WINDOWS))
     chosen, w = calibrate(x, y)
     total = F.lit(float(w[-1]))
     for k, v in enumerate(w[:-1]):

@@ -112,7 +112,7 @@ def test_suffix_automaton_states_first_documents():
 def test_quality_rules_equal_their_sql(spark, docs):
     con = duck(FOLDER)
     assert difference(llm.queries()["op2_quality_rules"](spark, FOLDER), con, quality_rules.ORACLE) is None
-    plan = quality_rules.document_rules(docs)._jdf.queryExecution().toString()
+    plan = llm.queries()["op2_quality_rules"](spark, FOLDER)._jdf.queryExecution().toString()
     assert not re.search("Exchange|Python|Arrow", plan)
     again = by_id(docs.transform(quality_rules.document_rules))
     assert again[0].base_failed and not again[0].kept and again[0].n_words == 0
