@@ -143,7 +143,8 @@ def table_roundtrip(spark, folder):
 
 
 # --- models -------------------------------------------------------------------------------------
-# The tuning queries search a part of each stored grid; the full grids are in models.estimators.
+# linear_cv and cv_neighbours search their whole grids over ten folds. tree_cv, forest_cv and
+# best_params search a part of theirs over three; the full grids are in models.estimators.
 
 def parts(spark, folder):
     return model_selection.training_parts(wide(spark, folder), P)
@@ -154,14 +155,16 @@ def default_models(spark, folder):
 
 
 def linear_cv(spark, folder):
+    """Every stored grid of the linear models over ten folds: 400 fits."""
     train, test = parts(spark, folder)
-    grids = {"lasso": {"regParam": [0.1, 1.0]}, "ridge": {"regParam": [0.1, 25.0]},
-             "elastic_net": {"regParam": [0.1, 1.0], "elasticNetParam": [0.1, 0.9]}}
+    grids = (("lasso", "lasso", est.LASSO_GRID), ("ridge", "ridge", est.RIDGE_GRID),
+             ("ridge_second", "ridge", est.RIDGE_SECOND_GRID),
+             ("elastic_net", "elastic_net", est.ELASTIC_GRID))
     out = []
-    for kind, grid in grids.items():
-        search, best = model_selection.tune(kind, train, P, grid, folds=3)
-        scores = model_selection.evaluate({kind: best}, test, "test")
-        out.append((kind, float(min(search.avgMetrics)), scores[0][2]))
+    for name, kind, grid in grids:
+        search, best = model_selection.tune(kind, train, P, grid)
+        scores = model_selection.evaluate({name: best}, test, "test")
+        out.append((name, float(min(search.avgMetrics)), scores[0][2]))
     return spark.createDataFrame(out, "model string, cv_rmse double, test_rmse double")
 
 
@@ -174,7 +177,7 @@ def tree_cv(spark, folder):
 
 def cv_neighbours(spark, folder):
     train, _ = parts(spark, folder)
-    search, _ = model_selection.tune("lasso", train, P, est.LASSO_GRID, folds=3)
+    search, _ = model_selection.tune("lasso", train, P, est.LASSO_GRID)
     return est.around_best(est.cv_results(spark, search))
 
 

@@ -68,16 +68,22 @@ def cross_validate(estimator: Estimator, train: DataFrame, grid: Mapping[str, Se
                    params: CohortParams, folds: int = 10, parallelism: int = 8
                    ) -> CrossValidatorModel:
     """Tune by cross-validated RMSE. Folds follow the cohort key, so they do not move with the
-    partitioning. ``train`` must be materialised: each fold is a filter over it."""
+    partitioning. ``train`` must be materialised: each fold is a filter over it. Vectors are
+    assembled once, as the assembler learns nothing, and cached while the search runs."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
-    stages = [assembler(params.feature_columns, estimator.getFeaturesCol()), estimator]
+    features = estimator.getFeaturesCol()
+    rows = with_fold(assembler(params.feature_columns, features).transform(train), folds).select(
+        features, TARGET, "fold").cache()
     search = CrossValidator(
-        estimator=Pipeline(stages=stages), estimatorParamMaps=builder.build(),
+        estimator=Pipeline(stages=[estimator]), estimatorParamMaps=builder.build(),
         evaluator=rmse_evaluator(), numFolds=folds, seed=MODEL_SEED, foldCol="fold",
         parallelism=parallelism)
-    return search.fit(with_fold(train, folds))
+    try:
+        return search.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def cv_results(spark: SparkSession, model: CrossValidatorModel) -> DataFrame:
