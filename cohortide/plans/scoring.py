@@ -9,7 +9,7 @@ from cohortide.models.prepare import vectors
 from cohortide.operators.features import join_features
 from cohortide.operators.timeline import store_timeline
 from cohortide.params import COHORT_KEY, CohortParams, CohortRequest
-from cohortide.plans.cohort_queries import QUERIES
+from cohortide.plans.cohort_queries import QUERIES, of_requested_users
 from cohortide.sources.tables import (read_prediction, read_request_tables, write_by_request,
                                       write_prediction, write_request_table)
 
@@ -46,9 +46,9 @@ def prepare_request(events: DataFrame, params: CohortParams, request: CohortRequ
                     root: str, request_id: str) -> None:
     """Run the three queries for one cohort and store their tables in the request's folder.
 
-    ``events`` may be a stored timeline; otherwise one is stored first, so the log is scanned
-    once and not by each query."""
-    source = _scanned_once(events, params)
+    ``events`` may be a stored timeline; otherwise one of the requested users is stored first, so
+    the log is read once for them and not by each query."""
+    source = _scanned_once(of_requested_users(events, params, request), params)
     for job, query in QUERIES.items():
         write_request_table(query(source, params, request), root, request_id, job)
 

@@ -13,8 +13,9 @@ def route(messages: DataFrame) -> DataFrame:
 
     A message goes to the first of ``request_id``, ``bucket_folder_id``, ``data_id`` that its
     top-level object has, whatever topic it came from. Text that is not a JSON object, objects
-    with none of the keys and incomplete payloads are rejected rather than ending the stream.
-    Works on streams and on batches alike.
+    with none of the keys and incomplete payloads are rejected rather than ending the stream: a
+    request needs all four parts of the cohort key and a date that is one, a done message a number
+    or an explicit null. Works on streams and on batches alike.
     """
     keys = F.json_object_keys("value")
 
@@ -27,11 +28,16 @@ def route(messages: DataFrame) -> DataFrame:
     m = F.from_json("value", MESSAGE)
     decoded = messages.withColumns({"m": m, "_request": has("request_id"),
                                     "_predict": has("bucket_folder_id"), "_done": has("data_id")})
+    cohort = F.col("m.input_data.date").try_cast("date").isNotNull()
+    for name in COHORT_KEY[1:]:
+        cohort = cohort & F.col(f"m.input_data.{name}").isNotNull()
+    number = F.col("m.predicted_ltv")
+    answer = has("predicted_ltv") & F.when(number.isNotNull(), ~F.isnan(number)).otherwise(
+        F.get_json_object("value", "$.predicted_ltv").isNull())
     kind = (
-        F.when(F.col("_request"), sound("request", F.col("m.request_id").isNotNull()
-                                        & F.col("m.input_data").isNotNull()))
+        F.when(F.col("_request"), sound("request", F.col("m.request_id").isNotNull() & cohort))
         .when(F.col("_predict"), sound("predict", F.col("m.bucket_folder_id").isNotNull()))
-        .when(F.col("_done"), sound("done", F.col("m.data_id").isNotNull()))
+        .when(F.col("_done"), sound("done", F.col("m.data_id").isNotNull() & answer))
         .otherwise("rejected"))
     ident = (F.when(F.col("kind") == "request", F.col("m.request_id"))
              .when(F.col("kind") == "predict", F.col("m.bucket_folder_id"))

@@ -1,5 +1,6 @@
 """What the plans must and must not contain."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -10,6 +11,8 @@ from cohortide.operators.features import fused_features, join_features
 from cohortide.operators.revenue import cohort_ltv, revenue_daily
 from cohortide.operators.session_metrics import session_cohort_metrics
 from cohortide.operators.timeline import sessionize, user_timeline
+from cohortide.params import CohortRequest
+from cohortide.plans.cohort_queries import QUERIES as COHORT_QUERIES
 from cohortide.sources.events import read_events
 from micro import MINUTE, PARAMS, SCREEN, at, event, frame, random_events
 
@@ -55,6 +58,14 @@ def test_one_scan_and_few_exchanges(stored, name, exchanges, scans):
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize("name", COHORT_QUERIES)
+def test_a_requested_cohort_is_filtered_by_user_below_the_windows(stored, name):
+    request = CohortRequest(dt.date(2018, 7, 1), os="IOS")
+    plan = plan_of(COHORT_QUERIES[name](stored, PARAMS, request))
+    assert "LeftSemi" in plan and plan.rindex("Window ") < plan.index("LeftSemi")
+    assert len(re.findall(r"FileScan", plan)) == 2
+
+
 def test_scan_reads_only_what_the_query_needs(stored):
     plan = plan_of(QUERIES["session"](stored))
     schema = re.search(r"ReadSchema: (.*)", plan).group(1)

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import json
 
 import pytest
@@ -33,6 +34,12 @@ def batch(spark, values):
     (json.dumps({"data_id": "d", "request_id": "r", "input_data": INPUT}), "request", "r"),
     (json.dumps({"data_id": "d", "bucket_folder_id": "b"}), "predict", "b"),
     (json.dumps({"request_id": "r"}), "rejected", None),
+    (json.dumps({"request_id": "r", "input_data": {}}), "rejected", None),
+    (json.dumps({"request_id": "r", "input_data": {**INPUT, "date": "soon"}}), "rejected", None),
+    (json.dumps({"request_id": "r", "input_data": {**INPUT, "os": None}}), "rejected", None),
+    (json.dumps({"data_id": "d"}), "rejected", None),
+    (json.dumps({"data_id": "d", "predicted_ltv": "abc"}), "rejected", None),
+    (json.dumps({"data_id": "d", "predicted_ltv": {"a": 1}}), "rejected", None),
     (json.dumps({"request_id": None, "data_id": "d"}), "rejected", None),
     (json.dumps({"other": 1}), "rejected", None),
     ("not json", "rejected", None), ("[1]", "rejected", None), (None, "rejected", None)])
@@ -123,8 +130,8 @@ def test_requested_cohort_is_the_same_rows_of_the_full_query(spark, fitted):
     cohort = wide.where("country <> 'Rest of the World'").first()
     request = CohortRequest(cohort.first_touch_date, cohort.traffic_source, cohort.os)
     stored = store_timeline(events, PARAMS)
-    for query in QUERIES.values():
-        some = query(stored, PARAMS, request).collect()
+    for source, query in itertools.product((stored, events), QUERIES.values()):
+        some = query(source, PARAMS, request).collect()
         every = [r for r in query(events, PARAMS).collect()
                  if (r.first_touch_date, r.traffic_source, r.os) == (
                      cohort.first_touch_date, cohort.traffic_source, cohort.os)]
