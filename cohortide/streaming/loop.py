@@ -35,14 +35,21 @@ def handle_batch(features: DataFrame, model: Model, params: CohortParams, paths:
 
     * Requests are registered and announced by a predict message.
     * Predict messages are joined to the registry; every cohort they ask for is scored once and
-      answered by a done message.
+      answered by a done message. An id that nobody registered is answered by a null.
     * Predict and done messages update the state table.
 
-    Every output is a directory named by the batch, so a replayed batch repeats itself exactly.
+    Every output is a directory named by the batch and stamped with the batch's latest message, so
+    a replayed batch repeats itself.
     """
     def serve(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         routed = routing.route(batch).persist()
+        try:
+            respond(routed, batch_id)
+        finally:
+            routed.unpersist()
+
+    def respond(routed: DataFrame, batch_id: int) -> None:
+        spark = routed.sparkSession
         requests = routing.requests_of(routed)
         requests.write.mode("overwrite").parquet(f"{paths.registry}/batch_id={batch_id}")
         routed.where(F.col("kind") == "rejected").select("topic", "offset", "value").write.mode(
@@ -52,15 +59,13 @@ def handle_batch(features: DataFrame, model: Model, params: CohortParams, paths:
             F.col("id").alias("request_id")).distinct()
         registry = spark.read.schema(REGISTRY).parquet(paths.registry).dropDuplicates(
             ["request_id", *COHORT_KEY]).drop("batch_id")
-        scored = score_requests(registry.join(asked, "request_id", "left_semi"), features, model,
-                                params)
+        scored = score_requests(asked.join(registry, "request_id", "left"), features, model, params)
         announced = routing.predict_message(requests).withColumn("topic", F.lit(PREDICTION_REQUEST))
         answered = routing.done_message(scored).withColumn("topic", F.lit(PREDICTION_COMPLETE))
         stamp = {"partition": F.lit(0), "offset": F.lit(batch_id).cast("bigint"),
-                 "timestamp": F.current_timestamp()}
+                 "timestamp": routed.agg(F.max("timestamp").alias("latest")).scalar()}
         sink(announced.unionByName(answered).withColumns(stamp), batch_id)
         state.append_updates(state.updates_of(routed), paths.state, batch_id)
-        routed.unpersist()
 
     return serve
 
