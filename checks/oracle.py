@@ -285,6 +285,19 @@ DONE = ", ".join(NAMES)
 def statements() -> dict[str, str]:
     ltv = f"SELECT {KEY}, cohort_ltv_avg_lifetime FROM"
     session_columns = f"{KEY}, avg_session_duration_sec, avg_sessions_count, avg_sessions_per_user"
+    by_day = ("SELECT activity_day, COUNT(*) AS n_events, "
+              "COUNT(DISTINCT user_pseudo_id) AS n_users FROM canon")
+    latest = f"""WITH {MESSAGES}
+            SELECT id, MAX(CASE WHEN kind = 'predict' THEN id END) AS bucket_folder_id,
+                   MAX_BY(predicted_ltv, offset_) FILTER (WHERE kind = 'done') AS prediction
+            FROM (SELECT * FROM messages WHERE kind IN ('predict', 'done')
+                  UNION ALL
+                  SELECT offset_ + 1000000000, id, 'done', predicted_ltv + 1
+                  FROM messages WHERE kind = 'done'
+                  UNION ALL
+                  SELECT offset_ + 1000000000, id, 'done', 0.25 FROM messages
+                  WHERE kind = 'predict')
+            GROUP BY id"""
     return {
         "active_days": f"WITH {CANON} SELECT user_pseudo_id, activity_day FROM activity",
         "first_touch": f"WITH {CANON} SELECT user_pseudo_id, first_touch_date FROM touch",
@@ -352,6 +365,30 @@ def statements() -> dict[str, str]:
             SELECT ROUND(ANY_VALUE(m), 9) AS target_avg,
                    ROUND(sqrt(AVG((y - m) * (y - m))), 9) AS rmse, COUNT(*) AS test_rows
             FROM parts, mean_ WHERE NOT train""",
+        "cv_folds": f"""WITH {WIDE},
+            folds AS (SELECT CAST({split_part(10, 511)} AS INTEGER) AS fold FROM wide
+                      WHERE {split_part(100)} < 80)
+            SELECT fold, COUNT(*) AS scored_rows,
+                   CAST((SELECT COUNT(*) FROM folds) - COUNT(*) AS BIGINT) AS train_rows
+            FROM folds GROUP BY fold""",
+        "ridge_one_feature": f"""WITH {WIDE},
+            xy AS (SELECT CAST(cohort_ltv_avg_lifetime AS DOUBLE) AS y,
+                          CAST(avg_session_duration_sec AS DOUBLE) AS x
+                   FROM wide WHERE {split_part(100)} < 80),
+            m AS (SELECT AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
+                         / (var_pop(x) + 2.0 / stddev_pop(y)) AS slope FROM xy)
+            SELECT ROUND(slope, 6) AS slope, ROUND(my - slope * mx, 6) AS intercept FROM m""",
+        "three_part_split": f"""WITH {WIDE} SELECT {KEY}, cohort_ltv_avg_lifetime,
+            CASE WHEN {split_part(100)} < 70 THEN 'train' WHEN {split_part(100)} < 85 THEN 'test'
+                 ELSE 'holdout' END AS part FROM wide""",
+        "stored_features": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
+        "stored_features_long": f"WITH {WIDE} {_unpivoted()}",
+        "event_shards": f"WITH {CANON} {by_day} GROUP BY activity_day",
+        "event_shards_pruned": f"""WITH {CANON} {by_day}
+            WHERE activity_day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+            GROUP BY activity_day""",
+        "cohort_event_ordered": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM event_tab",
+        "cohort_ltv_ordered": f"WITH {_revenue_cte(PER_USER)} {ltv} ltv_tab",
         "table_roundtrip": f"WITH {DURATIONS} SELECT {session_columns} FROM session_tab",
         "request_features": f"""WITH {WIDE}, {REQUESTS}
             SELECT request_id, first_touch_date, traffic_source, os, country,
@@ -365,15 +402,7 @@ def statements() -> dict[str, str]:
         "stream_route": f"""WITH {MESSAGES}
             SELECT kind, CASE WHEN kind <> 'rejected' THEN id END AS id, predicted_ltv
             FROM messages""",
-        "stream_latest_state": f"""WITH {MESSAGES}
-            SELECT id, MAX(CASE WHEN kind = 'predict' THEN id END) AS bucket_folder_id,
-                   MAX_BY(predicted_ltv, offset_) FILTER (WHERE kind = 'done') AS prediction
-            FROM (SELECT * FROM messages WHERE kind IN ('predict', 'done')
-                  UNION ALL
-                  SELECT offset_ + 1000000000, id, 'done', predicted_ltv + 1
-                  FROM messages WHERE kind = 'done'
-                  UNION ALL
-                  SELECT offset_ + 1000000000, id, 'done', 0.25 FROM messages
-                  WHERE kind = 'predict')
-            GROUP BY id""",
+        "stream_latest_state": latest,
+        "stream_lookup": f"""SELECT id, bucket_folder_id, ROUND(prediction, 2) AS prediction
+            FROM ({latest}) WHERE id = 'r2'""",
     }

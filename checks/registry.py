@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortide.functions.time import utc_day
 from cohortide.models import estimators as est
-from cohortide.models.prepare import (PCA_COLUMNS, l2_normalized, minmax_pipeline, split,
-                                      stable_bucket, vector_columns)
+from cohortide.models.prepare import (PCA_COLUMNS, assembler, l2_normalized, minmax_pipeline,
+                                      split, split_three, stable_bucket, vector_columns, vectors,
+                                      with_fold)
 from cohortide.operators import activity, event_metrics, features, quality, revenue
 from cohortide.operators import session_metrics, timeline
 from cohortide.params import COHORT_KEY, SESSION_AVERAGES, TARGET, CohortRequest
@@ -16,7 +19,7 @@ from cohortide.plans import cohort_queries, feature_build, model_selection, scor
 from cohortide.session import materialize, pin_utc, scratch_path
 from cohortide.sources import messages as msg, tables
 from cohortide.sources.events import (CUSTOMER, NATION, TABLE_PARAMS as P, events_from_tables,
-                                      table)
+                                      read_events, table)
 from cohortide.streaming import routing, state
 from cohortide.streaming.loop import LoopPaths, start_loop
 
@@ -142,9 +145,47 @@ def table_roundtrip(spark, folder):
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def stored_features(form):
+    """Both feature tables saved to the catalog; one of them read back by name."""
+    def run(spark, folder):
+        space = f"features_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {space} LOCATION '{scratch_path(spark, space)}'")
+        feature_build.store_features(events_from_tables(spark, folder), P, namespace=space)
+        return plain(tables.read_table(spark, form, space))
+    return run
+
+
+def day_shards(spark, folder):
+    root = scratch_path(spark, "shards")
+    events_from_tables(spark, folder).withColumn("event_date", utc_day(F.col("event_timestamp"))) \
+        .repartition("event_date").write.partitionBy("event_date").parquet(root)
+    return root
+
+
+def by_day(events):
+    return events.groupBy(utc_day(F.col("event_timestamp")).alias("activity_day")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.countDistinct("user_pseudo_id").alias("n_users"))
+
+
+def event_shards(spark, folder):
+    """The log written by day, and all its shards read by a glob."""
+    return by_day(read_events(spark, f"{day_shards(spark, folder)}/event_date=*"))
+
+
+def event_shards_pruned(spark, folder):
+    """The same, of the days of one week; the others' files are not opened."""
+    return by_day(read_events(spark, day_shards(spark, folder), since="2024-01-08",
+                              until="2024-01-14"))
+
+
+def in_order(name):
+    """A cohort query sorted for presentation."""
+    return on_events(lambda e, p: cohort_queries.QUERIES[name](e, p, ordered=True))
+
+
 # --- models -------------------------------------------------------------------------------------
-# linear_cv, cv_neighbours and tree_cv search their whole grids over ten folds. forest_cv and
-# best_params search a part of theirs over three; the full grids are in models.estimators.
+# Every tuning query searches its whole stored grid over ten folds; the forest's grid is dealt to
+# three queries by the number of trees.
 
 def parts(spark, folder):
     return model_selection.training_parts(wide(spark, folder), P)
@@ -181,17 +222,22 @@ def cv_neighbours(spark, folder):
     return est.around_best(est.cv_results(spark, search))
 
 
-def forest_cv(spark, folder):
-    train, test = parts(spark, folder)
-    grid = {"maxDepth": [3, 7], "numTrees": [20, 50]}
-    search, best = model_selection.tune("random_forest", train, P, grid, folds=3)
-    scores = model_selection.evaluate({"random_forest": best}, test, "test")
-    return est.cv_results(spark, search).withColumn("test_rmse", F.lit(scores[0][2]))
+def forest_cv(trees):
+    """All points of the stored grid with that many trees over ten folds: 960 fits. The queries of
+    20, 50 and 100 trees together search the whole grid."""
+    def run(spark, folder):
+        train, test = parts(spark, folder)
+        grid = est.FOREST_GRID | {"numTrees": [trees]}
+        search, best = model_selection.tune("random_forest", train, P, grid)
+        scores = model_selection.evaluate({"random_forest": best}, test, "test")
+        return est.cv_results(spark, search).withColumn("test_rmse", F.lit(scores[0][2]))
+    return run
 
 
 def best_params(spark, folder):
+    """The settings that win on the whole grid of the tree, stored and read back."""
     train, _ = parts(spark, folder)
-    search, _ = model_selection.tune("decision_tree", train, P, {"maxDepth": [2, 5]}, folds=3)
+    search, _ = model_selection.tune("decision_tree", train, P, est.TREE_GRID)
     path = scratch_path(spark, "best-params")
     tables.write_params(spark, est.best_settings(search), path)
     stored = tables.read_params(spark, path)
@@ -199,6 +245,44 @@ def best_params(spark, folder):
                                  "name string, value string")
 
 
+def cv_folds(spark, folder):
+    """Rows that each of the ten folds trains on and is scored on."""
+    train, _ = split(wide(spark, folder))
+    sizes = with_fold(train, 10).groupBy("fold").agg(F.count(F.lit(1)).alias("scored_rows"))
+    total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return sizes.select("fold", "scored_rows", (total - F.col("scored_rows")).alias("train_rows"))
+
+
+def ridge_one_feature(spark, folder):
+    """Slope and intercept of a ridge on one feature, which has a closed form."""
+    train, _ = split(stored_wide(spark, folder))
+    rows = assembler([SESSION_AVERAGES[0]], "features").transform(train)
+    model = est.linear("ridge", reg_param=2.0).fit(rows)
+    return spark.createDataFrame(
+        [(round(float(model.coefficients[0]), 6), round(float(model.intercept), 6))],
+        "slope double, intercept double")
+
+
+def three_part_split(spark, folder):
+    named = zip(("train", "test", "holdout"), split_three(wide(spark, folder)))
+    out = [rows.select(*COHORT_KEY, TARGET, F.lit(name).alias("part")) for name, rows in named]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def holdout_scores(spark, folder):
+    """RMSE of the mean, of every default model and of the chosen forest on three parts."""
+    train, test, holdout = [vectors(r, P) for r in split_three(stored_wide(spark, folder))]
+    return model_selection.compare_default_models(train.cache(), test, holdout)
+
+
+def pca_tree_scores(spark, folder):
+    """RMSE of the tree on session averages and principal components, on both parts."""
+    model, _, train, test = model_selection.pca_tree(stored_wide(spark, folder), P)
+    scores = [s for part, rows in (("train", train), ("test", test))
+              for s in model_selection.evaluate({"pca_tree": model}, rows, part)]
+    return spark.createDataFrame(scores, "model string, part string, rmse double")
+
+
 def model_settings(spark, folder):
     train, _ = parts(spark, folder)
     return est.settings_table(spark, est.tree().fit(train))
@@ -213,7 +297,6 @@ def pca_components(spark, folder):
 
 
 def fitted_forest(spark, rows):
-    from cohortide.models.prepare import vectors
     train, _ = split(rows)
     path = scratch_path(spark, "model")
     est.save_forest(est.forest(**est.CHOSEN_FOREST).fit(vectors(train, P).cache()), path, P)
@@ -302,8 +385,9 @@ def stream_route(spark, folder):
         out).drop("batch_id")
 
 
-def stream_latest_state(spark, folder):
-    """Two rounds of messages through one resumed stream; the second updates some fields."""
+def two_rounds(spark, folder):
+    """The state folder after two rounds of messages through one resumed stream; the second
+    updates some fields."""
     source, root = scratch_path(spark, "messages"), scratch_path(spark, "state")
     progress = scratch_path(spark, "progress")
 
@@ -321,7 +405,16 @@ def stream_latest_state(spark, folder):
         "value", F.to_json(done)).withColumn("position", F.col("offset") + 1000000000)
     msg.envelopes(second, "any", "position").write.json(f"{source}/second")
     run_stream(spark, source, store, progress)
-    return state.latest_state(state.read_updates(spark, root))
+    return root
+
+
+def stream_latest_state(spark, folder):
+    return state.latest_state(state.read_updates(spark, two_rounds(spark, folder)))
+
+
+def stream_lookup(spark, folder):
+    """What the state holds of one id, rounded for display."""
+    return state.lookup(spark, two_rounds(spark, folder), "r2")
 
 
 def stream_score(spark, folder):
@@ -386,10 +479,23 @@ def queries():
         "train_test_split": train_test_split,
         "baseline_rmse": baseline_rmse,
         "table_roundtrip": table_roundtrip,
+        "stored_features": stored_features("processed_data"),
+        "stored_features_long": stored_features("processed_data_long"),
+        "event_shards": event_shards,
+        "event_shards_pruned": event_shards_pruned,
+        "cohort_event_ordered": in_order("event"),
+        "cohort_ltv_ordered": in_order("ltv"),
         "default_models": default_models,
         "linear_cv": linear_cv,
         "tree_cv": tree_cv,
-        "forest_cv": forest_cv,
+        "forest_cv": forest_cv(20),
+        "forest_cv_50": forest_cv(50),
+        "forest_cv_100": forest_cv(100),
+        "cv_folds": cv_folds,
+        "ridge_one_feature": ridge_one_feature,
+        "three_part_split": three_part_split,
+        "holdout_scores": holdout_scores,
+        "pca_tree_scores": pca_tree_scores,
         "cv_neighbours": cv_neighbours,
         "best_params": best_params,
         "model_settings": model_settings,
@@ -400,6 +506,7 @@ def queries():
         "prediction_csv_roundtrip": prediction_csv_roundtrip,
         "stream_route": stream_route,
         "stream_latest_state": stream_latest_state,
+        "stream_lookup": stream_lookup,
         "stream_score": stream_score,
         "stream_answers": stream_answers,
     }

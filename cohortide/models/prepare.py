@@ -13,6 +13,7 @@ from cohortide.functions.columns import stable_bucket
 from cohortide.params import COHORT_KEY, SESSION_AVERAGES, CohortParams
 
 FEATURES = "features"
+# Seeds of the split and of the models.
 SPLIT_SEED = 143
 MODEL_SEED = 511
 
@@ -46,6 +47,15 @@ def split(df: DataFrame, train_percent: int = 80, seed: int = SPLIT_SEED
     return df.where(part < train_percent), df.where(part >= train_percent)
 
 
+def split_three(df: DataFrame, train_percent: int = 70, test_percent: int = 15,
+                seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train, test and hold-out parts. The hold-out scores models after all choices are made."""
+    part = stable_bucket(COHORT_KEY, seed, 100)
+    seen = train_percent + test_percent
+    return (df.where(part < train_percent), df.where((part >= train_percent) & (part < seen)),
+            df.where(part >= seen))
+
+
 def with_fold(df: DataFrame, folds: int, seed: int = MODEL_SEED) -> DataFrame:
     return df.withColumn("fold", stable_bucket(COHORT_KEY, seed, folds))
 

@@ -32,8 +32,11 @@ def evaluate(models: dict[str, Model], rows: DataFrame, part: str) -> list[tuple
             for name, m in models.items()]
 
 
-def compare_default_models(train: DataFrame, test: DataFrame) -> DataFrame:
-    """RMSE on both parts of the mean baseline and every model at its default settings."""
+def compare_default_models(train: DataFrame, test: DataFrame, holdout: DataFrame | None = None
+                           ) -> DataFrame:
+    """RMSE on all given parts of the mean baseline, every model at its default settings and the
+    chosen forest."""
+    parts = {"train": train, "test": test} | ({} if holdout is None else {"holdout": holdout})
     spark = train.sparkSession
     models = {kind: est.linear(kind).fit(train) for kind in est.LINEAR_MIX}
     models["decision_tree"] = est.tree().fit(train)
@@ -41,8 +44,9 @@ def compare_default_models(train: DataFrame, test: DataFrame) -> DataFrame:
     models["chosen_forest"] = est.forest(**est.CHOSEN_FOREST).fit(train)
     evaluator = est.rmse_evaluator()
     rows = [("baseline", part, float(evaluator.evaluate(est.baseline(train, data))))
-            for part, data in (("train", train), ("test", test))]
-    rows += evaluate(models, train, "train") + evaluate(models, test, "test")
+            for part, data in parts.items()]
+    for part, data in parts.items():
+        rows += evaluate(models, data, part)
     return spark.createDataFrame(rows, "model string, part string, rmse double")
 
 

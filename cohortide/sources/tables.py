@@ -13,14 +13,24 @@ REQUEST_JOBS = ("session", "event", "ltv")
 CSV = {"header": "true", "nullValue": "NULL"}
 
 
+# The option by which a connector is told the table's name, where it is not ``table``.
+NAME_OPTIONS = {"jdbc": "dbtable"}
+
+
+def _address(fmt: str, full: str, options: Mapping[str, str] | None) -> dict[str, str]:
+    given = dict(options or {})
+    return given if "path" in given else {NAME_OPTIONS.get(fmt, "table"): full, **given}
+
+
 def read_table(spark: SparkSession, name: str, namespace: str | None = None,
                fmt: str | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
-    """A catalog table, or with ``fmt`` a table of any installed connector (a warehouse, JDBC,
-    a lake format), addressed by its ``table`` option. A missing table raises."""
+    """A catalog table, or with ``fmt`` a table of any installed connector: a warehouse by its
+    ``table`` option, JDBC by ``dbtable``, a lake format by the option ``path``, which then stands
+    in place of the name. A missing table raises."""
     full = f"{namespace}.{name}" if namespace else name
     if fmt is None:
         return spark.table(full)
-    return spark.read.format(fmt).options(**dict(options or {})).option("table", full).load()
+    return spark.read.format(fmt).options(**_address(fmt, full, options)).load()
 
 
 def write_table(df: DataFrame, name: str, namespace: str | None = None, fmt: str | None = None,
@@ -30,8 +40,7 @@ def write_table(df: DataFrame, name: str, namespace: str | None = None, fmt: str
     if fmt is None:
         df.write.mode(mode).saveAsTable(full)
     else:
-        (df.write.format(fmt).options(**dict(options or {})).option("table", full)
-         .mode(mode).save())
+        df.write.format(fmt).options(**_address(fmt, full, options)).mode(mode).save()
 
 
 def write_request_table(df: DataFrame, root: str, request_id: str, job: str) -> str:
