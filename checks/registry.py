@@ -486,18 +486,11 @@ def queries():
         "cohort_event_ordered": in_order("event"),
         "cohort_ltv_ordered": in_order("ltv"),
         "default_models": default_models,
-        "linear_cv": linear_cv,
-        "tree_cv": tree_cv,
-        "forest_cv": forest_cv(20),
-        "forest_cv_50": forest_cv(50),
-        "forest_cv_100": forest_cv(100),
         "cv_folds": cv_folds,
         "ridge_one_feature": ridge_one_feature,
         "three_part_split": three_part_split,
         "holdout_scores": holdout_scores,
         "pca_tree_scores": pca_tree_scores,
-        "cv_neighbours": cv_neighbours,
-        "best_params": best_params,
         "model_settings": model_settings,
         "pca_components": pca_components,
         "forest_predictions": forest_predictions,
@@ -510,3 +503,16 @@ def queries():
         "stream_score": stream_score,
         "stream_answers": stream_answers,
     }
+
+
+def tuning_queries():
+    """The searches of whole grids. Each takes minutes, so they are listed after all others."""
+    return {
+        "linear_cv": linear_cv,
+        "tree_cv": tree_cv,
+        "forest_cv": forest_cv(20),
+        "forest_cv_50": forest_cv(50),
+        "forest_cv_100": forest_cv(100),
+        "cv_neighbours": cv_neighbours,
+        "best_params": best_params,
+    }
