@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from cohortide.models import estimators as est
-from cohortide.models.prepare import (PCA_COLUMNS, minmax_pipeline, split, vector_columns, vectors)
+from cohortide.models.prepare import (PCA_COLUMNS, minmax_pipeline, split, split_three,
+                                      vector_columns, vectors)
 from cohortide.params import COHORT_KEY, SESSION_AVERAGES, TARGET
 from cohortide.plans import model_selection, scoring
 from cohortide.sources.tables import read_params, write_params
@@ -136,3 +137,9 @@ def test_params_file(spark, tmp_path):
     path = str(tmp_path / "params")
     write_params(spark, est.CHOSEN_FOREST, path)
     assert read_params(spark, path) == est.CHOSEN_FOREST
+
+
+def test_three_parts_cover_all_rows_once(wide):
+    parts = [{tuple(r) for r in p.select(*COHORT_KEY).collect()} for p in split_three(wide)]
+    assert len(set.union(*parts)) == sum(map(len, parts)) == wide.count()
+    assert all(parts)

@@ -178,3 +178,9 @@ def test_tables(spark, tmp_path):
     two = df.selectExpr("'r1' request_id", "n").union(df.selectExpr("'r2' request_id", "n"))
     tables.write_by_request(two, str(tmp_path / "many"))
     assert spark.read.parquet(str(tmp_path / "many")).where("request_id = 'r2'").count() == 1
+
+
+def test_connectors_are_told_the_name_in_their_own_way():
+    assert tables._address("jdbc", "a.t", {"url": "u"}) == {"dbtable": "a.t", "url": "u"}
+    assert tables._address("warehouse", "a.t", None) == {"table": "a.t"}
+    assert tables._address("lake", "a.t", {"path": "p"}) == {"path": "p"}
