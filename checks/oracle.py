@@ -395,6 +395,9 @@ def statements() -> dict[str, str]:
                    wide.country IS NOT NULL AS known,
                    wide.cohort_ltv_avg_lifetime, avg_session_duration_sec
             FROM requests LEFT JOIN wide USING ({KEY})""",
+        "requests_answered": f"""WITH {WIDE}, {REQUESTS}
+            SELECT request_id, wide.country IS NOT NULL AS answered
+            FROM requests LEFT JOIN wide USING ({KEY})""",
         "stream_answers": f"""WITH {WIDE}, {REQUESTS}
             SELECT request_id AS id, request_id AS bucket_folder_id,
                    wide.country IS NOT NULL AS answered

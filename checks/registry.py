@@ -336,6 +336,12 @@ def score_requests(spark, folder):
     return scoring.score_requests(asked, rows, fitted_forest(spark, rows), P)
 
 
+def requests_answered(spark, folder):
+    """Which requests got a prediction: those of a known cohort."""
+    return score_requests(spark, folder).select(
+        "request_id", F.col("predicted_ltv").isNotNull().alias("answered"))
+
+
 def prediction_csv_roundtrip(spark, folder):
     """One cohort through the request folder: three tables, prediction as CSV, done message."""
     events = events_from_tables(spark, folder)
@@ -496,6 +502,7 @@ def queries():
         "forest_predictions": forest_predictions,
         "request_features": request_features,
         "score_requests": score_requests,
+        "requests_answered": requests_answered,
         "prediction_csv_roundtrip": prediction_csv_roundtrip,
         "stream_route": stream_route,
         "stream_latest_state": stream_latest_state,
