@@ -1,10 +1,11 @@
-"""Mixing of sources to target weights: Sainte-Lague apportionment of equal-token blocks.
+"""Mixing of sources to target weights: Sainte-Lague apportionment of words.
 
 1. Targets: sources share the total size by weight; no target exceeds ``max_repeat`` times its
    source's size, and what a capped source leaves is shared by weight among the rest.
-2. The total is cut into equal blocks of tokens. Sources get blocks by highest quotients of their
-   targets over 1, 3, 5, ... Each source is split into shards by a seeded hash of the document, and
-   its blocks go to its shards by the same rule on shard sizes.
+2. Sources get the words of the total one by one, by highest quotients of their targets over
+   1, 3, 5, ..., so that each comes within a few words of its target whatever stands beside it. Each
+   source is split into shards by a seeded hash of the document, and its words go to its shards by
+   the same rule on shard sizes.
 3. A shard's documents stand in a seeded order. A quota of more than the shard's size takes the
    whole shard as often as it fits; the rest takes the first tokens in that order.
 
@@ -34,8 +35,6 @@ SEED = 17
 MAX_SHARDS = 512
 SHARD_TOKENS = 100_000
 MAX_SOURCES = 100_000
-#: Blocks that the total is cut into at least, as far as blocks have a token or more.
-BLOCKS = 100_000
 
 
 def text_size(text) -> "F.Column":
@@ -69,8 +68,8 @@ def capped_targets(sizes: list[int], weights: list[int], max_repeat: int = 3) ->
 def sainte_lague(shares: list[float], seats: int) -> np.ndarray:
     """Seats by the highest quotients share / (2k + 1); ties go to the earlier share.
 
-    All but a seat each of the exact proportion is given at once, since the highest quotients
-    include those; the rest one by one.
+    All but a few seats each of the exact proportion are given at once, since the highest quotients
+    include those; the rest one by one. Seats may be as many as the words of a corpus.
     """
     share = np.asarray(shares, float)
     out = np.zeros(len(share), np.int64)
@@ -78,12 +77,14 @@ def sainte_lague(shares: list[float], seats: int) -> np.ndarray:
     if not seats or not total > 0:
         return out
     # A divisor that gives too few seats, then the quotients still open in order.
-    divisor = total / seats
+    divisor, step = total / seats, 0.0
     while True:
-        out = np.maximum(0, np.ceil(share / divisor - 0.5 - 1e-9)).astype(np.int64)
+        quotient = share / divisor
+        out = np.maximum(0, np.ceil(quotient - 0.5 - 1e-9 - 1e-12 * quotient)).astype(np.int64)
         if out.sum() <= seats:
             break
-        divisor *= 1 + 1e-3 + (out.sum() - seats) / seats
+        step = max(2 * step, (out.sum() - seats + 1) / seats)
+        divisor *= 1 + step
     import heapq
 
     heap = [(-s / (2 * k + 1), i) for i, (s, k) in enumerate(zip(share, out)) if s > 0]
@@ -112,8 +113,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = SEE
     sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [n for _, n in sums]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], max_repeat)
-    block = max(1, sum(sizes) // BLOCKS)
-    seats = sainte_lague([float(t) for t in targets], sum(sizes) // block)
+    seats = sainte_lague([float(t) for t in targets], sum(sizes))
     plan = spark.createDataFrame(
         [(s, n, float(t), int(k), min(MAX_SHARDS, ceil(n / SHARD_TOKENS)) or 1)
          for (s, n), t, k in zip(sums, targets, seats)],
@@ -125,9 +125,9 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = SEE
 
     def shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard", ignore_index=True)
-        blocks = sainte_lague(list(group["shard_size"]), int(group["seats"].iloc[0]))
-        # A shard's blocks may pass its cap by part of a block; what passes goes to the others.
-        words, most = blocks * block, group["shard_size"].to_numpy() * max_repeat
+        words = sainte_lague(list(group["shard_size"]), int(group["seats"].iloc[0]))
+        # A shard's words may pass its cap by rounding; what passes goes to the others.
+        most = group["shard_size"].to_numpy() * max_repeat
         words, over = np.minimum(words, most), int(np.maximum(0, words - most).sum())
         for i in np.argsort(words - most, kind="stable"):
             more = min(over, int(most[i] - words[i]))

@@ -289,6 +289,24 @@ def test_mixing(docs, texts, empty):
         d: -(-r.taken // r.size) for d, r in got.items() if r.taken}
 
 
+def test_mixing_keeps_a_tiny_source_beside_a_large_one(spark):
+    rows = [(0, "three small words", "tiny"), (1, " ".join(["few"] * 40), "small")]
+    rows += [(i, "w " * 100_000, "large") for i in range(2, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
+    taken = {s: (n, target) for s, n, target in got}
+    assert {s: t for s, (_, t) in taken.items()} == {"tiny": 9, "small": 120, "large": 2_999_914}
+    assert all(abs(n - target) <= 2 for n, target in taken.values())
+    assert {"tiny", "small"} <= {r.source for r in mixing.mixed_rows(docs).collect()}
+
+
+def test_apportionment_of_very_many_seats():
+    shares = [4.8e9 - 15_003.5, 15_000.0, 3.0, 0.5]
+    for scale in (1, 0.999):
+        got = mixing.sainte_lague([s * scale for s in shares], 4_800_000_000)
+        assert got.sum() == 4_800_000_000 and np.abs(got - shares).max() <= 1
+
+
 def test_apportionment_is_by_highest_quotients():
     rng = random.Random(5)
     for _ in range(50):
