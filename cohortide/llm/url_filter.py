@@ -1,7 +1,7 @@
 """URL filter: rules by host and path first, gradient-boosted trees on lexical features for the rest.
 
 Features: lengths, depth, digit ratio, character entropy, parameter counts, and how often URLs of the
-same host suffix (last label, last two labels) were blocked among the labelled ones. The trees are
+same host suffix (last label, last two labels) were blocked among all labelled ones. The trees are
 MLlib's, fitted on at most ``SAMPLE`` labelled URLs; the query takes as labels the verdicts of the
 rules. Rules are a short given list and become one expression.
 
@@ -68,10 +68,17 @@ def lexical(rows: DataFrame) -> DataFrame:
         {"suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)})
 
 
-def suffix_rates(labelled: DataFrame, name: str) -> DataFrame:
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """Labelled and blocked URLs by the last two labels of the host, which name the last one too."""
+    return labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix2")).agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocked")).withColumn(
+            "suffix1", F.substring_index("suffix2", ".", -1))
+
+
+def suffix_rates(counts: DataFrame, name: str) -> DataFrame:
     """Share of blocked URLs by suffix, drawn to a half where there are few."""
-    return labelled.groupBy(F.col(name).alias(f"of_{name}")).agg(
-        ((F.sum("label") + 5) / (F.count("*") + 10)).alias(f"rate_{name}"))
+    return counts.groupBy(F.col(name).alias(f"of_{name}")).agg(
+        ((F.sum("blocked") + 5) / (F.sum("n") + 10)).alias(f"rate_{name}"))
 
 
 def with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
@@ -82,13 +89,14 @@ def with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
 
 def fit_trees(labelled: DataFrame, sample: int = SAMPLE):
     """A function that adds ``judged`` (1: block). ``labelled``: url, host, path and label 0 or 1."""
-    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).head()
+    counts = materialize(suffix_counts(labelled), "suffix-counts")
+    n, blocked = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "blocked"))).head()
     if not 0 < blocked < n:
         return lambda rows: rows.withColumn("judged", F.lit(0.0))
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < sample * (1 << 30) // n)
     known = materialize(lexical(labelled), "labelled-urls")
-    rates = {s: materialize(suffix_rates(known, s), "suffix-rates") for s in ("suffix1", "suffix2")}
+    rates = {s: materialize(suffix_rates(counts, s), "suffix-rates") for s in ("suffix1", "suffix2")}
     columns = [*LEXICAL, *(f"rate_{s}" for s in rates)]
     trees = GBTClassifier(labelCol="label", featuresCol="features", predictionCol="judged",
                           maxIter=TREES, maxDepth=DEPTH, seed=SEED)

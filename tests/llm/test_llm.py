@@ -195,6 +195,21 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages.where("page_id = 7")).collect()} == {"allow"}
 
 
+def test_suffix_rates_cover_all_labelled_urls(spark):
+    hosts = [f"a.{k}.h{k % 7}" for k in range(100)]
+    rows = [(i, f"http://{h}/{i}", h, f"/{i}", float(i % 3 == 0 or h.endswith("h2")))
+            for i, h in enumerate(hosts * 4)]
+    labelled = spark.createDataFrame(rows, "page_id long, url string, host string, path string, label double")
+    got = url_filter.fit_trees(labelled, sample=60)(labelled.drop("label")).collect()
+    for k in (1, 2):
+        by = {}
+        for _, _, h, _, y in rows:
+            by.setdefault(".".join(h.split(".")[-k:]), []).append(y)
+        for r in got:
+            own = by[".".join(r.host.split(".")[-k:])]
+            assert r[f"rate_suffix{k}"] == pytest.approx((sum(own) + 5) / (len(own) + 10))
+
+
 @pytest.mark.parametrize("operator", [line_crf.classify, toxicity.score_toxicity])
 def test_classifiers_handle_odd_rows(docs, labels, empty, operator):
     got = by_id(operator(docs, labels))
