@@ -9,10 +9,11 @@ A document's log-likelihood ratio is normalised by length, over the whole text a
 windows of ``WINDOWS`` words; a logistic calibration turns these into the score. Calibration, and
 the choice among ``DISCOUNTS``, use a fifth of the labelled rows, which the class counts leave out.
 
-Counts are kept by hashed word in ``BUCKETS`` cells, so the model that is broadcast has a fixed
-size (4 bytes a cell). Words that share a cell share their counts; raise ``BUCKETS`` for vocabularies
-of many more words than cells. Counting covers every document: each task counts its share and sends
-the cells it met, in blocks, which are added up by block.
+Counts are exact, by the 64-bit hash of a word, and cover every word of every document: each task
+counts its share, and a grouped sum adds the shares to a table that grows with the vocabulary. A
+word whose class counts the least discount takes whole has the same ratio as a word without a label,
+whatever its shared count. So the model that is broadcast names only the other words (those in more
+than one labelled document of a class) and one ratio for the rest, and loses nothing by that.
 
 Class counts come from at most ``SAMPLE`` labelled documents, the shared counts from all.
 
@@ -24,104 +25,106 @@ get a score each and count each time. Other columns are not looked at.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortide.llm.labelled import fit_logistic, held_out, labelled_sample, sigmoid
 from cohortide.llm.storage import materialize
-from cohortide.llm.words import ALNUM, Texts, slices, job_settings
+from cohortide.llm.words import ALNUM, Texts, U64, slices, job_settings
 
 SAMPLE = 200_000
-BUCKETS = 1 << 22
-BLOCK = 1 << 16
 #: Contexts that the smaller class's counts may be discounted by.
 DISCOUNTS = (1.5, 4.0, 12.0, 36.0)
 WINDOWS = (1, 12)
 THRESHOLD = 0.3
 #: Labelled documents for the calibration, at most.
 CALIBRATION = 20_000
-#: A task sends its counts when it has met so many words in documents.
-FLUSH = 8_000_000
+#: A task adds up its counts when it holds so many, and sends them when that leaves more than half.
+HELD = 2_000_000
 
 
-def cells(texts: Texts, buckets: int) -> np.ndarray:
-    return (texts.hashes() % np.uint64(buckets)).astype(np.int64)
+def add_up(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, in order, with the sums of its rows of ``counts``."""
+    order = np.argsort(words, kind="stable")
+    words, counts = words[order], counts[order]
+    new = np.flatnonzero(np.append(True, words[1:] != words[:-1])[:len(words)])
+    return words[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def count_cells(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Documents by cell: all, labelled ordinary, labelled toxic. ``docs`` has text and label."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """word (hash), and the documents it is in: n, labelled ordinary, labelled toxic. ``docs`` has
+    text and label."""
 
     def count(batches):
-        table, met = np.zeros((3, buckets), np.uint32), 0
-
-        def send():
-            for b in range(0, buckets, BLOCK):
-                own = table[:, b:b + BLOCK]
-                at = np.flatnonzero(own[0])
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({
-                        "block": pa.array([b // BLOCK], pa.int32()),
-                        "at": pa.array([at.astype("<u2").tobytes()]),
-                        "n": pa.array([own[:, at].tobytes()])})
-            table[:] = 0
+        words, counts, held = [], [], 0
+
+        def send(words, counts):
+            if len(words):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.view(np.int64)), *(pa.array(c) for c in counts.T.copy())],
+                    ["word", "n", "ordinary", "toxic"])
 
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"), ALNUM, lower=True)
-                once = np.unique(texts.owner() * buckets + cells(texts, buckets))
-                cell = once % buckets
                 label = np.array([-1 if x is None else x for x in part.column("label").to_pylist()])
-                kind = label[once // buckets]
-                table[0] += np.bincount(cell, minlength=buckets).astype(np.uint32)
-                for k in (0, 1):
-                    own = cell[kind == k]
-                    if len(own):
-                        table[k + 1] += np.bincount(own, minlength=buckets).astype(np.uint32)
-                met += len(once)
-            if met >= FLUSH:
-                yield from send()
-                met = 0
-        yield from send()
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((3, BLOCK), np.int64)
-        for at, n in zip(group["at"], group["n"]):
-            at = np.frombuffer(at, "<u2")
-            total[:, at] += np.frombuffer(n, np.uint32).reshape(3, -1)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "n": [total.tobytes()]})
+                h, owner = texts.hashes(), texts.owner()
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[:len(h)]
+                h, kind = h[once], label[owner[once]]
+                h, own = add_up(h, np.column_stack([np.ones(len(h), np.int64), kind == 0, kind == 1]))
+                words.append(h)
+                counts.append(own)
+                held += len(h)
+                if held >= HELD:
+                    h, own = add_up(np.concatenate(words), np.concatenate(counts))
+                    words, counts, held = [h], [own], len(h)
+                    if 2 * held >= HELD:
+                        yield from send(h, own)
+                        words, counts, held = [], [], 0
+        if words:
+            yield from send(*add_up(np.concatenate(words), np.concatenate(counts)))
 
     job_settings(docs.sparkSession)
-    out = np.zeros((3, buckets), np.int64)
-    sums = (docs.mapInArrow(count, "block int, at binary, n binary")
-            .groupBy("block").applyInPandas(add, "block int, n binary"))
-    for r in materialize(sums, "word-counts").collect():  # buckets * 24 bytes in all
-        out[:, r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.n, np.int64).reshape(3, -1)
-    return out
-
-
-def log_ratios(counts: np.ndarray, discount: float) -> np.ndarray:
-    """By cell, log P(word | toxic) - log P(word | ordinary)."""
-    shared = (counts[0] + 0.5) / (counts[0] + 0.5).sum()
-    mass = counts[1:].sum(1).astype(float)
-    if not mass.all():
-        return np.zeros(counts.shape[1], np.float16)
-    logs = []
-    for own, n in zip(counts[1:], mass):
-        d = discount * n / mass.min()
-        kept = np.maximum(own - d, 0)
-        logs.append(np.log(kept / n + (1 - kept.sum() / n) * shared))
-    return (logs[1] - logs[0]).astype(np.float16)
-
-
-def evidence(texts: Texts, tables: list[np.ndarray], windows=WINDOWS) -> np.ndarray:
+    sums = docs.mapInArrow(count, "word long, n long, ordinary long, toxic long").groupBy("word").agg(
+        *(F.sum(c).alias(c) for c in ("n", "ordinary", "toxic")))
+    return materialize(sums, "word-counts")
+
+
+def word_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order, and for each of DISCOUNTS their log P(word | toxic) - log P(word | ordinary);
+    the last ratio is that of all other words."""
+    total, *mass = (n or 0 for n in counts.agg(F.sum("n"), F.sum("ordinary"), F.sum("toxic")).head())
+    if not all(mass):
+        return np.zeros(0, np.uint64), np.zeros((len(DISCOUNTS), 1), np.float32)
+    least = [min(DISCOUNTS) * n / min(mass) for n in mass]
+    # Of words in labelled documents, of which there are ``SAMPLE`` at most.
+    named = counts.where((F.col("ordinary") > least[0]) | (F.col("toxic") > least[1])).toArrow()
+    words = named.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    n, *classes = (named.column(c).to_numpy()[order] for c in ("n", "ordinary", "toxic"))
+    shared = n / total
+    ratios = np.zeros((len(DISCOUNTS), len(words) + 1))
+    for k, discount in enumerate(DISCOUNTS):
+        for sign, own, m in zip((-1, 1), classes, mass):
+            kept = np.maximum(own - discount * m / min(mass), 0)
+            left = 1 - kept.sum() / m
+            ratios[k, :-1] += sign * np.log(kept / m + left * shared)
+            ratios[k, -1] += sign * np.log(left)
+    return words[order], ratios.astype(np.float32)
+
+
+def evidence(texts: Texts, words: np.ndarray, tables: np.ndarray, windows=WINDOWS) -> np.ndarray:
     """For each text and table the mean log ratio of its words, and that of its best windows."""
     out = np.zeros((len(texts), len(tables), 1 + len(windows)))
     n = texts.counts
     some = np.flatnonzero(n > 0)
     if not len(some):
         return out.reshape(len(texts), -1)
-    at = cells(texts, len(tables[0]))
+    h = texts.hashes()
+    at = np.searchsorted(words, h)
+    at[np.append(words, U64(0))[at] != h] = len(words)
     first, last = texts.first[:-1], texts.first[1:]
     stop = np.repeat(last, n)
     for k, table in enumerate(tables):
@@ -135,15 +138,15 @@ def evidence(texts: Texts, tables: list[np.ndarray], windows=WINDOWS) -> np.ndar
     return out.reshape(len(texts), -1)
 
 
-def with_evidence(docs: DataFrame, tables: list[np.ndarray], column: str) -> DataFrame:
+def with_evidence(docs: DataFrame, words: np.ndarray, tables: np.ndarray, column: str) -> DataFrame:
     """``column`` of ``docs``, and the evidence of each text as a list."""
     job_settings(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast((words, tables))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                got = evidence(Texts(part.column("text"), ALNUM, lower=True), shared.value)
+                got = evidence(Texts(part.column("text"), ALNUM, lower=True), *shared.value)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), got.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(column), flat.cast(pa.list_(pa.float64()))], [column, "evidence"])
@@ -167,26 +170,24 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-                   buckets: int = BUCKETS, sample: int = SAMPLE, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fifth = F.pmod(F.xxhash64(F.lit(11), "sample_id"), F.lit(5)) == 0
     learn = labelled_sample(labels, "toxic", sample).where(~fifth)
-    counts = count_cells(
+    words, tables = word_model(count_words(
         rows.join(F.broadcast(learn), rows["doc_id"] == learn["sample_id"], "left")
-        .select("text", "label"), buckets)
-    tables = [log_ratios(counts, d) for d in DISCOUNTS]
+        .select("text", "label")))
     few = labelled_sample(labels, "toxic", 5 * CALIBRATION).where(fifth)
     known = with_evidence(rows.join(F.broadcast(few), rows["doc_id"] == few["sample_id"])
-                          .select("text", "label"), tables, "label").collect()
+                          .select("text", "label"), words, tables, "label").collect()
     y = np.array([r.label for r in known], float)
     x = np.array([r.evidence for r in known], float).reshape(len(y), len(tables), 1 + len(WINDOWS))
     chosen, w = calibrate(x, y)
     total = F.lit(float(w[-1]))
     for k, v in enumerate(w[:-1]):
         total = total + float(v) * F.get("evidence", F.lit(k))
-    scores = with_evidence(rows, [tables[chosen]], "doc_id").withColumn(
+    scores = with_evidence(rows, words, tables[chosen:chosen + 1], "doc_id").withColumn(
         "x", F.greatest(F.least(total, F.lit(40.0)), F.lit(-40.0)))
     scored = scores.withColumn("score", 1 / (1 + F.exp(-F.col("x"))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ import corpus_pipeline
 from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, ngram_join, quality_rules,
                            substring_dedup, token_files, toxicity, url_filter)
 from cohortide.llm import queries as llm
+from cohortide.llm.words import Texts
 from compare import difference, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -234,6 +236,39 @@ def test_toxicity_learns(spark):
     assert right > 0.9
 
 
+def test_word_counts_are_exact(spark, docs, texts, monkeypatch):
+    kind = {d: [None, 0, 1][d % 3] for d in texts}
+    # More words than any fixed number of cells could keep apart.
+    many = {10_000 + i: " ".join(f"z{i}q{k}" for k in range(3000)) for i in range(60)}
+    every = {**texts, **many}
+    rows = spark.createDataFrame([(t, kind.get(d)) for d, t in every.items()], "text string, label int")
+    want = {}
+    for d, t in every.items():
+        for w in set(ALNUM.findall(lower(t))):
+            own = want.setdefault(w, [0, 0, 0])
+            own[0] += 1
+            if kind.get(d) is not None:
+                own[1 + kind[d]] += 1
+    names = list(want)
+    h = Texts(pa.array([" ".join(names)]), toxicity.ALNUM).hashes().view(np.int64)
+    for held in (toxicity.HELD, 100):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        counts = toxicity.count_words(rows)
+        got = {r.word: [r.n, r.ordinary, r.toxic] for r in counts.collect()}
+        assert got == {int(x): want[w] for x, w in zip(h, names)}
+    words, ratios = toxicity.word_model(counts)
+    sums = np.array(list(want.values()), float).sum(0)
+    for k, d in enumerate(toxicity.DISCOUNTS):
+        at = np.searchsorted(words, h.view(np.uint64))
+        at[np.append(words, np.uint64(0))[at] != h.view(np.uint64)] = len(words)
+        logs = []
+        for c in (1, 2):
+            own = np.maximum(np.array([want[w][c] for w in names]) - d * sums[c] / sums[1:].min(), 0)
+            shared = np.array([want[w][0] for w in names]) / sums[0]
+            logs.append(np.log(own / sums[c] + (1 - own.sum() / sums[c]) * shared))
+        assert np.allclose(ratios[k][at], logs[1] - logs[0], atol=1e-5)
+
+
 def test_forward_backward_equals_enumeration():
     e, same = np.array([0.3, -1.0, 2.0, 0.5]), np.array([0.7, -0.2])
     p, pair = line_crf.forward_backward(e, np.array([3, 0, 1]), same)
