@@ -12,8 +12,12 @@ document of its substrings; automata hold about ``SHARD_WORDS`` words at a time.
 are streamed through it: where the match is as long as a window and its first document is smaller,
 the window is removed. Maximal spans of removed windows are then cut from the documents.
 
-A passage of very many copies meets in a shard as many segments of one content: it is inserted and
-streamed once, and its copies are compared by id alone.
+A passage of very many copies does not meet in one shard copy by copy. Of a window that several
+documents of a slice have, only those of the smallest id are sent; for the others the verdict is
+known. Windows of a minimizer that very many windows share, as those around such a passage do, are
+dealt by their own content instead, so they spread over all shards and equal ones still meet. Which
+minimizers these are is estimated on a part of the rows; it decides where windows go, not results.
+In a shard, segments of one content are inserted and streamed once.
 
 Cases: a null or empty text has no words. A text shorter than the window keeps all. Rows of one id
 do not remove from each other; rows equal in id and text get equal results. A row without an id
@@ -36,14 +40,18 @@ WINDOW = 13
 BUCKET_BYTES = 10 << 20
 #: Words in one automaton.
 SHARD_WORDS = 50_000
+#: Windows of one minimizer, above which they are dealt by content, and the part of rows (one in so
+#: many) that this is estimated on.
+DEALT, PART = 100_000, 16
 #: Windows in one segment at most.
 _RUN = 240
 #: Words of so few bytes are common; pairs of them are minimizers last.
 _SHORT = 3
 U64 = np.uint64
-_NAMES = ["bucket", "words", "runs", "starts", "docs", "ids"]
-_KINDS = [pa.int32(), *[pa.binary()] * 5]
-_SCHEMA = "bucket int, words binary, runs binary, starts binary, docs binary, ids binary"
+_NAMES = ["bucket", "words", "runs", "starts", "docs", "ids", "gone"]
+_KINDS = [pa.int32(), *[pa.binary()] * 6]
+_SCHEMA = ("bucket int, words binary, runs binary, starts binary, docs binary, ids binary, "
+           "gone binary")
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -67,45 +75,107 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[:len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(texts: Texts, window: int):
-    """Word numbers; and of every segment the first word, number of windows, and minimizer."""
+def windows(texts: Texts, window: int):
+    """Word numbers; and of every window the first word, and the minimizer."""
     short = (texts.ends - texts.starts <= _SHORT).astype(np.uint32)
     words = ((texts.hashes() >> U64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)) | short
     if len(words) < window:
-        return words, *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64)
+        return words, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     last = np.repeat(texts.first[1:], texts.counts)[:len(words) - window + 1]
     at = np.flatnonzero(np.arange(len(last)) + window <= last)
-    low = sliding_min(pair_ranks(words), window - 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1])
-    begin = np.flatnonzero(new)
-    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    begin = np.flatnonzero(place % _RUN == 0)
-    return words, at[begin], np.diff(np.append(begin, len(at))), low[begin]
+    return words, at, sliding_min(pair_ranks(words), window - 1)[at]
 
 
-def send_segments(rows: DataFrame, window: int, bits: int) -> DataFrame:
+def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
+    n = len(words) - window + 1
+    h = mix(words[:n].astype(np.uint64))
+    wide = mix(words.astype(np.uint64))
+    for j in range(1, window):
+        h *= U64(0x9E3779B97F4A7C15)
+        h += wide[j:j + n]
+    return mix(h)
+
+
+def known_gone(words, at, h, doc, window) -> np.ndarray:
+    """Whether a document of smaller id has the window, among these windows; words are compared."""
+    order = np.lexsort((doc, h))
+    start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    least = np.empty(len(h), np.int64)
+    least[order] = np.repeat(order[start], np.diff(np.append(start, len(order))))
+    asked = np.flatnonzero(doc[least] < doc)
+    same = np.ones(len(asked), bool)
+    for j in range(window):
+        same &= words[at[asked] + j] == words[at[least[asked]] + j]
+    gone = np.zeros(len(h), bool)
+    gone[asked[same]] = True
+    return gone
+
+
+def common_minimizers(rows: DataFrame, window: int) -> np.ndarray:
+    """Minimizers of about ``DEALT`` windows or more: as many as there are windows, over that."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                low, n = np.unique(windows(Texts(part.column("text"), PLAIN), window)[2],
+                                   return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(n)], ["low", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(PART)) == 0)
+    found = some.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= max(1, DEALT // PART)).select("low").toArrow()
+    return np.sort(found.column("low").to_numpy().view(np.uint64))
+
+
+def send_segments(rows: DataFrame, window: int, bits: int, common: np.ndarray) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"), PLAIN)
-                words, at, runs, low = segments(texts, window)
+                words, at, low = windows(texts, window)
                 if not len(at):
                     continue
-                bucket = (mix(low) >> U64(64 - bits)).astype(np.int64)
+                ids = np.column_stack([np.asarray(part.column("id")), np.asarray(part.column("key"))])
+                # Rows equal in id and text have equal results: one of a slice stands for all.
+                once = np.zeros(len(texts), bool)
+                once[np.unique(ids[:, 1], return_index=True)[1]] = True
+                owner = texts.owner()
+                h = window_hashes(words, window)[at]
+                use = once[owner[at]]
+                at, low, h = at[use], low[use], h[use]
+                gone = known_gone(words, at, h, ids[owner[at], 0], window)
+                out = []
+                if gone.any():
+                    lost = at[gone]
+                    key = ids[owner[lost], 1]
+                    new = np.flatnonzero(np.append(
+                        True, (lost[1:] != lost[:-1] + 1) | (owner[lost[1:]] != owner[lost[:-1]])))
+                    triples = np.column_stack([key[new], lost[new] - texts.first[owner[lost[new]]],
+                                               np.diff(np.append(new, len(lost)))]).astype(np.int64)
+                    b = int(mix(key[:1].view(np.uint64))[0] >> U64(64 - bits))
+                    out.append((b, b"", b"", b"", b"", b"", triples.tobytes()))
+                at, low, h = at[~gone], low[~gone], h[~gone]
+                deal = np.where(np.isin(low, shared.value), h, low)
+                new = np.ones(len(at), bool)
+                new[1:] = ((at[1:] != at[:-1] + 1) | (deal[1:] != deal[:-1])
+                           | (owner[at[1:]] != owner[at[:-1]]))
+                begin = np.flatnonzero(new)
+                place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+                begin = np.flatnonzero(place % _RUN == 0)
+                runs = np.diff(np.append(begin, len(at)))
+                at, bucket = at[begin], (mix(deal[begin]) >> U64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 at, runs, bucket = at[order], runs[order], bucket[order]
-                owner = texts.owner()[at]
-                ids = np.column_stack([np.asarray(part.column("id")), np.asarray(part.column("key"))])
+                own = owner[at]
                 edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                out = []
                 for b in np.flatnonzero(np.diff(edges)):
                     i, j = edges[b], edges[b + 1]
-                    used, docs = np.unique(owner[i:j], return_inverse=True)
+                    used, docs = np.unique(own[i:j], return_inverse=True)
                     out.append((int(b), words[ranges(at[i:j], runs[i:j] + window - 1)].tobytes(),
                                 runs[i:j].astype(np.uint8).tobytes(),
-                                (at[i:j] - texts.first[owner[i:j]]).astype(np.uint32).tobytes(),
-                                docs.astype(np.uint16).tobytes(), ids[used].tobytes()))
+                                (at[i:j] - texts.first[own[i:j]]).astype(np.uint32).tobytes(),
+                                docs.astype(np.uint16).tobytes(), ids[used].tobytes(), b""))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS)], _NAMES)
 
@@ -184,13 +254,7 @@ def match_segments(words, offset, runs, doc, window):
     Returns numbers of segments, and their first documents one after the other.
     """
     at = ranges(offset, runs)
-    n = len(words) - window + 1
-    h = mix(words[:n].astype(np.uint64))
-    wide = mix(words.astype(np.uint64))
-    for j in range(1, window):
-        h *= U64(0x9E3779B97F4A7C15)
-        h += wide[j:j + n]
-    h = mix(h[at])
+    h = window_hashes(words, window)[at]
     own = np.repeat(doc, runs)
     order = np.argsort(h, kind="stable")
     start = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
@@ -263,17 +327,20 @@ def remove_in_bucket(window: int):
         doc = ids[local, 0]
         sizes = runs + window - 1
         offset = np.cumsum(sizes) - sizes
-        which, found = match_segments(words, offset, runs, doc, window)
+        gone = np.frombuffer(b"".join(cols[5]), np.int64).reshape(-1, 3)
+        which, found = match_segments(words, offset, runs, doc, window) if len(runs) else ([], [])
         if not len(which):
-            return pa.table({"key": pa.array([], pa.int64()), "start": pa.array([], pa.int32()),
-                             "n": pa.array([], pa.int32())})
+            return pa.table({"key": pa.array(gone[:, 0]), "start": pa.array(gone[:, 1].astype(np.int32)),
+                             "n": pa.array(gone[:, 2].astype(np.int32))})
         first = np.array([x for f in found for x in f], np.int64)
         own = np.repeat(doc[which], runs[which])
         place = ranges(starts[which], runs[which])[first < own]
         key = np.repeat(ids[local[which], 1], runs[which])[first < own]
         new = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (key[1:] != key[:-1]))[:len(key)])
-        return pa.table({"key": pa.array(key[new]), "start": pa.array(place[new].astype(np.int32)),
-                         "n": pa.array(np.diff(np.append(new, len(key))).astype(np.int32))})
+        found = np.column_stack([key[new], place[new], np.diff(np.append(new, len(key)))])
+        found = np.concatenate([gone, found.astype(np.int64)])
+        return pa.table({"key": pa.array(found[:, 0]), "start": pa.array(found[:, 1].astype(np.int32)),
+                         "n": pa.array(found[:, 2].astype(np.int32))})
 
     return run
 
@@ -282,7 +349,8 @@ def removed_runs(rows: DataFrame, window: int) -> DataFrame:
     """key, start and n of runs of removed windows. ``rows``: id, key, text."""
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = max(4, min(24, ceil(log2(1 + size / BUCKET_BYTES))))
-    sent = send_segments(rows.where("id is not null"), window, bits)
+    rows = rows.where("id is not null")
+    sent = send_segments(rows, window, bits, common_minimizers(rows, window))
     return materialize(sent.groupBy("bucket").applyInArrow(
         remove_in_bucket(window), "key long, start int, n int"), "removed")
 

@@ -98,6 +98,24 @@ def test_substring_dedup(docs, texts, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_spreads_a_common_passage(spark, docs, monkeypatch):
+    want = sorted(substring_dedup.digest(substring_dedup.dedup_substrings(docs)).collect())
+    monkeypatch.setattr(substring_dedup, "DEALT", 50)
+    monkeypatch.setattr(substring_dedup, "PART", 1)
+    assert sorted(substring_dedup.digest(substring_dedup.dedup_substrings(docs)).collect()) == want
+    # A passage in every row, in surroundings that differ; each of two tasks sends it once.
+    passage = " ".join(f"passage{k}" for k in range(40))
+    rows = spark.createDataFrame(
+        [(i, i, f"{' '.join(f'a{i}x{k}' for k in range(12))} {passage} "
+                f"{' '.join(f'b{i}x{k}' for k in range(12))}") for i in range(400)],
+        "id long, key long, text string").repartition(2)
+    sent = substring_dedup.send_segments(rows, 13, 4, substring_dedup.common_minimizers(rows, 13))
+    load = {}
+    for r in sent.collect():
+        load[r.bucket] = load.get(r.bucket, 0) + int(np.frombuffer(r.runs, np.uint8).sum())
+    assert sum(load.values()) == 400 * 24 + 2 * 28 and max(load.values()) < 2 * sum(load.values()) / 16
+
+
 def test_suffix_automaton_states_first_documents():
     rng = random.Random(1)
     shard, texts = substring_dedup.SuffixAutomaton(), []
