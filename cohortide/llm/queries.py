@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortide.llm import (decontaminate, license_scan, line_crf, mixing, ngram_join,
-                           quality_rules, substring_dedup, token_files, toxicity, url_filter)
+from cohortide.llm import (conversation_repair, decontaminate, license_scan, line_crf, mixing,
+                           ngram_join, periodic_runs, quality_rules, simhash_vp, substring_dedup,
+                           token_files, toxicity, url_filter)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +57,20 @@ def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).drop("source", "place")
 
 
+def op11_periodic_runs(spark, folder):
+    return periodic_runs.digest(periodic_runs.periodic_runs(
+        table(spark, folder, "documents"), reorder=periodic_runs.planted))
+
+
+def op12_conversation_repair(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    return conversation_repair.repair_all(conversations, conversation_repair.damage(conversations))
+
+
+def op13_simhash_vp(spark, folder):
+    return simhash_vp.near_components(table(spark, folder, "documents"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -74,6 +89,9 @@ def queries():
         "op8_line_crf": op8_line_crf,
         "op9_ngram_join": op9_ngram_join,
         "op10_mixing": op10_mixing,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_simhash_vp": op13_simhash_vp,
         "pipeline": pipeline,
     }
 
