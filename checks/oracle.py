@@ -350,6 +350,13 @@ def statements() -> dict[str, str]:
         "duplicate_cohorts": f"""WITH {_revenue_cte(PER_USER)}
             SELECT {KEY}, COUNT(*) AS "count" FROM ltv_tab GROUP BY {KEY} HAVING COUNT(*) > 1""",
         "dq_profile": f"WITH {WIDE}{_profile()}",
+        "dq_profile_of_table": f"WITH {WIDE}{_profile()}",
+        "features_from_buckets": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
+        "features_incremental": f"WITH {WIDE} SELECT {WIDE_COLUMNS} FROM wide",
+        "sql_session":
+            f"WITH {DURATIONS} SELECT {session_columns} FROM session_tab WHERE {ONE_COHORT}",
+        "sql_event": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM event_tab WHERE {ONE_COHORT}",
+        "sql_ltv": f"WITH {_revenue_cte(PER_USER)} {ltv} ltv_tab WHERE {ONE_COHORT}",
         "counts_by_traffic_source":
             f'WITH {WIDE} SELECT traffic_source, COUNT(*) AS "count" FROM wide GROUP BY 1',
         "counts_by_os": f'WITH {WIDE} SELECT os, COUNT(*) AS "count" FROM wide GROUP BY 1',
@@ -378,6 +385,20 @@ def statements() -> dict[str, str]:
             m AS (SELECT AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
                          / (var_pop(x) + 2.0 / stddev_pop(y)) AS slope FROM xy)
             SELECT ROUND(slope, 6) AS slope, ROUND(my - slope * mx, 6) AS intercept FROM m""",
+        "ridge_path": f"""WITH {WIDE},
+            xy AS (SELECT CAST(cohort_ltv_avg_lifetime AS DOUBLE) AS y,
+                          CAST(avg_session_duration_sec AS DOUBLE) AS x,
+                          {split_part(10, 511)} AS fold
+                   FROM wide WHERE {split_part(100)} < 80),
+            held AS (SELECT DISTINCT fold AS own FROM xy),
+            regs AS (SELECT CAST(unnest([0.1, 0.5, 1.0, 5.0, 10.0]) AS DOUBLE) AS reg_param),
+            m AS (SELECT own, reg_param, AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
+                         / (var_pop(x) + reg_param / stddev_pop(y)) AS slope
+                  FROM xy, held, regs WHERE fold <> own GROUP BY own, reg_param),
+            s AS (SELECT own, reg_param, sqrt(AVG((y - my - slope * (x - mx))
+                                                  * (y - my - slope * (x - mx)))) AS e
+                  FROM m JOIN xy ON fold = own GROUP BY own, reg_param)
+            SELECT reg_param, ROUND(AVG(e), 6) AS rmse FROM s GROUP BY reg_param""",
         "three_part_split": f"""WITH {WIDE} SELECT {KEY}, cohort_ltv_avg_lifetime,
             CASE WHEN {split_part(100)} < 70 THEN 'train' WHEN {split_part(100)} < 85 THEN 'test'
                  ELSE 'holdout' END AS part FROM wide""",
@@ -387,6 +408,9 @@ def statements() -> dict[str, str]:
         "event_shards_pruned": f"""WITH {CANON} {by_day}
             WHERE activity_day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
             GROUP BY activity_day""",
+        "suffix_shards": f"""WITH {CANON} {by_day}
+            WHERE activity_day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+            GROUP BY activity_day""",
         "cohort_event_ordered": f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM event_tab",
         "cohort_ltv_ordered": f"WITH {_revenue_cte(PER_USER)} {ltv} ltv_tab",
         "table_roundtrip": f"WITH {DURATIONS} SELECT {session_columns} FROM session_tab",
@@ -395,6 +419,14 @@ def statements() -> dict[str, str]:
                    wide.country IS NOT NULL AS known,
                    wide.cohort_ltv_avg_lifetime, avg_session_duration_sec
             FROM requests LEFT JOIN wide USING ({KEY})""",
+        "prepared_requests": f"""WITH {WIDE}, {REQUESTS}
+            SELECT request_id, first_touch_date, traffic_source, os, country,
+                   wide.country IS NOT NULL AS known,
+                   wide.cohort_ltv_avg_lifetime, avg_session_duration_sec
+            FROM requests LEFT JOIN wide USING ({KEY})""",
+        "prepared_answers": f"""WITH {WIDE}, {REQUESTS}
+            SELECT request_id, wide.country IS NOT NULL AS answered
+            FROM requests LEFT JOIN wide USING ({KEY})""",
         "requests_answered": f"""WITH {WIDE}, {REQUESTS}
             SELECT request_id, wide.country IS NOT NULL AS answered
             FROM requests LEFT JOIN wide USING ({KEY})""",
@@ -402,6 +434,16 @@ def statements() -> dict[str, str]:
             SELECT request_id AS id, request_id AS bucket_folder_id,
                    wide.country IS NOT NULL AS answered
             FROM requests LEFT JOIN wide USING ({KEY})""",
+        "stream_ingest": f"""WITH {REQUESTS},
+            hashed AS (SELECT *, md5('app_request/0/' || substr(request_id, 2)) AS h FROM requests),
+            named AS (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4)
+                      || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS ident, * FROM hashed)
+            SELECT ident AS request_id, first_touch_date, traffic_source, os, country,
+                   '{{"input_data":{{"country":"' || country || '","date":"'
+                   || strftime(first_touch_date, '%Y-%m-%d') || '","os":"' || os
+                   || '","traffic_source":"' || traffic_source || '"}},"request_id":"' || ident || '"}}'
+                   AS value
+            FROM named""",
         "stream_route": f"""WITH {MESSAGES}
             SELECT kind, CASE WHEN kind <> 'rejected' THEN id END AS id, predicted_ltv
             FROM messages""",

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortide.functions.time import utc_day
-from cohortide.models import estimators as est
+from cohortide.models import estimators as est, ledger, paths, search
 from cohortide.models.prepare import (PCA_COLUMNS, assembler, l2_normalized, minmax_pipeline,
                                       split, split_three, stable_bucket, vector_columns, vectors,
                                       with_fold)
@@ -16,10 +16,11 @@ from cohortide.operators import activity, event_metrics, features, quality, reve
 from cohortide.operators import session_metrics, timeline
 from cohortide.params import COHORT_KEY, SESSION_AVERAGES, TARGET, CohortRequest
 from cohortide.plans import cohort_queries, feature_build, model_selection, scoring
+from cohortide.plans import sql as cohort_sql
 from cohortide.session import materialize, pin_utc, scratch_path
 from cohortide.sources import messages as msg, tables
 from cohortide.sources.events import (CUSTOMER, NATION, TABLE_PARAMS as P, events_from_tables,
-                                      read_events, table)
+                                      read_day_shards, read_events, table, write_day_shards)
 from cohortide.streaming import routing, state
 from cohortide.streaming.loop import LoopPaths, start_loop
 
@@ -101,14 +102,64 @@ def filtered(name):
 
 
 def dq_profile(spark, folder):
+    """The profile that is observed while the feature table is written."""
+    return feature_build.store_profiled(events_from_tables(spark, folder), P)[1]
+
+
+def dq_profile_of_table(spark, folder):
+    """The same by a pass over the rows."""
+    rows = features.unfilled_features(events_from_tables(spark, folder), P)
+    return quality.dq_profile(rows)
+
+
+def database(spark, label):
+    space = f"{label}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {space} LOCATION '{scratch_path(spark, space)}'")
+    return space
+
+
+def features_from_buckets(spark, folder):
+    """The three stored tables, dealt to buckets by the cohort key, and joined without a shuffle."""
+    space = database(spark, "buckets")
+    feature_build.store_cohort_tables(events_from_tables(spark, folder), P, space)
+    return plain(feature_build.features_of_tables(spark, space, P))
+
+
+def log_days(events):
+    """Days that the log has, in order."""
+    day = utc_day(F.col("event_timestamp")).alias("day")
+    return [r.day for r in events.select(day).distinct().orderBy("day").collect()]
+
+
+def features_incremental(spark, folder):
+    """Features from a timeline table built in four steps, the last of which gives a day again."""
     events = events_from_tables(spark, folder)
-    key = list(COHORT_KEY)
-    raw = (revenue.dedupe_ltv(revenue.cohort_ltv(events, P))
-           .join(event_metrics.event_bucket_pivot(
-               event_metrics.event_session_metrics(events, P), P), key, "left")
-           .join(session_metrics.session_cohort_metrics(events, P)
-                 .select(*key, *SESSION_AVERAGES), key, "left"))
-    return quality.dq_profile(raw.select(*key, TARGET, *P.feature_columns))
+    path, days = scratch_path(spark, "timeline"), log_days(events)
+    third = -(-len(days) // 3)
+    steps = [days[i:i + third] for i in range(0, len(days), third)]
+    # One day comes with half of its events first, and whole afterwards.
+    late = days[len(days) // 2]
+    part = events.where((utc_day(F.col("event_timestamp")) != F.lit(late)) | (F.col("event_timestamp") % 2 == 0))
+    for own in steps:
+        timeline.update_timeline(part, P, path, own)
+    timeline.update_timeline(events, P, path, [late])
+    return plain(features.fused_features(timeline.read_timeline(spark, path, P), P))
+
+
+def sql_cohorts(job):
+    """A cohort query called by SQL text with named arguments, over variables set by SQL."""
+    def run(spark, folder):
+        events = events_from_tables(spark, folder)
+        cohort_sql.declare(spark, P.but(gap_minutes=30))
+        spark.sql("SET VAR gap_minutes = :minutes", args={"minutes": P.gap_minutes})
+        params = cohort_sql.variables(spark, P)
+        cohort_sql.register(spark, timeline.store_timeline(events, params), params)
+        text = (f"SELECT * FROM {job}_data(country_name => :country, os_name => :os, "
+                "source => :source, day => :day)")
+        args = {"day": ONE_COHORT.date, "source": ONE_COHORT.traffic_source, "os": ONE_COHORT.os,
+                "country": ONE_COHORT.country}
+        return plain(spark.sql(text, args=args))
+    return run
 
 
 def minmax_scaled(spark, folder):
@@ -148,8 +199,7 @@ def table_roundtrip(spark, folder):
 def stored_features(form):
     """Both feature tables saved to the catalog; one of them read back by name."""
     def run(spark, folder):
-        space = f"features_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE DATABASE {space} LOCATION '{scratch_path(spark, space)}'")
+        space = database(spark, "features")
         feature_build.store_features(events_from_tables(spark, folder), P, namespace=space)
         return plain(tables.read_table(spark, form, space))
     return run
@@ -178,6 +228,17 @@ def event_shards_pruned(spark, folder):
                               until="2024-01-14"))
 
 
+def suffix_shards(spark, folder):
+    """The log as ``events_YYYYMMDD`` shards, of which those of one week are read."""
+    events = events_from_tables(spark, folder)
+    prefix = f"{scratch_path(spark, 'day-shards')}/events_"
+    write_day_shards(events, prefix, [d for d in log_days(events)
+                                      if dt.date(2024, 1, 5) <= d <= dt.date(2024, 1, 20)])
+    rows = read_day_shards(spark, prefix, dt.date(2024, 1, 8), dt.date(2024, 1, 14), day_column="shard")
+    return rows.groupBy(F.col("shard").alias("activity_day")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.countDistinct("user_pseudo_id").alias("n_users"))
+
+
 def in_order(name):
     """A cohort query sorted for presentation."""
     return on_events(lambda e, p: cohort_queries.QUERIES[name](e, p, ordered=True))
@@ -196,55 +257,90 @@ def default_models(spark, folder):
 
 
 def linear_cv(spark, folder):
-    """Every stored grid of the linear models over ten folds: 400 fits."""
+    """Every stored grid of the linear models over ten folds, from one pass over the rows; the best
+    point of each is fitted again by MLlib and scored on the test part."""
     train, test = parts(spark, folder)
-    grids = (("lasso", "lasso", est.LASSO_GRID), ("ridge", "ridge", est.RIDGE_GRID),
-             ("ridge_second", "ridge", est.RIDGE_SECOND_GRID),
-             ("elastic_net", "elastic_net", est.ELASTIC_GRID))
     out = []
-    for name, kind, grid in grids:
-        search, best = model_selection.tune(kind, train, P, grid)
+    for name, (kind, grid) in LINEAR_GRIDS.items():
+        results = search.search_linear(kind, train, P, grid)
+        best = search.refit(kind, search.best_point(results), train)
         scores = model_selection.evaluate({name: best}, test, "test")
-        out.append((name, float(min(search.avgMetrics)), scores[0][2]))
+        out.append((name, float(results.agg(F.min("rmse")).first()[0]), scores[0][2]))
     return spark.createDataFrame(out, "model string, cv_rmse double, test_rmse double")
 
 
+LINEAR_GRIDS = {"lasso": ("lasso", est.LASSO_GRID), "ridge": ("ridge", est.RIDGE_GRID),
+                "ridge_second": ("ridge", est.RIDGE_SECOND_GRID),
+                "elastic_net": ("elastic_net", est.ELASTIC_GRID)}
+
+
+def searched(spark, folder, kind, grid):
+    """Scores of the grid on the training part, through the session's ledger, and both parts."""
+    train, test = parts(spark, folder)
+    rows = search.fold_rows(train, P)
+    return search.search(kind, rows, P, grid, ledger.TrialLedger(spark)), train, test
+
+
 def tree_cv(spark, folder):
-    """The whole grid over ten folds: 1,280 fits."""
-    train, _ = parts(spark, folder)
-    search, _ = model_selection.tune("decision_tree", train, P, est.TREE_GRID)
-    return est.cv_results(spark, search)
+    """The whole grid over ten folds; one fit scores all eight depths, so 160 fits."""
+    return searched(spark, folder, "decision_tree", est.TREE_GRID)[0]
 
 
 def cv_neighbours(spark, folder):
     train, _ = parts(spark, folder)
-    search, _ = model_selection.tune("lasso", train, P, est.LASSO_GRID)
-    return est.around_best(est.cv_results(spark, search))
+    return est.around_best(search.search_linear("lasso", train, P, est.LASSO_GRID))
 
 
 def forest_cv(trees):
     """All points of the stored grid with that many trees over ten folds: 960 fits. The queries of
     20, 50 and 100 trees together search the whole grid."""
     def run(spark, folder):
-        train, test = parts(spark, folder)
         grid = est.FOREST_GRID | {"numTrees": [trees]}
-        search, best = model_selection.tune("random_forest", train, P, grid)
+        results, train, test = searched(spark, folder, "random_forest", grid)
+        best = search.refit("random_forest", search.best_point(results), train)
         scores = model_selection.evaluate({"random_forest": best}, test, "test")
-        return est.cv_results(spark, search).withColumn("test_rmse", F.lit(scores[0][2]))
+        return results.withColumn("test_rmse", F.lit(scores[0][2]))
     return run
 
 
 def best_params(spark, folder):
     """The settings that win on the whole grid of the tree, stored and read back."""
-    train, _ = parts(spark, folder)
-    search, _ = model_selection.tune("decision_tree", train, P, est.TREE_GRID)
+    results, train, _ = searched(spark, folder, "decision_tree", est.TREE_GRID)
+    model = search.refit("decision_tree", search.best_point(results), train)
     path = scratch_path(spark, "best-params")
-    tables.write_params(spark, est.best_settings(search), path)
+    tables.write_params(spark, est.settings_of(model), path)
     stored = tables.read_params(spark, path)
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(stored.items())],
                                  "name string, value string")
 
 
+def tuned_scores(spark, folder):
+    """RMSE of the winners of all searches but the forest's on train, test and hold-out part, and of
+    the stored tree, which is loaded for it."""
+    train, test, holdout = [vectors(r, P) for r in split_three(stored_wide(spark, folder))]
+    models = {}
+    for name, (kind, grid) in LINEAR_GRIDS.items():
+        models[name] = search.refit(kind, search.best_point(search.search_linear(kind, train, P, grid)), train)
+    results = search.search("decision_tree", search.fold_rows(train, P), P, est.TREE_GRID,
+                            ledger.TrialLedger(spark))
+    path = scratch_path(spark, "tree")
+    est.save_model(search.refit("decision_tree", search.best_point(results), train), path, P)
+    models["decision_tree"] = est.load_model(spark, path, P)
+    scores = [row for part, rows in (("train", train), ("test", test), ("holdout", holdout))
+              for row in model_selection.evaluate(models, rows, part)]
+    return spark.createDataFrame(scores, "model string, part string, rmse double")
+
+
+def ridge_path(spark, folder):
+    """Mean RMSE over ten folds of a ridge on one feature for each penalty; SQL can say the same."""
+    train, _ = split(stored_wide(spark, folder))
+    moments = paths.fold_moments(with_fold(train, 10), [SESSION_AVERAGES[0]], 10)
+    regs = est.RIDGE_GRID["regParam"]
+    scores = paths.cross_validated(moments, [(reg, 0.0) for reg in regs])
+    return spark.createDataFrame([(reg, round(s, 6)) for reg, (s, _) in zip(regs, scores)],
+                                 "reg_param double, rmse double")
+
+
 def cv_folds(spark, folder):
     """Rows that each of the ten folds trains on and is scored on."""
     train, _ = split(wide(spark, folder))
@@ -342,6 +438,25 @@ def requests_answered(spark, folder):
         "request_id", F.col("predicted_ltv").isNotNull().alias("answered"))
 
 
+def prepared_requests(spark, folder):
+    """All requests prepared together, and the features of their cohorts read from that."""
+    root = scratch_path(spark, "prepared")
+    scoring.prepare_requests(events_from_tables(spark, folder), P,
+                             requests(spark, folder).select("request_id", *COHORT_KEY), root)
+    return scoring.prepared_features(spark, root, P).select(
+        "request_id", *COHORT_KEY, "known", TARGET, "avg_session_duration_sec")
+
+
+def prepared_answers(spark, folder):
+    """Which of the requests that were prepared together get a prediction."""
+    root = scratch_path(spark, "prepared")
+    scoring.prepare_requests(events_from_tables(spark, folder), P,
+                             requests(spark, folder).select("request_id", *COHORT_KEY), root)
+    model = fitted_forest(spark, stored_wide(spark, folder))
+    return scoring.predict_requests(spark, root, model, P).select(
+        "request_id", F.col("predicted_ltv").isNotNull().alias("answered"))
+
+
 def prediction_csv_roundtrip(spark, folder):
     """One cohort through the request folder: three tables, prediction as CSV, done message."""
     events = events_from_tables(spark, folder)
@@ -391,9 +506,9 @@ def stream_route(spark, folder):
         out).drop("batch_id")
 
 
-def two_rounds(spark, folder):
+def two_rounds(spark, folder, compacted=False):
     """The state folder after two rounds of messages through one resumed stream; the second
-    updates some fields."""
+    updates some fields. The first may be folded to a generation in between."""
     source, root = scratch_path(spark, "messages"), scratch_path(spark, "state")
     progress = scratch_path(spark, "progress")
 
@@ -403,6 +518,8 @@ def two_rounds(spark, folder):
     first = customer_messages(spark, folder)
     first.write.json(f"{source}/first")
     run_stream(spark, source, store, progress)
+    if compacted:
+        state.compact(spark, root, 0)
     routed = routing.route(first)
     done = F.struct(F.col("id").alias("data_id"),
                     F.when(F.col("kind") == "done", F.col("m.predicted_ltv") + 1)
@@ -415,7 +532,25 @@ def two_rounds(spark, folder):
 
 
 def stream_latest_state(spark, folder):
-    return state.latest_state(state.read_updates(spark, two_rounds(spark, folder)))
+    root = two_rounds(spark, folder, compacted=True)
+    return state.latest_state(state.read_updates(spark, root))
+
+
+def stream_ingest(spark, folder):
+    """Requests that come without an id through a stream, twice; a replay gives the same ids."""
+    source, out = scratch_path(spark, "asked"), scratch_path(spark, "ingested")
+    asked = requests(spark, folder)
+    data = F.struct("country", F.date_format("first_touch_date", "yyyy-MM-dd").alias("date"),
+                    "os", "traffic_source").alias("input_data")
+    msg.envelopes(asked.withColumn("value", F.to_json(F.struct(data))), msg.APP_REQUEST, "c_custkey"
+                  ).write.json(source)
+
+    def store(batch, batch_id):
+        routing.ingest(batch).write.mode("append").parquet(out)
+
+    for _ in range(2):
+        run_stream(spark, source, store, scratch_path(spark, "progress"))
+    return spark.read.parquet(out).select("request_id", *COHORT_KEY, "value").distinct()
 
 
 def stream_lookup(spark, folder):
@@ -433,7 +568,7 @@ def stream_score(spark, folder):
         "position", F.monotonically_increasing_id()), msg.APP_REQUEST, "position").write.json(
         f"{source}/requests")
     paths = LoopPaths(*[scratch_path(spark, n) for n in
-                        ("registry", "state", "rejected", "progress")])
+                        ("state", "rejected", "progress")])
     for _ in msg.TOPICS:
         start_loop(msg.read_files(spark, source), rows, model, P, paths, msg.file_sink(source),
                    availableNow=True).awaitTermination()
@@ -476,7 +611,13 @@ def queries():
         "cohort_filtered_ltv": filtered("ltv"),
         "duplicate_cohorts": on_events(
             lambda e, p: quality.duplicate_cohorts(revenue.cohort_ltv(e, p))),
+        "features_from_buckets": features_from_buckets,
+        "features_incremental": features_incremental,
+        "sql_session": sql_cohorts("session"),
+        "sql_event": sql_cohorts("event"),
+        "sql_ltv": sql_cohorts("ltv"),
         "dq_profile": dq_profile,
+        "dq_profile_of_table": dq_profile_of_table,
         "counts_by_traffic_source": on_wide(lambda w: quality.counts_by(w, "traffic_source")),
         "counts_by_os": on_wide(lambda w: quality.counts_by(w, "os")),
         "preview": on_wide(lambda w: quality.preview(w, 3, COHORT_KEY)),
@@ -489,11 +630,13 @@ def queries():
         "stored_features_long": stored_features("processed_data_long"),
         "event_shards": event_shards,
         "event_shards_pruned": event_shards_pruned,
+        "suffix_shards": suffix_shards,
         "cohort_event_ordered": in_order("event"),
         "cohort_ltv_ordered": in_order("ltv"),
         "default_models": default_models,
         "cv_folds": cv_folds,
         "ridge_one_feature": ridge_one_feature,
+        "ridge_path": ridge_path,
         "three_part_split": three_part_split,
         "holdout_scores": holdout_scores,
         "pca_tree_scores": pca_tree_scores,
@@ -503,10 +646,13 @@ def queries():
         "request_features": request_features,
         "score_requests": score_requests,
         "requests_answered": requests_answered,
+        "prepared_requests": prepared_requests,
+        "prepared_answers": prepared_answers,
         "prediction_csv_roundtrip": prediction_csv_roundtrip,
         "stream_route": stream_route,
         "stream_latest_state": stream_latest_state,
         "stream_lookup": stream_lookup,
+        "stream_ingest": stream_ingest,
         "stream_score": stream_score,
         "stream_answers": stream_answers,
     }
@@ -522,4 +668,5 @@ def tuning_queries():
         "forest_cv_100": forest_cv(100),
         "cv_neighbours": cv_neighbours,
         "best_params": best_params,
+        "tuned_scores": tuned_scores,
     }

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import (DecisionTreeRegressor, LinearRegression,
+from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor,
+                                   LinearRegression, LinearRegressionModel,
                                    RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -117,16 +118,23 @@ def best_settings(model: CrossValidatorModel, features: str = FEATURES) -> dict[
             "featuresCol": features, "seed": MODEL_SEED}
 
 
-def save_forest(model: RandomForestRegressionModel, path: str, params: CohortParams) -> None:
-    """Save a forest together with the feature order it was trained on."""
-    model.write().overwrite().save(f"{path}/forest")
-    order = {"features": list(params.feature_columns)}
-    write_params(SparkSession.active(), order, f"{path}/features")
+MODELS = {"RandomForestRegressionModel": RandomForestRegressionModel,
+          "DecisionTreeRegressionModel": DecisionTreeRegressionModel,
+          "LinearRegressionModel": LinearRegressionModel}
 
 
-def load_forest(spark: SparkSession, path: str, params: CohortParams
-                ) -> RandomForestRegressionModel:
-    stored = read_params(spark, f"{path}/features")["features"]
-    if stored != list(params.feature_columns):
+def save_model(model: Model, path: str, params: CohortParams) -> None:
+    """Save a regressor together with its kind and the feature order it was trained on."""
+    model.write().overwrite().save(f"{path}/model")
+    about = {"features": list(params.feature_columns), "kind": type(model).__name__}
+    write_params(SparkSession.active(), about, f"{path}/features")
+
+
+def load_model(spark: SparkSession, path: str, params: CohortParams) -> Model:
+    stored = read_params(spark, f"{path}/features")
+    if stored["features"] != list(params.feature_columns):
         raise ValueError("the model was trained on another feature order")
-    return RandomForestRegressionModel.load(f"{path}/forest")
+    return MODELS[stored["kind"]].load(f"{path}/model")
+
+
+save_forest, load_forest = save_model, load_model

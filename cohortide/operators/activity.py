@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortide.functions.time import day_number, utc_day
 from cohortide.functions.columns import bucket_flag
@@ -32,10 +32,13 @@ def with_launch_day(rows: DataFrame, params: CohortParams) -> DataFrame:
 
 
 def daily_activity(events: DataFrame, params: CohortParams) -> DataFrame:
-    """Active days joined to the first-touch date, with launch-day number and bucket flags.
+    """Active days with the user's first-touch date, launch-day number and bucket flags.
 
-    Both sides are one aggregation per user (and day) away from the events, so the join never
-    sees raw rows. An unknown user keeps its days and gets no first-touch date.
+    The first active day is the least of a user's days, so one scan serves both: days are made
+    distinct on the map side first, and a user has at most as many rows as days. An unknown user
+    keeps its days and gets no first-touch date.
     """
-    joined = active_days(events).join(first_touch(events), USER, "left")
-    return with_launch_day(joined, params)
+    first = F.min("activity_day").over(Window.partitionBy(USER))
+    days = active_days(events).withColumn("first_touch_date", F.when(F.col(USER).isNotNull(), first))
+    return with_launch_day(days, params).select(
+        USER, "activity_day", "first_touch_date", "day_after_launch", *params.buckets)

@@ -20,9 +20,11 @@ for the first-touch date, and no second pass over the events.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cohortide.functions.time import (MICROS_PER_SECOND, MINUTE_MICROS, elapsed_whole,
                                       session_slot_width, slot_start, utc_day, year_start_micros)
@@ -30,6 +32,9 @@ from cohortide.params import DIMENSIONS, CohortParams, MetricSpec
 from cohortide.session import materialize
 
 USER = "user_pseudo_id"
+TIMELINE_DAY = "timeline_day"
+#: Files of one day of a timeline table: users are dealt to so many.
+DAY_FILES = 8
 VALUE_FIELDS = {"int": "int_value", "string": "string_value", "double": "double_value"}
 
 
@@ -91,9 +96,10 @@ def user_timeline(events: DataFrame, params: CohortParams, metrics: bool = False
     merged into a single row that serves just to disqualify them.
 
     A timeline given in place of events is returned as it is, so every query can start from a
-    stored one.
+    stored one. It carries the parameters it was built with; others are refused.
     """
-    if "first_any" in events.columns:
+    if is_timeline(events):
+        check_timeline(events, params)
         return events
     width = session_slot_width(params.gap_minutes)
     unit = MICROS_PER_SECOND if revenue else width
@@ -147,10 +153,68 @@ def user_timeline(events: DataFrame, params: CohortParams, metrics: bool = False
     return merge_seconds(seconds, width, dims, [*sums, "earn_rows"])
 
 
+def is_timeline(rows: DataFrame) -> bool:
+    return "first_any" in rows.columns
+
+
+def timeline_params(params: CohortParams) -> str:
+    """The parameters that decide what a timeline holds, as text."""
+    return json.dumps([
+        params.install_year, params.gap_minutes, params.cross_user_gaps,
+        sorted(params.revenue_screens), sorted(params.event_names), sorted(params.param_keys),
+        [[m.name, m.event, m.key, m.field, m.how] for m in params.summed_metrics]])
+
+
+def check_timeline(timeline: DataFrame, params: CohortParams) -> None:
+    """Raise if a stored timeline was built with other parameters. One without a note of them, as
+    when it is built by hand, is taken as it is."""
+    built = timeline.schema["first_any"].metadata.get("params")
+    if built is not None and built != timeline_params(params):
+        raise ValueError("the timeline was stored with other parameters")
+
+
+def full_timeline(events: DataFrame, params: CohortParams) -> DataFrame:
+    """The merged timeline with every column and a note of its parameters."""
+    rows = user_timeline(events, params, metrics=True, revenue=True)
+    return rows.withMetadata("first_any", {"params": timeline_params(params)})
+
+
 def store_timeline(events: DataFrame, params: CohortParams) -> DataFrame:
-    """Scan the log once for all cohort queries: the merged timeline with every column, written
-    to the shared folder. Pooled revenue is the one query that still needs the events."""
-    return materialize(user_timeline(events, params, metrics=True, revenue=True), "timeline")
+    """Scan the log once for all cohort queries: the merged timeline, written to the shared
+    folder. Pooled revenue is the one query that still needs the events."""
+    return materialize(full_timeline(events, params), "timeline")
+
+
+def update_timeline(events: DataFrame, params: CohortParams, path: str, days: Sequence[dt.date]) -> None:
+    """Build, or rebuild, the parts of a timeline table for some days of the log.
+
+    The table is partitioned by day. Slots nest in a day, so the log of a day decides its part and no
+    other; sessions that go on over midnight are joined when the table is queried. A late or corrected
+    day is given again and its part is replaced. ``events`` must hold those days whole; others in it
+    are left out. A day that has become empty keeps its part: drop that folder instead.
+    """
+    if params.cross_user_gaps:
+        raise ValueError("pooled gaps are measured on events, not on a timeline")
+    width, opens = session_slot_width(params.gap_minutes), year_start_micros(params.install_year)
+    ts = F.col("event_timestamp")
+    own = events.where(utc_day(ts).isin(list(days)))
+    live = full_timeline(own.where(ts >= opens), params).withColumn(TIMELINE_DAY, utc_day(F.col("slot")))
+    # Of the years before only that a user was there, by day, so that such a day can be replaced too.
+    before = (own.where((ts < opens) & F.col(USER).isNotNull())
+              .groupBy(USER, utc_day(ts).alias(TIMELINE_DAY)).agg(F.min(ts).alias("first_any"))
+              .withColumn("slot", F.lit(opens - width)))
+    rows = live.unionByName(before, allowMissingColumns=True).withMetadata(
+        "first_any", {"params": timeline_params(params)})
+    (rows.repartition(TIMELINE_DAY, F.pmod(F.xxhash64(USER), F.lit(DAY_FILES)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(TIMELINE_DAY).parquet(path))
+
+
+def read_timeline(spark: SparkSession, path: str, params: CohortParams) -> DataFrame:
+    """A timeline table of ``update_timeline``, to be given to any query in place of events."""
+    timeline = spark.read.parquet(path).drop(TIMELINE_DAY)
+    check_timeline(timeline, params)
+    return timeline
 
 
 def merge_seconds(seconds: DataFrame, width: int, dims: Sequence[str], sums: Sequence[str]

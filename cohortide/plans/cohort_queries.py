@@ -9,7 +9,7 @@ from cohortide.operators.activity import first_touch
 from cohortide.operators.event_metrics import event_session_metrics
 from cohortide.operators.revenue import cohort_ltv
 from cohortide.operators.session_metrics import session_cohort_metrics
-from cohortide.operators.timeline import USER
+from cohortide.operators.timeline import USER, is_timeline
 from cohortide.params import COHORT_KEY, CohortParams, CohortRequest
 
 
@@ -22,7 +22,7 @@ def of_requested_users(events: DataFrame, params: CohortParams, request: CohortR
     Pooled gaps are measured between all users, and a stored timeline is merged already: both are
     returned as they are.
     """
-    if request.date is None or params.cross_user_gaps or "first_any" in events.columns:
+    if request.date is None or params.cross_user_gaps or is_timeline(events):
         return events
     users = first_touch(events).where(F.col("first_touch_date") == F.lit(request.date))
     return events.join(users.select(USER), USER, "left_semi")

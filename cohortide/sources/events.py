@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortide.functions.time import utc_day
 from cohortide.params import CohortParams, MetricSpec
 from cohortide.session import pin_utc
+from cohortide.sources import files
 from cohortide.sources.schemas import EVENTS
 
 
@@ -30,6 +34,48 @@ def read_events(spark: SparkSession, paths: str | Sequence[str], fmt: str = "par
     return rows.select(*EVENTS.fieldNames())
 
 
+def shard_paths(spark: SparkSession, prefix: str, since: dt.date | None = None,
+                until: dt.date | None = None) -> list[str]:
+    """Shards ``<prefix>YYYYMMDD`` of the days from ``since`` to ``until``, both included.
+
+    Only the parent folder's entries are looked at; shards outside the range are not listed."""
+    parent, _, base = prefix.rpartition("/")
+    low, high = (f"{d:%Y%m%d}" if d else None for d in (since, until))
+    days = [n[len(base):] for n in files.names(spark, parent)
+            if n.startswith(base) and re.fullmatch("[0-9]{8}", n[len(base):])]
+    return [f"{prefix}{d}" for d in days if (low is None or d >= low) and (high is None or d <= high)]
+
+
+def read_day_shards(spark: SparkSession, prefix: str, since: dt.date | None = None,
+                    until: dt.date | None = None, fmt: str = "parquet", day_column: str | None = None
+                    ) -> DataFrame:
+    """Events of the day shards ``<prefix>YYYYMMDD`` in a range of days.
+
+    ``day_column`` adds the shard's day, read from the file's path. As with any pruning, first touch
+    needs every earlier day and session averages every later one."""
+    paths = shard_paths(spark, prefix, since, until)
+    if not paths:
+        empty = spark.createDataFrame([], EVENTS)
+        return empty.withColumn(day_column, F.lit(None).cast("date")) if day_column else empty
+    rows = spark.read.format(fmt).schema(EVENTS).load(paths)
+    if day_column is None:
+        return rows
+    base = re.escape(prefix.rpartition("/")[2])
+    day = F.regexp_extract(F.col("_metadata.file_path"), f"/{base}([0-9]{{8}})/", 1)
+    return rows.select("*", F.to_date(day, "yyyyMMdd").alias(day_column))
+
+
+def write_day_shards(events: DataFrame, prefix: str, days: Sequence[dt.date]) -> None:
+    """Write the events of each of ``days`` to its shard, replacing it."""
+    kept = events.where(utc_day(F.col("event_timestamp")).isin(list(days))).persist()
+    try:
+        for day in days:
+            (kept.where(utc_day(F.col("event_timestamp")) == F.lit(day)).coalesce(1)
+             .write.mode("overwrite").parquet(f"{prefix}{day:%Y%m%d}"))
+    finally:
+        kept.unpersist()
+
+
 # The driver tables have event types and one integer property instead of game events. These
 # parameters name what stands in for each metric there.
 TABLE_PARAMS = CohortParams(
@@ -98,4 +144,5 @@ def events_from_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-__all__ = ["CUSTOMER", "NATION", "TABLE_PARAMS", "events_from_tables", "read_events", "table"]
+__all__ = ["CUSTOMER", "NATION", "TABLE_PARAMS", "events_from_tables", "read_day_shards",
+           "read_events", "shard_paths", "table", "write_day_shards"]

@@ -80,6 +80,10 @@ def read_params(spark: SparkSession, path: str) -> dict[str, object]:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def write_by_request(df: DataFrame, path: str, keys: Sequence[str] = ("request_id",)) -> None:
-    """Many requests in one table, one directory per request."""
-    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+def write_bucketed(df: DataFrame, name: str, key: Sequence[str], buckets: int, mode: str = "error",
+                   options: Mapping[str, str] | None = None) -> None:
+    """Save a table with its rows dealt to buckets by ``key`` and sorted within them, one file each.
+
+    Tables of one key and number of buckets join, and aggregate by the key, without a shuffle."""
+    (df.repartition(buckets, *key).write.mode(mode).options(**dict(options or {}))
+     .bucketBy(buckets, *key).sortBy(*key).saveAsTable(name))

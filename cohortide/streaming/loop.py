@@ -1,79 +1,145 @@
-"""The request loop as one streaming query: request in, prediction and state out."""
+"""The request loop as one streaming query: request in, prediction and state out.
+
+The registry of requests is the query's own keyed state: a stateful operator holds the cohorts of each
+request id, so a batch reads and writes the ids of its messages and no others, and a timer drops ids
+that nothing has been heard of for a time. Time is that of the messages, so a replay expires the same
+ids. The state lives in the checkpoint and comes back after a restart.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from collections.abc import Callable
 
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortide.params import COHORT_KEY, CohortParams
 from cohortide.plans.scoring import score_requests
 from cohortide.sources.messages import PREDICTION_COMPLETE, PREDICTION_REQUEST, Sink
 from cohortide.streaming import routing, state
 
+#: How long an id without new messages stays registered. A message that is as much older than the
+#: newest one comes too late to be registered or answered.
+KEEP_MINUTES = 7 * 24 * 60
+
 
 @dataclass(frozen=True)
 class LoopPaths:
-    """Folders of one loop: request registry, state updates, rejected messages, checkpoint."""
+    """Folders of one loop: state updates, rejected messages, checkpoint."""
 
-    registry: str
     state: str
     rejected: str
     checkpoint: str
 
 
-REGISTRY = "request_id string, first_touch_date date, traffic_source string, os string, " \
-           "country string, batch_id bigint"
+# What reaches a batch. ``announce`` and ``score`` come from the registry, the others from messages.
+SERVED = ("step string, id string, first_touch_date date, traffic_source string, os string, "
+          "country string, kind string, predicted_ltv double, topic string, partition int, "
+          "offset bigint, timestamp timestamp, value string")
+_COLUMNS = [c.split()[0] for c in SERVED.split(", ")]
+
+
+def remember():
+    """The registry of one id: requests are stored and announced, predict messages are given the
+    cohorts stored by then (requests of the same batch included), or none."""
+
+    def serve(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["timestamp", "partition", "offset"])
+        requests, asked = rows[rows["kind"] == "request"], rows[rows["kind"] == "predict"]
+        cohorts = json.loads(held.get[0]) if held.exists else []
+        for own in requests[list(COHORT_KEY)].itertuples(index=False):
+            own = [str(own[0]), *own[1:]]
+            if own not in cohorts:
+                cohorts.append(own)
+        out = [requests.assign(step="announce")] if len(requests) else []
+        if len(asked):
+            last = asked.iloc[-1:].assign(step="score")
+            out += [last.assign(**dict(zip(COHORT_KEY, [pd.Timestamp(own[0]).date(), *own[1:]])))
+                    for own in cohorts] or [last]
+        if cohorts:
+            held.update((json.dumps(cohorts),))
+            # The watermark stays behind the newest message by the time that ids are kept.
+            latest = rows["millis"].max()
+            now = held.getCurrentWatermarkMs() + 1
+            held.setTimeoutTimestamp(now if pd.isna(latest) else max(now, int(latest)))
+        yield pd.concat(out)[_COLUMNS] if len(out) > 1 else out[0][_COLUMNS]
+
+    return serve
+
+
+def served(messages: DataFrame, keep_minutes: float = KEEP_MINUTES) -> DataFrame:
+    """Messages as what a batch has to do for them."""
+    routed = routing.route(messages)
+    payload = [F.lit(None).cast("string").alias("step"), "id",
+               F.col("m.input_data.date").try_cast("date").alias(COHORT_KEY[0]),
+               *[F.col(f"m.input_data.{name}").alias(name) for name in COHORT_KEY[1:]],
+               "kind", F.col("m.predicted_ltv").alias("predicted_ltv"),
+               "topic", "partition", "offset", "timestamp", "value"]
+    rows = routed.select(*payload)
+    # A watermark begins at the epoch, and what is not after it is late: a day later, nothing is.
+    heard = F.col("timestamp") + F.expr("INTERVAL 1 DAY")
+    asked = rows.where(F.col("kind").isin("request", "predict")).withColumn("heard", heard).withColumn(
+        "millis", F.unix_millis("heard"))
+    registered = (asked.withWatermark("heard", f"{int(keep_minutes * 60_000)} milliseconds").groupBy("id")
+                  .applyInPandasWithState(remember(), SERVED, "cohorts string", "append",
+                                          GroupStateTimeout.EventTimeTimeout))
+    plain = rows.where(F.col("kind").isin("predict", "done", "rejected")).withColumn("step", F.col("kind"))
+    return registered.unionByName(plain)
 
 
 def handle_batch(features: DataFrame, model: Model, params: CohortParams, paths: LoopPaths,
                  sink: Sink) -> Callable[[DataFrame, int], None]:
     """Serve all messages of a micro-batch together.
 
-    * Requests are registered and announced by a predict message.
-    * Predict messages are joined to the registry; every cohort they ask for is scored once and
-      answered by a done message. An id that nobody registered is answered by a null.
+    * Requests are announced by a predict message.
+    * Of predict messages, every cohort they ask for is scored once and answered by a done message.
+      An id that nobody registered is answered by a null.
     * Predict and done messages update the state table.
 
     Every output is a directory named by the batch and stamped with the batch's latest message, so
     a replayed batch repeats itself.
     """
     def serve(batch: DataFrame, batch_id: int) -> None:
-        routed = routing.route(batch).persist()
+        rows = batch.persist()
         try:
-            respond(routed, batch_id)
+            respond(rows, batch_id)
         finally:
-            routed.unpersist()
-
-    def respond(routed: DataFrame, batch_id: int) -> None:
-        spark = routed.sparkSession
-        requests = routing.requests_of(routed)
-        requests.write.mode("overwrite").parquet(f"{paths.registry}/batch_id={batch_id}")
-        routed.where(F.col("kind") == "rejected").select("topic", "offset", "value").write.mode(
-            "overwrite").json(f"{paths.rejected}/batch_id={batch_id}")
-
-        asked = routed.where(F.col("kind") == "predict").select(
-            F.col("id").alias("request_id")).distinct()
-        registry = spark.read.schema(REGISTRY).parquet(paths.registry).dropDuplicates(
-            ["request_id", *COHORT_KEY]).drop("batch_id")
-        scored = score_requests(asked.join(registry, "request_id", "left"), features, model, params)
-        announced = routing.predict_message(requests).withColumn("topic", F.lit(PREDICTION_REQUEST))
+            rows.unpersist()
+
+    def respond(rows: DataFrame, batch_id: int) -> None:
+        def of(step):
+            return rows.where(F.col("step") == step)
+
+        of("rejected").select("topic", "offset", "value").write.mode("overwrite").json(
+            f"{paths.rejected}/batch_id={batch_id}")
+        asked = of("score").select(F.col("id").alias("request_id"), *COHORT_KEY)
+        scored = score_requests(asked, features, model, params)
+        announced = routing.predict_message(of("announce"), "id").withColumn(
+            "topic", F.lit(PREDICTION_REQUEST))
         answered = routing.done_message(scored).withColumn("topic", F.lit(PREDICTION_COMPLETE))
         stamp = {"partition": F.lit(0), "offset": F.lit(batch_id).cast("bigint"),
-                 "timestamp": routed.agg(F.max("timestamp").alias("latest")).scalar()}
+                 "timestamp": rows.agg(F.max("timestamp").alias("latest")).scalar()}
         sink(announced.unionByName(answered).withColumns(stamp), batch_id)
-        state.append_updates(state.updates_of(routed), paths.state, batch_id)
+        updates = rows.where(F.col("step").isin("predict", "done")).withColumn(
+            "m", F.struct("predicted_ltv"))
+        state.append_updates(state.updates_of(updates), paths.state, batch_id)
 
     return serve
 
 
 def start_loop(messages: DataFrame, features: DataFrame, model: Model, params: CohortParams,
-               paths: LoopPaths, sink: Sink, **trigger) -> StreamingQuery:
+               paths: LoopPaths, sink: Sink, keep_minutes: float = KEEP_MINUTES, **trigger
+               ) -> StreamingQuery:
     """Start serving. ``trigger`` is passed on, e.g. ``availableNow=True``."""
-    return (messages.writeStream
+    return (served(messages, keep_minutes).writeStream
             .foreachBatch(handle_batch(features, model, params, paths, sink))
             .option("checkpointLocation", paths.checkpoint)
             .trigger(**(trigger or {"processingTime": "1 second"}))

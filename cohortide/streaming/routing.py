@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortide.params import COHORT_KEY
 from cohortide.sources.schemas import MESSAGE
@@ -54,13 +54,40 @@ def requests_of(routed: DataFrame) -> DataFrame:
         *[F.col(f"m.input_data.{name}").alias(name) for name in COHORT_KEY[1:]])
 
 
-def request_message(requests: DataFrame) -> DataFrame:
-    """Requests as ``value`` texts; a request without an id gets a random one."""
-    ident = F.coalesce("request_id", F.uuid())
+def position_id(*position: str) -> Column:
+    """An id from a message's topic, partition and offset: the same one whenever it is replayed."""
+    digest = F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in position]))
+    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in
+                              ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def ingest(messages: DataFrame) -> DataFrame:
+    """Requests that came without an id, as messages that have one, by their position."""
+    m = F.from_json("value", MESSAGE)
+    rows = messages.withColumn("m", m).where(
+        F.col("m.input_data").isNotNull() & F.col("m.request_id").isNull()
+        & F.col("m.bucket_folder_id").isNull() & F.col("m.data_id").isNull())
+    asked = rows.select(
+        position_id("topic", "partition", "offset").alias("request_id"),
+        F.col("m.input_data.date").try_cast("date").alias(COHORT_KEY[0]),
+        *[F.col(f"m.input_data.{name}").alias(name) for name in COHORT_KEY[1:]],
+        "topic", "partition", "offset", "timestamp")
+    return asked.withColumn("value", _request_text(F.col("request_id")))
+
+
+def _request_text(ident: Column) -> Column:
     data = F.struct("country", F.date_format("first_touch_date", "yyyy-MM-dd").alias("date"),
                     "os", "traffic_source")
-    return requests.select(
-        F.to_json(F.struct(data.alias("input_data"), ident.alias("request_id"))).alias("value"))
+    return F.to_json(F.struct(data.alias("input_data"), ident.alias("request_id")))
+
+
+def request_message(requests: DataFrame) -> DataFrame:
+    """Requests as ``value`` texts. A request without an id gets one from its position in the topic,
+    where it has a position, else a random one."""
+    position = [c for c in ("topic", "partition", "offset") if c in requests.columns]
+    fresh = position_id(*position) if len(position) == 3 else F.uuid()
+    ident = F.coalesce("request_id", fresh)
+    return requests.select(_request_text(ident).alias("value"))
 
 
 def predict_message(ids: DataFrame, column: str = "request_id") -> DataFrame:

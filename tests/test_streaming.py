@@ -12,7 +12,7 @@ from cohortide.params import COHORT_KEY, CohortRequest
 from cohortide.plans import scoring
 from cohortide.plans.cohort_queries import QUERIES
 from cohortide.plans.feature_build import store_features
-from cohortide.sources import messages as msg, tables
+from cohortide.sources import files, messages as msg, tables
 from cohortide.streaming import routing, state
 from cohortide.streaming.loop import LoopPaths, start_loop
 from micro import PARAMS, frame, random_events
@@ -21,7 +21,7 @@ INPUT = {"country": "Cyprus", "date": "2018-07-01", "os": "IOS", "traffic_source
 
 
 def batch(spark, values):
-    rows = [("t", 0, i, dt.datetime(2018, 7, 1, 0, 0, i), v) for i, v in enumerate(values)]
+    rows = [("t", 0, i, dt.datetime(2018, 7, 1, 0, i // 60, i % 60), v) for i, v in enumerate(values)]
     return spark.createDataFrame(
         rows, "topic string, partition int, offset long, timestamp timestamp, value string")
 
@@ -79,6 +79,75 @@ def test_state_keeps_the_last_value_of_each_field_and_survives_a_replay(spark, t
     assert {r.id: (r.bucket_folder_id, r.prediction) for r in again} == got
 
 
+def state_of(spark, root):
+    return {r.id: (r.bucket_folder_id, r.prediction)
+            for r in state.latest_state(state.read_updates(spark, root)).collect()}
+
+
+def done(spark, root, number, **values):
+    rows = batch(spark, [json.dumps({"data_id": k, "predicted_ltv": v}) for k, v in values.items()])
+    state.append_updates(state.updates_of(routing.route(rows)), root, number)
+
+
+def test_generations_replace_the_history(spark, tmp_path):
+    root = str(tmp_path / "state")
+    done(spark, root, 0, x=1.0, y=1.0)
+    done(spark, root, 1, x=2.0)
+    before = state.read_updates(spark, root)
+    state.compact(spark, root, 1)
+    now = state.manifest(spark, root)
+    assert (now.generation, now.upto) == (1, 1)
+    assert state.read_updates(spark, root).count() == 2  # one row per id
+    assert before.count() == 3  # a reader of the old manifest goes on
+    done(spark, root, 1, x=2.0)  # a replay of a folded batch changes nothing
+    done(spark, root, 2, y=5.0, z=7.0)
+    assert state_of(spark, root) == {"x": (None, 2.0), "y": (None, 5.0), "z": (None, 7.0)}
+    state.compact(spark, root, 1)  # nothing new to fold
+    assert state.manifest(spark, root).generation == 1
+    state.compact(spark, root, 2)
+    assert state_of(spark, root) == {"x": (None, 2.0), "y": (None, 5.0), "z": (None, 7.0)}
+    assert files.names(spark, f"{root}/updates") == ["batch_id=2"]
+    done(spark, root, 3, x=9.0)
+    state.compact(spark, root, 3)
+    assert files.names(spark, f"{root}/generations") == ["2", "3"]
+    assert state_of(spark, root)["x"] == (None, 9.0)
+
+
+def test_only_one_of_two_compactions_is_published(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "state")
+    done(spark, root, 0, x=1.0)
+    seen = state.manifest(spark, root)
+    state.compact(spark, root, 0)
+    monkeypatch.setattr(state, "manifest", lambda *_: seen)
+    state.compact(spark, root, 0)  # one that has read the manifest before the other published
+    monkeypatch.undo()
+    assert state.manifest(spark, root).version == 1 and state_of(spark, root) == {"x": (None, 1.0)}
+    assert files.names(spark, f"{root}/generations") == ["1"]
+
+
+def test_a_lookup_opens_the_files_of_one_bucket(spark, tmp_path):
+    root = str(tmp_path / "state")
+    for number in range(3):
+        done(spark, root, number, **{f"k{i}": float(i + number) for i in range(200)})
+    state.compact(spark, root, 1)
+    found = state.lookup(spark, root, "k7")
+    assert [tuple(r) for r in found.collect()] == [("k7", None, 9.0)]
+    opened = found.inputFiles()
+    assert 0 < len(opened) <= 2 and len({f.split("bucket=")[1].split("/")[0] for f in opened}) == 1
+    assert len(state.read_updates(spark, root).inputFiles()) > 20
+
+
+def test_ids_come_from_the_position(spark):
+    rows = batch(spark, [json.dumps({"input_data": INPUT}), json.dumps({"input_data": INPUT}),
+                         json.dumps({"input_data": INPUT, "request_id": "own"}), "noise", None])
+    first = sorted(map(tuple, routing.ingest(rows).select("request_id", "offset").collect()))
+    again = sorted(map(tuple, routing.ingest(rows.repartition(3)).select("request_id", "offset").collect()))
+    assert first == again and len(first) == 2 and first[0][0] != first[1][0]
+    assert all(len(ident) == 36 for ident, _ in first)
+    routed = routing.route(routing.ingest(rows))
+    assert {r.kind for r in routed.collect()} == {"request"}
+
+
 @pytest.fixture(scope="module")
 def fitted(spark):
     events = frame(spark, random_events(9, 900)).cache()
@@ -95,7 +164,7 @@ def test_the_loop_answers_every_request(spark, fitted, tmp_path):
     unknown = json.dumps({"request_id": "lost", "input_data": {**INPUT, "country": "Nowhere"}})
     source = str(tmp_path / "messages")
     batch(spark, [*values, unknown, "noise"]).write.json(f"{source}/in")
-    paths = LoopPaths(*[str(tmp_path / n) for n in ("registry", "state", "rejected", "progress")])
+    paths = LoopPaths(*[str(tmp_path / n) for n in ("state", "rejected", "progress")])
     for _ in range(3):
         start_loop(msg.read_files(spark, source), wide, model, PARAMS, paths,
                    msg.file_sink(source), availableNow=True).awaitTermination()
@@ -108,6 +177,87 @@ def test_the_loop_answers_every_request(spark, fitted, tmp_path):
     assert [r.value for r in spark.read.json(paths.rejected).collect()] == ["noise"]
 
 
+def ask(ident, cohort):
+    return json.dumps({"request_id": ident, "input_data": {
+        "country": cohort.country, "date": str(cohort.first_touch_date), "os": cohort.os,
+        "traffic_source": cohort.traffic_source}})
+
+
+def run_loop(spark, fitted, source, root, sink=None, **how):
+    _, wide, model = fitted
+    paths = LoopPaths(*[f"{root}/{n}" for n in ("state", "rejected", "progress")])
+    query = start_loop(msg.read_files(spark, source), wide, model, PARAMS, paths,
+                       sink or (lambda rows, _: rows.write.mode("append").json(f"{root}/out")),
+                       availableNow=True, **how)
+    query.awaitTermination()
+    return query
+
+
+def test_a_batch_touches_its_own_ids_only(spark, fitted, tmp_path):
+    _, wide, model = fitted
+    cohorts = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").limit(3).collect()
+    source, root = str(tmp_path / "messages"), str(tmp_path)
+    batch(spark, [ask(f"r{i}", cohorts[i % 3]) for i in range(60)]).write.json(f"{source}/a")
+    first = run_loop(spark, fitted, source, root)
+    assert sum(s["numRowsTotal"] for s in first.lastProgress["stateOperators"]) == 60
+    batch(spark, ['{"bucket_folder_id": "r5"}', '{"bucket_folder_id": "r7"}',
+                  '{"bucket_folder_id": "unknown"}', '{"bucket_folder_id": "r5"}']).write.json(f"{source}/b")
+    second = run_loop(spark, fitted, source, root)  # a restart: the registry is read from the checkpoint
+    updated = sum(s["numRowsUpdated"] for s in second.lastProgress["stateOperators"])
+    assert updated == 2 and sum(s["numRowsTotal"] for s in second.lastProgress["stateOperators"]) == 60
+    answers = [json.loads(r.value) for r in spark.read.json(f"{root}/out").collect()
+               if "data_id" in json.loads(r.value)]
+    one = {tuple(r[c] for c in COHORT_KEY): r.prediction
+           for r in scoring.score_cohorts(wide, model, PARAMS).collect()}
+    assert sorted(answers, key=str) == sorted(
+        [{"data_id": f"r{i}", "predicted_ltv": one[tuple(cohorts[i % 3])]} for i in (5, 7)]
+        + [{"data_id": "unknown", "predicted_ltv": None}], key=str)
+
+
+def test_a_request_of_two_cohorts_is_answered_by_their_mean(spark, fitted, tmp_path):
+    _, wide, model = fitted
+    a, b = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").limit(2).collect()
+    source, root = str(tmp_path / "messages"), str(tmp_path)
+    batch(spark, [ask("r", a), ask("r", b), ask("r", a), '{"bucket_folder_id": "r"}']).write.json(f"{source}/a")
+    run_loop(spark, fitted, source, root)
+    answers = [json.loads(r.value) for r in spark.read.json(f"{root}/out").collect()]
+    one = {tuple(r[c] for c in COHORT_KEY): r.prediction
+           for r in scoring.score_cohorts(wide, model, PARAMS).collect()}
+    assert [m["predicted_ltv"] for m in answers if "data_id" in m] == [
+        pytest.approx((one[tuple(a)] + one[tuple(b)]) / 2)]
+    assert sum("bucket_folder_id" in m for m in answers) == 3
+
+
+def test_unanswered_ids_expire(spark, fitted, tmp_path):
+    _, wide, _ = fitted
+    cohort = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").first()
+    source, root = str(tmp_path / "messages"), str(tmp_path)
+    batch(spark, [ask("old", cohort)]).write.json(f"{source}/a")
+    first = run_loop(spark, fitted, source, root, keep_minutes=0.05)
+    assert sum(s["numRowsTotal"] for s in first.lastProgress["stateOperators"]) == 1
+    # Messages of the next five seconds; ids are kept for three.
+    batch(spark, ['{"bucket_folder_id": "other"}'] * 6).write.json(f"{source}/b")
+    later = run_loop(spark, fitted, source, root, keep_minutes=0.05)
+    assert sum(s["numRowsTotal"] for s in later.lastProgress["stateOperators"]) == 0
+
+
+def test_prepared_requests_are_stored_by_cohort_and_predicted_together(spark, fitted, tmp_path):
+    events, wide, model = fitted
+    some = wide.where("country <> 'Rest of the World'").select(*COHORT_KEY).limit(3).collect()
+    asked = [(f"q{i}", *some[i % 3]) for i in range(30)] + [("lost", dt.date(2000, 1, 1), "cpc", "IOS", "Cyprus")]
+    rows = spark.createDataFrame(asked, "request_id string, first_touch_date date, traffic_source string, "
+                                        "os string, country string")
+    root = str(tmp_path)
+    scoring.prepare_requests(events, PARAMS, rows, root)
+    one = {tuple(r[c] for c in COHORT_KEY): r.prediction
+           for r in scoring.score_cohorts(wide, model, PARAMS).collect()}
+    got = {r.request_id: r.predicted_ltv for r in scoring.predict_requests(spark, root, model, PARAMS).collect()}
+    assert got == {q: one.get(tuple(c)) for q, *c in asked}
+    assert scoring.read_prepared(spark, root, "session").count() == 3
+    known = {r.request_id for r in scoring.prepared_features(spark, root, PARAMS).where("known").collect()}
+    assert known == set(got) - {"lost"}
+
+
 def test_a_request_folder_predicts_like_the_batch(spark, fitted, tmp_path):
     events, wide, model = fitted
     cohort = wide.where("country <> 'Rest of the World'").first()
@@ -147,8 +297,9 @@ def test_many_requests_are_prepared_together(spark, fitted, tmp_path):
         "country string")
     scoring.prepare_requests(events, PARAMS, asked, str(tmp_path))
     for job, query in QUERIES.items():
+        every = scoring.prepared_rows(spark, str(tmp_path), job)
         for name, cohort in (("a", some[0]), ("b", some[0]), ("c", some[1])):
-            got = spark.read.parquet(f"{tmp_path}/{job}").where(f"request_id = '{name}'")
+            got = every.where(f"request_id = '{name}'")
             want = query(events, PARAMS, CohortRequest(*cohort))
             columns = want.columns
             assert sorted(map(repr, got.select(*columns).collect())) == sorted(
@@ -175,9 +326,6 @@ def test_tables(spark, tmp_path):
         tables.read_table(spark, "no_such_table").collect()
     df.createOrReplaceTempView("small")
     assert tables.read_table(spark, "small").count() == 1
-    two = df.selectExpr("'r1' request_id", "n").union(df.selectExpr("'r2' request_id", "n"))
-    tables.write_by_request(two, str(tmp_path / "many"))
-    assert spark.read.parquet(str(tmp_path / "many")).where("request_id = 'r2'").count() == 1
 
 
 def test_connectors_are_told_the_name_in_their_own_way():
