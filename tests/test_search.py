@@ -44,7 +44,7 @@ class Killed(Exception):
 def test_a_killed_search_goes_on_where_it_stopped(spark, rows, tmp_path, monkeypatch):
     grid = {"maxDepth": [2, 3], "numTrees": [2, 3], "minInstancesPerNode": [1, 10]}
     ledger = TrialLedger(spark, str(tmp_path / "ledger"))
-    study = study_of(rows, PARAMS.feature_columns, 4, search.MODEL_SEED)
+    study = study_of(rows, PARAMS.feature_columns, 4, search.MODEL_SEED, False)
     monkeypatch.setattr(search, "FLUSH", 4)
 
     def stop(done):
@@ -52,18 +52,19 @@ def test_a_killed_search_goes_on_where_it_stopped(spark, rows, tmp_path, monkeyp
             raise Killed
 
     with pytest.raises(Killed):
-        search.search("random_forest", rows, PARAMS, grid, ledger, 4, 2, after=stop)
+        search.search("random_forest", rows, PARAMS, grid, ledger, 4, 2, after=stop, nested=False)
     finished = ledger.finished(study, "random_forest")
     assert len(finished) == 12
     fits = []
-    got = search.search("random_forest", rows, PARAMS, grid, ledger, 4, 2, after=fits.append).collect()
+    got = search.search("random_forest", rows, PARAMS, grid, ledger, 4, 2, after=fits.append, nested=False).collect()
     assert len(fits) == 32 - 12 and len(ledger.finished(study, "random_forest")) == 32
     again = []
-    assert search.search("random_forest", rows, PARAMS, grid, ledger, 4, after=again.append).collect() == got
+    assert search.search("random_forest", rows, PARAMS, grid, ledger, 4, after=again.append,
+                         nested=False).collect() == got
     assert not again
     # Another ledger and another order of work, the same scores.
     other = TrialLedger(spark, str(tmp_path / "other"))
-    fresh = search.search("random_forest", rows, PARAMS, grid, other, 4, 3).collect()
+    fresh = search.search("random_forest", rows, PARAMS, grid, other, 4, 3, nested=False).collect()
     assert [r.rmse for r in fresh] == pytest.approx([r.rmse for r in got])
     assert [r.settings for r in got][:2] == [
         {"maxDepth": 2.0, "numTrees": 2.0, "minInstancesPerNode": 1.0},
@@ -106,6 +107,25 @@ def test_one_tree_scores_all_depths(spark, rows, tmp_path):
     assert search.score_depths(est.tree(maxDepth=2).fit(rows), rows.limit(0), [1, 2]) == [(0.0, 0)] * 2
 
 
+def test_a_forest_is_cut_at_every_depth(spark, rows, tmp_path):
+    held, rest = rows.where("fold = 0"), rows.where("fold <> 0")
+    forest = est.forest(maxDepth=6, numTrees=8).fit(rest)
+    got = search.score_depths(forest, held, [0, 3, 6, 9])
+    assert got[2] == pytest.approx(search.score(forest, held)) and got[3] == got[2]
+    # Uncut trees predict what they do in MLlib; cut at the root, every row gets the mean of the roots.
+    nodes = search.node_table(forest, str(tmp_path / "nodes"))
+    roots = np.mean(nodes.prediction[nodes.roots])
+    error = [(r[TARGET] - roots) ** 2 for r in held.collect()]
+    assert got[0] == pytest.approx((np.mean(error) ** 0.5, len(error)))
+    grid = {"maxBins": [8, 16], "maxDepth": [2, 4, 6], "numTrees": [3, 5]}
+    fits, ledger = [], TrialLedger(spark, str(tmp_path / "l"))
+    results = search.search("random_forest", rows, PARAMS, grid, ledger, 4, after=fits.append).collect()
+    assert len(results) == 12 and len(fits) == 4 * 4 and all(r.rmse > 0 for r in results)
+    # Near to what separate fits score, with other draws.
+    alone = search.search("random_forest", rows, PARAMS, grid, ledger, 4, nested=False).collect()
+    assert [r.rmse for r in results] == pytest.approx([r.rmse for r in alone], rel=0.15)
+
+
 def test_paths_equal_every_fit(spark, train):
     folds = with_fold(train, 4)
     moments = paths.fold_moments(folds.repartition(5), FEATURES, 4)
