@@ -21,18 +21,21 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortide.llm.words import job_settings
+from cohortide.llm.words import PLAIN, Texts, job_settings, slices
 from cohortide.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
-#: The tokenizers' pieces that are cached in a worker, in each of two generations.
-CACHE = 200_000
-#: Pieces of so many characters are not cached.
+#: Words that a worker keeps the ids of, about 30 bytes each, and runs of letters, about 200 bytes
+#: each, in each of two generations.
+KNOWN = 2_000_000
+PARTS = 100_000
+#: Words of so many characters go through the whole tokenizer.
 LONG = 64
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, local_start long"
 
@@ -40,9 +43,6 @@ SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, local_start long
 #: may begin a contraction): a text piece whose ids can be looked up in two parts.
 _SIMPLE = re.compile(r"([A-Za-zÄÖÜßÀ-ÂÇ-ÏÑ-ÔÙ-Ûà-âäç-ïñ-ôöù-ûü]+)([!-&(-/:-@\[-`{-~]*)")
 
-#: What split() takes for white space and tokenizers do not.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -57,12 +57,60 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Known:
+    """Ids of known words, by the words' 64-bit hashes, in sorted arrays.
+
+    New words go to a small table that is merged into the large one as it grows. Beyond ``KNOWN``
+    words the large table is dropped and the small one goes on."""
+
+    def __init__(self):
+        self.tables = [self._empty(), self._empty()]
+        self.pool = np.zeros(0, np.int32)
+
+    @staticmethod
+    def _empty():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each is known, where its ids begin in ``pool``, and how many they are."""
+        known = np.zeros(len(hashes), bool)
+        start, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for own, starts, sizes in self.tables:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+                hit = own[at] == hashes
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+                known |= hit
+        return known, start, size
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """Words that are not known yet."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.tables[1] = self._merged(self.tables[1], (hashes, start, size))
+        if len(self.tables[1][0]) > max(1 << 15, len(self.tables[0][0]) // 4):
+            if len(self.tables[0][0]) > KNOWN:
+                keep = self.tables[1]
+                first = int(keep[1].min())  # of the pool only what the small table points to
+                self.pool = self.pool[first:]
+                self.tables = [(keep[0], keep[1] - first, keep[2]), self._empty()]
+            else:
+                self.tables = [self._merged(*self.tables), self._empty()]
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(both := np.concatenate([a[0], b[0]]), kind="stable")
+        return both[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:]))
+
+
 class Encoder:
-    """Encodes texts piece by piece, pieces being what white space separates.
+    """Encodes the words of many texts at once, words being what ASCII white space separates.
 
     Exact for tokenizers that drop white space and never join across it; ``by_piece`` tells. Others
-    encode whole texts. Ids of a piece are kept as bytes. A piece that is one word with perhaps a
-    mark behind it goes to the model straight, all others through the whole tokenizer.
+    encode whole texts. Words are hashed and looked up in arrays; of those not known yet, one run of
+    letters with perhaps a mark behind it goes to the model straight, all others through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -72,50 +120,71 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.letters = byte_letters()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known()
+        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         probe = "Ab, c.d 'll  \n\té1 x"
-        self.by_piece = self._whole(probe) == b"".join(map(self._whole, probe.split()))
+        self.by_piece = self._whole(probe) == sum(map(self._whole, probe.split()), [])
         words = ("abc", "über", "señal", "ça")
         self.simple = self.by_piece and all(self._word(w) == self._whole(w) for w in words)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.full.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> list[int]:
         if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)]
 
-    def _look_up(self, key: str, make) -> bytes:
+    def _part(self, key: str, make) -> list[int]:
+        """Ids of a run of letters or of marks, which many words share."""
         ids = self.new.get(key)
         if ids is None:
             ids = self.old.get(key)
             if ids is None:
                 ids = make(key)
-            if len(self.new) >= CACHE:
+            if len(self.new) >= PARTS:
                 self.old, self.new = self.new, {}
             self.new[key] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> list[int]:
         if self.simple and len(piece) < LONG and (m := _SIMPLE.fullmatch(piece)):
-            ids = self._look_up(m[1].lower(), self._word)
-            return ids + self._look_up(m[2], self._whole) if m[2] else ids
+            ids = self._part(m[1].lower(), self._word)
+            return ids + self._part(m[2], self._whole) if m[2] else ids
         return self._whole(piece)
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece or any(c in text for c in _SEPARATORS):
-            return self._whole(text)
-        pieces = text.split()
-        ids = list(map(self.new.get, pieces))
-        if None in ids:
-            for i, known in enumerate(ids):
-                if known is None:
-                    p = pieces[i]
-                    ids[i] = self._look_up(p, self._piece) if len(p) < LONG else self._piece(p)
-        return b"".join(ids)
+    def encode(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each ended by ``tail``; and how many each has."""
+        if not self.by_piece:
+            ids = [self._whole(t or "") + tail for t in texts.to_pylist()]
+            return (np.fromiter(chain.from_iterable(ids), np.int32),
+                    np.fromiter(map(len, ids), np.int64, len(ids)))
+        words = Texts(texts, PLAIN)
+        distinct, at, index = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        known, start, size = self.known.find(distinct)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            body = words.data.tobytes()
+            ids = [self.piece(body[a:b].decode()) for a, b in
+                   zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())]
+            # Held apart, as adding may drop words that were found before.
+            pool, base = self.known.pool, len(self.known.pool)
+            size[new] = own = np.fromiter(map(len, ids), np.int64, len(ids))
+            start[new] = base + np.cumsum(own) - own
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), np.int32, int(own.sum()))])
+            self.known.add(distinct[new], ids)
+        else:
+            pool = self.known.pool
+        # Every text ends in a word of its own, the tail.
+        start, size = np.append(start, len(pool)), np.append(size, len(tail))
+        pool = np.concatenate([pool, np.array(tail, np.int32)])
+        order = np.insert(index, words.first[1:], len(distinct))
+        size, start = size[order], start[order]
+        ends = np.cumsum(size)
+        flat = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+        last = ends[words.first[1:] + np.arange(len(words))] if len(words) else ends
+        return flat, np.diff(last, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,7 +203,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     job_settings(spark)
     path = tokenizer or tokenizer_path()
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = [] if end_id is None else [end_id]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
                .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -143,16 +212,15 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
     def run(batches):
         code, before = encoder(path), 0
-        for batch in batches:
-            ids = [code.encode(t or "") + tail for t in batch.column("text").to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(n)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), lists, pa.array(n), batch.column("part"),
-                 pa.array(before + ends - n)], names)
-            before += int(ends[-1]) if len(ends) else 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                flat, n = code.encode(batch.column("text"), tail)
+                ends = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), lists, pa.array(n), batch.column("part"),
+                     pa.array(before + ends - n)], names)
+                before += int(ends[-1])
 
     return ordered.mapInArrow(run, SCHEMA)
 
