@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items.
 
-Texts are normalised to lower-case words joined by one space, with a space at either end; a pattern
-is a window of an item in the same form, so a match begins and ends at word edges. Each document is
-scanned once. Matches are word ranges, mapped back to character offsets of the original text.
+Texts are normalised to lower-case words and words to numbers; a pattern is a window of an item, so
+its nodes are words and a match begins and ends at word edges. Each document is scanned once. Matches
+are word ranges, mapped back to character offsets of the original text. A worker process builds the
+automaton of a pass once and keeps it for its tasks.
 
 Cases: a null or empty text has no words and no hits. An item without words is ignored; one of
 fewer words than the window is a single window. Items that repeat, or share windows, are all named.
@@ -13,44 +14,67 @@ columns are not looked at. No items: nothing is hit. No documents: no rows.
 from __future__ import annotations
 
 import re
+import uuid
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from cohortide.llm.storage import materialize
 from cohortide.llm.words import LOWER, ALNUM, Texts, job_settings
 
 #: Maps text to lower-case words with spaces between.
 _SPACED = bytes(b if ALNUM[b] else 32 for b in LOWER)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Item text for one automaton, in bytes. More items are scanned for in several passes.
-SHARD_BYTES = 16 << 20
+#: Item text for one automaton, in bytes. More items are scanned for in several passes. Measured:
+#: 130 bytes of memory for a byte of text, so a worker holds about 270 MB at this size.
+SHARD_BYTES = 2 << 20
 RESULT = ("n_words long, hits array<struct<start:int,end:int>>, "
           "spans array<struct<start:int,end:int>>, items array<string>")
 
 
-def item_windows(text: str, window: int) -> list[str]:
-    words = text.encode().translate(_SPACED).decode("latin-1").split(" ")
-    words = [w for w in words if w]
-    n = max(1, len(words) - window + 1) if words else 0
-    return [f" {' '.join(words[i:i + window])} " for i in range(n)]
+class Windows:
+    """The automaton of the windows of some items, over numbers of words.
 
+    A window adds at most one node for each of its words, of about 40 bytes; words that no item has
+    are 0. What a window tells is its length and the ids of its items."""
 
-def automaton(items: list[tuple[str | None, str | None]], window: int):
-    """Of (id, text) pairs. A pattern's value is its length and the ids of its items."""
-    import ahocorasick
+    def __init__(self, items, window: int):
+        import ahocorasick
 
-    owners: dict[str, set] = {}
-    for key, text in items:
-        for w in item_windows(text or "", window):
-            owners.setdefault(w, set()).update(() if key is None else (key,))
-    if not owners:
-        return None
-    found = ahocorasick.Automaton()
-    for w, keys in owners.items():
-        found.add_word(w, (len(w), keys))
-    found.make_automaton()
-    return found
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple, set] = {}
+        for key, text in items:
+            words = (text or "").encode().translate(_SPACED).split()
+            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
+            for i in range(max(1, len(ids) - window + 1) if ids else 0):
+                owners.setdefault(ids[i:i + window], set()).update(() if key is None else (key,))
+        self.found = None
+        if owners:
+            self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            shared: dict[frozenset, frozenset] = {}
+            for ids, keys in owners.items():
+                keys = frozenset(keys)
+                self.found.add_word(ids, (len(ids), shared.setdefault(keys, keys)))
+            self.found.make_automaton()
+
+    def matches(self, words: list[bytes]):
+        """(index of the last word, (length, ids)) of every occurrence."""
+        return self.found.iter(tuple(map(self.number.get, words, repeat(0))))
+
+
+#: The automaton of this worker process, by the name of its shard. A task of the same pass finds it here.
+_BUILT: dict[str, Windows] = {}
+
+
+def windows_of(shared: tuple[str, list], window: int) -> Windows:
+    """The automaton of a shard (its name, its items), built once in a worker; that of an earlier
+    pass goes."""
+    name, items = shared
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(items, window)
+    return _BUILT[name]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,18 +88,14 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: bytes, found) -> tuple[int, list, list, list]:
+def scan(text: bytes, windows: Windows) -> tuple[int, list, list, list]:
     """Word count, merged word ranges, their character spans, and ids of the items that occur."""
     words = text.translate(_SPACED).split()
-    if not words or found is None:
+    if not words or windows.found is None:
         return len(words), [], [], []
-    line = f" {b' '.join(words).decode('latin-1')} "
-    ranges, keys, edges = [], set(), None
-    for last, (length, owners) in found.iter(line):
-        if edges is None:
-            edges = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        a, b = np.searchsorted(edges, (last - length + 1, last))
-        ranges.append((int(a), int(b)))
+    ranges, keys = [], set()
+    for last, (length, owners) in windows.matches(words):
+        ranges.append((last - length + 1, last + 1))
         keys |= owners
     if not ranges:
         return len(words), [], [], []
@@ -92,7 +112,7 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
         ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        found = automaton(shared.value, window)
+        found = windows_of(shared.value, window)
         for batch in batches:
             texts = Texts(batch.column("text"), ALNUM)
             rows = [scan(texts.text(t), found) for t in range(len(texts))]
@@ -106,6 +126,17 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
     return docs.mapInArrow(run, result)
 
 
+def item_shards(items: DataFrame, shard_bytes: int) -> list:
+    """Broadcasts of about ``shard_bytes`` of item text (columns k and t) each, with a name."""
+    spark = items.sparkSession
+    size = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
+    shards, out = 1 + size // shard_bytes, []
+    for s in range(shards):
+        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == s)
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in own.toLocalIterator()])))
+    return out
+
+
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id",
                    text: str = "text", item_id: str = "item_id", item_text: str = "text",
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -119,15 +150,11 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, doc_id:
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     items = items.select(F.col(item_id).cast("string").alias("k"),
                          F.col(item_text).cast("string").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).head()[0] or 0
-    shards = 1 + size // shard_bytes
+    shared = item_shards(items, shard_bytes)
+    shards = len(shared)
     if shards > 1:
         rows = rows.withColumn("id", F.struct("id", F.monotonically_increasing_id().alias("row")))
-    parts = []
-    for s in range(shards):
-        own = items if shards == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(shards)) == s)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
-        parts.append(_pass(rows, shared, window))
+    parts = [_pass(rows, own, window) for own in shared]
     if shards == 1:
         return parts[0].withColumnRenamed("id", doc_id)
     every = parts[0]
@@ -162,9 +189,29 @@ def digest(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         (n_hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, that no window of an item occurs in."""
-    whole = F.struct(*docs.columns)
-    found = benchmark_hits(docs.select(whole.alias("whole"), F.col(text).alias("body")), items,
-                           doc_id="whole", text="body", **how)
-    return found.where(F.size("hits") == 0).select("whole.*")
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES
+                      ) -> DataFrame:
+    """The rows of ``docs``, all columns, that no window of an item occurs in.
+
+    Each shard of items drops its rows in a pass over what the one before left, so no row is ever
+    shuffled; what a pass keeps is written before the next."""
+    job_settings(docs.sparkSession)
+    rows = items.select(F.col(item_id).cast("string").alias("k"), F.col(item_text).cast("string").alias("t"))
+    shared = item_shards(rows, shard_bytes)
+
+    def keeping(own):
+        def run(batches):
+            found = windows_of(own.value, window)
+            for batch in batches:
+                texts = Texts(batch.column(text).cast(pa.string()), ALNUM)
+                clean = [not (words and found.found is not None and next(iter(found.matches(words)), None))
+                         for words in (texts.text(t).translate(_SPACED).split() for t in range(len(texts)))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+        return run
+
+    for number, own in enumerate(shared):
+        docs = docs.mapInArrow(keeping(own), docs.schema)
+        if number + 1 < len(shared):
+            docs = materialize(docs, "clean-documents")
+    return docs
