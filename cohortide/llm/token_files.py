@@ -34,7 +34,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker keeps the ids of, about 30 bytes each, and runs of letters, about 200 bytes
 #: each, in each of two generations.
 KNOWN = 2_000_000
-PARTS = 100_000
+PARTS = 50_000
 #: Words of so many characters go through the whole tokenizer.
 LONG = 64
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, local_start long"
@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     def run(batches):
         code, before = encoder(path), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 flat, n = code.encode(batch.column("text"), tail)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
