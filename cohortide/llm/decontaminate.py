@@ -13,19 +13,15 @@ columns are not looked at. No items: nothing is hit. No documents: no rows.
 
 from __future__ import annotations
 
-import re
 import uuid
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortide.llm.storage import materialize
-from cohortide.llm.words import LOWER, ALNUM, Texts, job_settings
+from cohortide.llm.words import ALNUM, Texts, job_settings, slices
 
-#: Maps text to lower-case words with spaces between.
-_SPACED = bytes(b if ALNUM[b] else 32 for b in LOWER)
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Item text for one automaton, in bytes. More items are scanned for in several passes. Measured:
 #: 130 bytes of memory for a byte of text, so a worker holds about 270 MB at this size.
 SHARD_BYTES = 2 << 20
@@ -36,20 +32,24 @@ RESULT = ("n_words long, hits array<struct<start:int,end:int>>, "
 class Windows:
     """The automaton of the windows of some items, over numbers of words.
 
-    A window adds at most one node for each of its words, of about 40 bytes; words that no item has
-    are 0. What a window tells is its length and the ids of its items."""
+    A window adds at most one node for each of its words, of about 40 bytes. What a window tells is
+    its length and the ids of its items. Words are numbered by 64-bit hash; a word that no item has is
+    0, and there the automaton is back at its root. So only stretches of known words that are as long
+    as the shortest window are scanned; numpy finds them."""
 
     def __init__(self, items, window: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
+        items = list(items)
+        texts = Texts(pa.array([text or "" for _, text in items], pa.string()), ALNUM, lower=True)
+        self.words, numbers = np.unique(texts.hashes(), return_inverse=True)
+        numbers = (numbers + 1).tolist()
         owners: dict[tuple, set] = {}
-        for key, text in items:
-            words = (text or "").encode().translate(_SPACED).split()
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
+        for (key, _), a, b in zip(items, texts.first[:-1].tolist(), texts.first[1:].tolist()):
+            ids = tuple(numbers[a:b])
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(ids[i:i + window], set()).update(() if key is None else (key,))
-        self.found = None
+        self.found, self.shortest = None, min(map(len, owners), default=0)
         if owners:
             self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             shared: dict[frozenset, frozenset] = {}
@@ -58,9 +58,24 @@ class Windows:
                 self.found.add_word(ids, (len(ids), shared.setdefault(keys, keys)))
             self.found.make_automaton()
 
-    def matches(self, words: list[bytes]):
-        """(index of the last word, (length, ids)) of every occurrence."""
-        return self.found.iter(tuple(map(self.number.get, words, repeat(0))))
+    def matches(self, texts: Texts):
+        """(text, first word, end, ids) of every occurrence, words counted over all texts."""
+        h = texts.hashes()
+        if self.found is None or not len(h):
+            return
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        numbers = np.where(self.words[at] == h, at + 1, 0)
+        known = np.concatenate([[False], numbers > 0, [False]])
+        # A stretch begins at a known word after an unknown one or at a text's first word.
+        first = np.zeros(len(h) + 1, bool)
+        first[texts.first[:-1]] = True
+        begin = np.flatnonzero(known[1:-1] & (~known[:-2] | first[:-1]))
+        end = np.flatnonzero(known[1:-1] & (~known[2:] | np.append(first[1:-1], True))) + 1
+        long = end - begin >= self.shortest
+        owner = np.searchsorted(texts.first, begin[long], "right") - 1
+        for t, a, b in zip(owner.tolist(), begin[long].tolist(), end[long].tolist()):
+            for last, (length, keys) in self.found.iter(tuple(numbers[a:b].tolist())):
+                yield t, a + last - length + 1, a + last + 1, keys
 
 
 #: The automaton of this worker process, by the name of its shard. A task of the same pass finds it here.
@@ -88,22 +103,21 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: bytes, windows: Windows) -> tuple[int, list, list, list]:
-    """Word count, merged word ranges, their character spans, and ids of the items that occur."""
-    words = text.translate(_SPACED).split()
-    if not words or windows.found is None:
-        return len(words), [], [], []
-    ranges, keys = [], set()
-    for last, (length, owners) in windows.matches(words):
-        ranges.append((last - length + 1, last + 1))
-        keys |= owners
-    if not ranges:
-        return len(words), [], [], []
-    ranges = merged(ranges)
-    places = [m.span() for m in _WORD.finditer(text)]
-    spans = [tuple(len(text[:x].decode("utf-8", "replace")) for x in (places[a][0], places[b - 1][1]))
-             for a, b in ranges]
-    return len(words), ranges, spans, sorted(keys)
+def scan(texts: Texts, windows: Windows) -> list[tuple[list, list, list]]:
+    """For each text merged word ranges, their character spans, and ids of the items that occur."""
+    found: dict[int, tuple[list, set]] = {}
+    for t, a, b, keys in windows.matches(texts):
+        ranges, owners = found.setdefault(t, ([], set()))
+        ranges.append((a, b))
+        owners |= keys
+    out = [([], [], [])] * len(texts)
+    for t, (ranges, owners) in found.items():
+        ranges, first, base = merged(ranges), int(texts.first[t]), int(texts.at[t])
+        body = texts.text(t)
+        spans = [tuple(len(body[:int(x) - base].decode("utf-8", "replace"))
+                       for x in (texts.starts[a], texts.ends[b - 1])) for a, b in ranges]
+        out[t] = ([(a - first, b - first) for a, b in ranges], spans, sorted(owners))
+    return out
 
 
 def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
@@ -112,15 +126,16 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
         ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        found = windows_of(shared.value, window)
-        for batch in batches:
-            texts = Texts(batch.column("text"), ALNUM)
-            rows = [scan(texts.text(t), found) for t in range(len(texts))]
-            cols = [pa.array([r[0] for r in rows], types[0].type)]
-            cols += [pa.array([[{"start": a, "end": b} for a, b in r[k]] for r in rows], types[k].type)
-                     for k in (1, 2)]
-            cols.append(pa.array([r[3] for r in rows], types[3].type))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", *types.names])
+        windows = windows_of(shared.value, window)
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                texts = Texts(batch.column("text"), ALNUM, lower=True)
+                rows = scan(texts, windows)
+                cols = [pa.array(texts.counts, pa.int64())]
+                cols += [pa.array([[{"start": a, "end": b} for a, b in r[k]] for r in rows], types[k + 1].type)
+                         for k in (0, 1)]
+                cols.append(pa.array([r[2] for r in rows], types[3].type))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", *types.names])
 
     result = T.StructType([docs.schema["id"], *T.StructType.fromDDL(RESULT)])
     return docs.mapInArrow(run, result)
@@ -202,12 +217,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text:
 
     def keeping(own):
         def run(batches):
-            found = windows_of(own.value, window)
-            for batch in batches:
-                texts = Texts(batch.column(text).cast(pa.string()), ALNUM)
-                clean = [not (words and found.found is not None and next(iter(found.matches(words)), None))
-                         for words in (texts.text(t).translate(_SPACED).split() for t in range(len(texts)))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            windows = windows_of(own.value, window)
+            for whole in batches:
+                for batch in slices(whole, text, 1 << 20):
+                    texts = Texts(batch.column(text).cast(pa.string()), ALNUM, lower=True)
+                    clean = np.ones(len(texts), bool)
+                    clean[[t for t, *_ in windows.matches(texts)]] = False
+                    yield batch.filter(pa.array(clean))
         return run
 
     for number, own in enumerate(shared):
