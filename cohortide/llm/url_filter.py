@@ -1,9 +1,10 @@
 """URL filter: rules by host and path first, gradient-boosted trees on lexical features for the rest.
 
 Features: lengths, depth, digit ratio, character entropy, parameter counts, and how often URLs of the
-same host suffix (last label, last two labels) were blocked among all labelled ones. The trees are
-MLlib's, fitted on at most ``SAMPLE`` labelled URLs; the query takes as labels the verdicts of the
-rules. Rules are a short given list and become one expression.
+same host suffix (last label, last two labels) were blocked among all labelled ones. A URL that the
+trees are fitted on gets the shares of the labelled URLs outside its fold, so its own label is not among
+its features. The trees are MLlib's, fitted on at most ``SAMPLE`` labelled URLs; the query takes as
+labels the verdicts of the rules. Rules are a short given list and become one expression.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, matches no rule, and is
 judged by its features like any other. Rows that repeat get a verdict each. Other columns are not
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortide.llm.storage import materialize
 
@@ -23,6 +24,7 @@ from cohortide.llm.storage import materialize
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
          ("allow", "org", "/fr/"))
 SAMPLE = 200_000
+FOLDS = 5
 TREES, DEPTH, SEED = 10, 3, 7
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy",
            "parameters", "hyphens", "longest_label")
@@ -68,17 +70,37 @@ def lexical(rows: DataFrame) -> DataFrame:
         {"suffix1": F.substring_index("host", ".", -1), "suffix2": F.substring_index("host", ".", -2)})
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(13), url), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """Labelled and blocked URLs by the last two labels of the host, which name the last one too."""
-    return labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix2")).agg(
+    """Labelled and blocked URLs by fold and the last two labels of the host, which name the last one
+    too."""
+    return labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix2"),
+                            fold_of(F.col("url")).alias("fold")).agg(
         F.count("*").alias("n"), F.sum("label").alias("blocked")).withColumn(
             "suffix1", F.substring_index("suffix2", ".", -1))
 
 
+def _rate(blocked, n) -> Column:
+    """Share of blocked URLs, drawn to a half where there are few."""
+    return (blocked + 5) / (n + 10)
+
+
 def suffix_rates(counts: DataFrame, name: str) -> DataFrame:
-    """Share of blocked URLs by suffix, drawn to a half where there are few."""
+    """Share of blocked URLs by suffix."""
     return counts.groupBy(F.col(name).alias(f"of_{name}")).agg(
-        ((F.sum("blocked") + 5) / (F.sum("n") + 10)).alias(f"rate_{name}"))
+        _rate(F.sum("blocked"), F.sum("n")).alias(f"rate_{name}"))
+
+
+def rates_outside(counts: DataFrame, name: str) -> DataFrame:
+    """The same for each fold, of the URLs in the other ones."""
+    own = counts.groupBy(F.col(name).alias(f"of_{name}"), F.col("fold").alias("of_fold")).agg(
+        F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    every = Window.partitionBy(f"of_{name}")
+    rest = [F.sum(c).over(every) - F.col(c) for c in ("blocked", "n")]
+    return own.select(f"of_{name}", "of_fold", _rate(*rest).alias(f"rate_{name}"))
 
 
 def with_rates(rows: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
@@ -95,13 +117,17 @@ def fit_trees(labelled: DataFrame, sample: int = SAMPLE):
         return lambda rows: rows.withColumn("judged", F.lit(0.0))
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < sample * (1 << 30) // n)
-    known = materialize(lexical(labelled), "labelled-urls")
+    known = materialize(lexical(labelled).withColumn("fold", fold_of(F.col("url"))), "labelled-urls")
+    for s in ("suffix1", "suffix2"):
+        table = rates_outside(counts, s)
+        known = known.join(table, (known[s] == table[f"of_{s}"]) & (known["fold"] == table["of_fold"])).drop(
+            f"of_{s}", "of_fold")
     rates = {s: materialize(suffix_rates(counts, s), "suffix-rates") for s in ("suffix1", "suffix2")}
     columns = [*LEXICAL, *(f"rate_{s}" for s in rates)]
     trees = GBTClassifier(labelCol="label", featuresCol="features", predictionCol="judged",
                           maxIter=TREES, maxDepth=DEPTH, seed=SEED)
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), trees]).fit(
-        with_rates(known, rates).orderBy(F.xxhash64("url", "page_id"), "url")
+        known.orderBy(F.xxhash64("url", "page_id"), "url")
         .select("label", *columns))
     return lambda rows: model.transform(with_rates(lexical(rows), rates))
 
