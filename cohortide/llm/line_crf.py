@@ -4,13 +4,15 @@ Features of a line are binned measures (case, marks, symbols, bars, repetition,
 line itself and of its two neighbours. Forward-backward gives each line's probability of being
 good; their mean weighted by line length, calibrated, is the document's score.
 
-The field is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS`` documents of at most
-``SAMPLE_LINES`` lines), whose lines carry their document's label. Only the binned measures of that
-sample reach the driver. Scoring is one pass without a shuffle.
+The field is fitted on a bounded sample of labelled documents: ``SAMPLE_DOCS`` by hash of the id, and of
+those, whole and in that order, as many as make up ``SAMPLE_LINES`` lines (the first in any case). Lines
+carry their document's label. Only the binned measures of that sample reach the driver. Scoring is one
+pass without a shuffle.
 
 Cases: a null or empty text, or one of blank lines, has no lines and gets the sample's share of
 good documents. Labels that are null, repeat, or belong to no document are allowed. No labels: the
-score is 0.5 everywhere. Rows that repeat get a score each. Other columns are not looked at.
+score is 0.5 everywhere, and ``keep_good`` keeps every document. Rows that repeat get a score each. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from cohortide.llm.labelled import fit_logistic, free_name, held_out, labelled_s
 from cohortide.llm.words import job_settings
 
 SAMPLE_DOCS = 6000
-SAMPLE_LINES = 64
+SAMPLE_LINES = 300_000
 THRESHOLD = 0.7
 
-_UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
+#: Capitals of all scripts that have case.
+_UPPER = re.compile("[" + "".join(chr(c) for c in range(1 << 17) if chr(c).isupper()) + "]")
 _MARKS = re.compile(r"[!?]{2,}")
 _SYMBOLS = re.compile(r"[#*$%&<>]+")
 _DIGITS = re.compile(r"\d")
@@ -88,6 +91,8 @@ class Field:
     same: np.ndarray
     calibration: np.ndarray
     prior: float
+    #: Documents that it was fitted on.
+    fitted_on: int = 0
 
 
 def edges_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +190,7 @@ def fit(bins, sizes, counts, labels, steps: int = 200, rate: float = 0.1, decay:
             state[name] = m, v
             setattr(field, name, w + rate * (m / (1 - 0.9 ** step))
                     / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8))
-    field.prior = float(labels.mean())
+    field.prior, field.fitted_on = float(labels.mean()), len(labels)
     p, _ = forward_backward(potentials(field, bins, counts), counts, field.same)
     q = weighted_means(p, sizes, counts, field.prior)
     field.calibration = fit_logistic(log_odds(q)[:, None], labels)
@@ -205,9 +210,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
           sample_lines: int = SAMPLE_LINES, doc_id: str = "doc_id", text: str = "text") -> Field:
     job_settings(docs.sparkSession)
     sample = labelled_sample(labels, label, sample_docs)
-    rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-            .join(F.broadcast(sample), F.col("id") == F.col("sample_id"))
-            .where(F.size(F.split("text", "\n")) <= sample_lines).select("text", "label"))
+    found = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+             .join(F.broadcast(sample), F.col("id") == F.col("sample_id")))
+    # A row for each document of the sample: its place by hash, and its lines.
+    sizes = sorted((r.place, r.id, r.lines) for r in found.groupBy("id").agg(
+        F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines"),
+        F.first(F.xxhash64(F.lit(5), "id")).alias("place")).collect())
+    kept, total = [], 0
+    for _, key, lines in sizes:
+        if kept and total + lines > sample_lines:
+            break
+        kept.append((key,))
+        total += lines
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(kept, f"kept_id {dict(found.dtypes)['id']}")
+    rows = found.join(F.broadcast(ids), F.col("id") == F.col("kept_id")).select("text", "label")
 
     def run(batches):
         for batch in batches:
@@ -249,6 +266,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is classified as good."""
+    field = train(docs, labels, doc_id=doc_id, text=text)
+    if not field.fitted_on:
+        return docs
     name = free_name(docs, "line_score")
-    scored = with_score(docs, train(docs, labels, doc_id=doc_id, text=text), name, text)
+    scored = with_score(docs, field, name, text)
     return scored.where(F.col(name) >= threshold).select(*docs.columns)
