@@ -1,8 +1,10 @@
 """Similarity self-join of documents on the Jaccard index of their word n-grams.
 
 1. Counting. Each task cuts its texts into chunks and sends the chunk's shingles, packed by hash
-   bucket. A bucket's task counts in how many documents each shingle is and sends back those of two
-   or more. A document of which too few are shared can have no link and is settled.
+   bucket. A shingle of ``DENSE`` documents of a chunk is sent once, with their number; the documents
+   that have it stay with the chunk. A bucket's task counts in how many documents each shingle is and
+   sends back those of two or more. A document of which too few are shared can have no link and is
+   settled.
 2. Prefixes. Several global orders sort shingles by rarity class and then by a hash of their own.
    Two sets that link share a shingle among the first n - ceil(threshold * n) + 1 of each, under
    every order. Shingles of one document come first and never meet another's.
@@ -28,7 +30,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortide.llm.components import components
 from cohortide.llm.words import PLAIN, Texts, job_settings, mix, slices
@@ -40,6 +42,8 @@ THRESHOLD = 80
 ORDERS = (1, 2, 3)
 #: Text bytes whose shingles share a counting bucket.
 BUCKET_BYTES = 12 << 20
+#: Documents of a chunk from which on a shingle is added up before it is sent.
+DENSE = 8
 CELL = 256
 PIVOT_ROUNDS = 2
 #: Bits of a shingle's hash that are sent inside a bucket.
@@ -70,34 +74,53 @@ def _rows(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-_PACKED = ["bucket", "chunk", "body", "sizes", "ids"]
-_PACKED_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_PACKED_SCHEMA = "bucket int, chunk long, body binary, sizes binary, ids binary"
+# What a packed row is: shingles one by one with their documents; the documents of a chunk; shingles
+# that a chunk has added up, with numbers; and the documents of those.
+ONE, HEAD, ADDED, HOLDERS = range(4)
+_PACKED = ["bucket", "chunk", "kind", "body", "sizes", "ids"]
+_PACKED_KINDS = [pa.int32(), pa.int64(), pa.int8(), pa.binary(), pa.binary(), pa.binary()]
+_PACKED_SCHEMA = "bucket int, chunk long, kind tinyint, body binary, sizes binary, ids binary"
 
 
-def pack(rows: DataFrame, n: int, bits: int) -> DataFrame:
-    """Chunks' shingles by bucket; and for each chunk a row with ids, set sizes and set hashes."""
+def _low_bytes(h: np.ndarray) -> np.ndarray:
+    return (h & U64((1 << _LOW) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def pack(rows: DataFrame, n: int, bits: int, dense: int) -> DataFrame:
+    """Chunks' shingles by bucket; and for each chunk a row with ids, set sizes and set hashes, and one
+    with the documents of its dense shingles."""
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"), PLAIN, lower=True)
+                if len(texts) > 1 << 16:
+                    raise ValueError("a chunk numbers its documents in 16 bits")
                 owner, h = shingle_sets(texts, n)
                 counts = np.bincount(owner, minlength=len(texts))
                 sums = np.append(U64(0), np.cumsum(mix(h ^ U64(0x5bd1e995)), dtype=np.uint64))
                 ends = np.cumsum(counts)
                 sets = mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64))
-                out = [(chunk % (1 << bits), chunk, np.asarray(part.column("id")).tobytes(),
+                home = chunk % (1 << bits)
+                out = [(home, chunk, HEAD, np.asarray(part.column("id")).tobytes(),
                         counts.astype(np.int64).tobytes(), sets.tobytes())]
-                bucket = (h >> U64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                low = (h[order] & U64((1 << _LOW) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                owner = owner[order].astype("<u2")
-                for b in np.flatnonzero(np.diff(edges)):
-                    i, j = edges[b], edges[b + 1]
-                    out.append((int(b), chunk, low[i:j].tobytes(), owner[i:j].tobytes(), None))
+                order = np.argsort(h, kind="stable")
+                h, owner = h[order], owner[order].astype("<u2")
+                new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(h)))
+                many = times >= dense
+                some = np.repeat(many, times)
+                if many.any():
+                    out.append((home, chunk, HOLDERS, h[new[many]].tobytes(), owner[some].tobytes(),
+                                times[many].astype("<u4").tobytes()))
+                for kind, x, extra in ((ONE, h[~some], owner[~some]),
+                                       (ADDED, h[new[many]], times[many].astype("<u4"))):
+                    low = _low_bytes(x)
+                    edges = np.searchsorted((x >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                    for b in np.flatnonzero(np.diff(edges)):
+                        i, j = edges[b], edges[b + 1]
+                        out.append((int(b), chunk, kind, low[i:j].tobytes(), extra[i:j].tobytes(), None))
                 yield _rows(_PACKED, _PACKED_KINDS, out)
                 chunk += 1
 
@@ -114,26 +137,28 @@ def _unpack(bodies) -> np.ndarray:
 def count_bucket(table: pa.Table) -> pa.Table:
     """Of one bucket's shingles those in two or more documents, with rarity classes, by chunk."""
     rows = [r for r in zip(*(table.column(c).to_pylist() for c in _PACKED))]
-    out = [r for r in rows if r[4] is not None]
-    rows = [r for r in rows if r[4] is None]
+    out = [r for r in rows if r[2] in (HEAD, HOLDERS)]
+    rows = [r for r in rows if r[2] in (ONE, ADDED)]
     if rows:
-        tokens = _unpack([r[2] for r in rows])
+        tokens = _unpack([r[3] for r in rows])
+        weight = np.concatenate([np.frombuffer(r[4], "<u4").astype(np.int64) if r[2] == ADDED
+                                 else np.ones(len(r[3]) // 5, np.int64) for r in rows])
         order = np.argsort(tokens, kind="stable")
         new = np.ones(len(tokens), bool)
         new[1:] = tokens[order][1:] != tokens[order][:-1]
         start = np.flatnonzero(new)
         times = np.empty(len(tokens), np.int64)
-        times[order] = np.repeat(np.diff(np.append(start, len(tokens))), np.diff(np.append(start, len(tokens))))
+        times[order] = np.repeat(np.add.reduceat(weight[order], start), np.diff(np.append(start, len(tokens))))
         kept = times >= 2
         rank = np.log2(np.maximum(times, 1)).astype(np.uint8)
         tokens |= U64(rows[0][0]) << U64(_LOW)
         at = 0
-        for bucket, chunk, body, owner, _ in rows:
+        for bucket, chunk, kind, body, extra, _ in rows:
             n = len(body) // 5
             k = kept[at:at + n]
             if k.any():
-                out.append((bucket, chunk, tokens[at:at + n][k].tobytes() + rank[at:at + n][k].tobytes(),
-                            np.frombuffer(owner, "<u2")[k].tobytes(), None))
+                out.append((bucket, chunk, kind, tokens[at:at + n][k].tobytes() + rank[at:at + n][k].tobytes(),
+                            np.frombuffer(extra, "<u2")[k].tobytes() if kind == ONE else None, None))
             at += n
     return pa.Table.from_batches([_rows(_PACKED, _PACKED_KINDS, out)])
 
@@ -148,20 +173,35 @@ def _orderings(orders):
     return [np.random.default_rng(s).integers(1, 1 << 63, dtype=np.uint64) for s in orders]
 
 
-def assemble(threshold: int, orders):
+def assemble(threshold: int, orders, bits: int):
     """A function from a chunk's rows to its documents' sets and prefixes."""
     seeds = _orderings(orders)
 
+    def counted(rows):
+        """Tokens and rarity classes of rows that a bucket has sent back."""
+        n_of = [len(r[3]) // 9 for r in rows]
+        return (np.frombuffer(b"".join(r[3][:8 * k] for r, k in zip(rows, n_of)), np.uint64),
+                np.frombuffer(b"".join(r[3][8 * k:] for r, k in zip(rows, n_of)), np.uint8))
+
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in _PACKED)))
-        head = next(r for r in rows if r[4] is not None)
-        rows = [r for r in rows if r[4] is None]
-        ids, sizes = np.frombuffer(head[2], np.int64), np.frombuffer(head[3], np.int64)
-        sets = np.frombuffer(head[4], np.int64)
-        owner = np.frombuffer(b"".join(r[3] for r in rows), "<u2").astype(np.int64)
-        n_of = [len(r[3]) // 2 for r in rows]
-        tokens = np.frombuffer(b"".join(r[2][:8 * k] for r, k in zip(rows, n_of)), np.uint64)
-        rank = np.frombuffer(b"".join(r[2][8 * k:] for r, k in zip(rows, n_of)), np.uint8)
+        by_kind = {k: [] for k in range(4)}
+        for r in zip(*(table.column(c).to_pylist() for c in _PACKED)):
+            by_kind[r[2]].append(r)
+        head = by_kind[HEAD][0]
+        ids, sizes = np.frombuffer(head[3], np.int64), np.frombuffer(head[4], np.int64)
+        sets = np.frombuffer(head[5], np.int64)
+        tokens, rank = counted(by_kind[ONE])
+        owner = np.frombuffer(b"".join(r[4] for r in by_kind[ONE]), "<u2").astype(np.int64)
+        for r in by_kind[HOLDERS]:
+            # Their numbers come back apart, by the token that a bucket makes of a shingle.
+            known, classes = counted(by_kind[ADDED])
+            order = np.argsort(known)
+            known, classes = known[order], classes[order]
+            h, times = np.frombuffer(r[3], np.uint64), np.frombuffer(r[5], "<u4")
+            own = (h & U64((1 << _LOW) - 1)) | ((h >> U64(64 - bits)) << U64(_LOW))
+            tokens = np.concatenate([tokens, np.repeat(own, times)])
+            rank = np.concatenate([rank, np.repeat(classes[np.searchsorted(known, own)], times)])
+            owner = np.concatenate([owner, np.frombuffer(r[4], "<u2").astype(np.int64)])
         by = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[by], np.arange(len(ids) + 1))
         out = []
@@ -188,8 +228,8 @@ def document_sets(docs: DataFrame, n: int, threshold: int, orders, doc_id: str,
         F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = max(4, min(20, ceil(log2(1 + size / BUCKET_BYTES))))
-    shared = pack(rows, n, bits).groupBy("bucket").applyInArrow(count_bucket, _PACKED_SCHEMA)
-    return materialize(shared.groupBy("chunk").applyInArrow(assemble(threshold, orders), _SETS_SCHEMA),
+    shared = pack(rows, n, bits, DENSE).groupBy("bucket").applyInArrow(count_bucket, _PACKED_SCHEMA)
+    return materialize(shared.groupBy("chunk").applyInArrow(assemble(threshold, orders, bits), _SETS_SCHEMA),
                        "shingle-sets")
 
 
@@ -352,11 +392,18 @@ def similarity_components(docs: DataFrame, n: int = N, threshold: int = THRESHOL
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Of each component the row of the smallest id, all columns; and every row without an id."""
-    found = similarity_components(docs, doc_id=doc_id, text=text, **how)
-    kept = found.where(F.col("component_id") == F.col(doc_id)).select(F.col(doc_id).alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col(doc_id) == F.col("kept_id"), "left_semi")
-    # An id that comes on several rows keeps one of them.
-    by_id = Window.partitionBy(doc_id).orderBy(*[c for c in (text,) if c in docs.columns])
-    rows = rows.select("*", F.row_number().over(by_id).alias("row_of_id")).where("row_of_id = 1")
+    """Of each component one row, all columns; and every row without an id.
+
+    A row is known by id and text, so an id on rows of unlinked texts keeps a row for each of them.
+    The row kept is that of the smallest id, of several texts under it that of the least hash; of
+    rows equal in both any one."""
+    key = F.xxhash64(F.lit(11), F.col(doc_id).cast("string"), F.col(text))
+    rows = docs.where(F.col(doc_id).isNotNull()).withColumn("key_of_row", key)
+    plain = rows.select(F.col("key_of_row").alias("doc_id"), F.col(text).alias("text"))
+    found = similarity_components(plain, **how).select(
+        F.col("doc_id").alias("key"), F.col("component_id").alias("class")).distinct()
+    ids = rows.groupBy("key_of_row").agg(F.first(doc_id).alias("id"))
+    kept = found.join(ids, F.col("key") == F.col("key_of_row")).groupBy("class").agg(
+        F.min(F.struct("id", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    rows = rows.join(kept, F.col("key_of_row") == F.col("key"), "left_semi").dropDuplicates(["key_of_row"])
     return rows.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
