@@ -29,10 +29,11 @@ from cohortide.llm.words import job_settings
 
 SAMPLE_DOCS = 6000
 SAMPLE_LINES = 300_000
+#: Lines that are fitted as one chain. Neighbours' features pass the cuts, only the links between the
+#: labels of two lines are left out there.
+CHAIN = 64
 THRESHOLD = 0.7
 
-#: Capitals of all scripts that have case.
-_UPPER = re.compile("[" + "".join(chr(c) for c in range(1 << 17) if chr(c).isupper()) + "]")
 _MARKS = re.compile(r"[!?]{2,}")
 _SYMBOLS = re.compile(r"[#*$%&<>]+")
 _DIGITS = re.compile(r"\d")
@@ -60,7 +61,8 @@ def measures(line: str, seen: set) -> tuple:
     again = line in seen
     seen.add(line)
     same = sum(map(str.__eq__, words, words[1:])) if len(set(words)) < 0.95 * n else 0
-    return (len(_UPPER.findall(line)) / size, len(_MARKS.findall(line)) / n,
+    # Capitals of all scripts that have case.
+    return (sum(map(str.isupper, line)) / size, len(_MARKS.findall(line)) / n,
             len(_SYMBOLS.findall(line)) / n, line.count("|") / n, len(set(words)) / n, same / n, n,
             size / n, len(_DIGITS.findall(line)) / size,
             line.rstrip()[-1:] in ".!?:;…\"')]", again)
@@ -161,6 +163,16 @@ def log_odds(q: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
+def cut_chains(counts: np.ndarray) -> np.ndarray:
+    """Lines of the chains that are fitted: a longer text is several of them."""
+    whole, rest = counts // CHAIN, counts % CHAIN
+    pieces = whole + (rest > 0)
+    out = np.full(int(pieces.sum()), CHAIN, np.int64)
+    some = rest > 0
+    out[np.cumsum(pieces)[some] - 1] = rest[some]
+    return out
+
+
 def fit(bins, sizes, counts, labels, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Maximum likelihood by Adam; ``labels`` has 0 or 1 for each text."""
     shape = (MEASURES, BINS)
@@ -169,7 +181,9 @@ def fit(bins, sizes, counts, labels, steps: int = 200, rate: float = 0.1, decay:
         return field
     y = np.repeat(labels.astype(float), counts)
     has_before, has_after = edges_of(counts)
-    seen = [np.array([has_after & (y == k)]).sum() for k in (0, 1)]
+    chains = cut_chains(counts)
+    goes_on = edges_of(chains)[1]
+    seen = [(goes_on & (y == k)).sum() for k in (0, 1)]
     names, state = ("own", "before", "after", "same"), {}
     slot = np.arange(MEASURES) * BINS + bins
 
@@ -177,7 +191,7 @@ def fit(bins, sizes, counts, labels, steps: int = 200, rate: float = 0.1, decay:
         return np.bincount(index.ravel(), np.repeat(delta, MEASURES), MEASURES * BINS).reshape(shape)
 
     for step in range(1, steps + 1 if len(y) else 1):
-        p, pair = forward_backward(potentials(field, bins, counts), counts, field.same)
+        p, pair = forward_backward(potentials(field, bins, counts), chains, field.same)
         d = y - p
         grads = (spread(d, slot), spread(d[1:][has_before[1:]], slot[:-1][has_before[1:]]),
                  spread(d[:-1][has_after[:-1]], slot[1:][has_after[:-1]]),
