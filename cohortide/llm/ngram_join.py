@@ -105,19 +105,24 @@ def pack(rows: DataFrame, n: int, bits: int, dense: int) -> DataFrame:
                 home = chunk % (1 << bits)
                 out = [(home, chunk, HEAD, np.asarray(part.column("id")).tobytes(),
                         counts.astype(np.int64).tobytes(), sets.tobytes())]
+                owner = owner.astype("<u2")
                 order = np.argsort(h, kind="stable")
-                h, owner = h[order], owner[order].astype("<u2")
-                new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                own = h[order]
+                new = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(h) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(h)))
                 many = times >= dense
-                some = np.repeat(many, times)
+                some = np.zeros(len(h), bool)
+                some[order] = np.repeat(many, times)
                 if many.any():
-                    out.append((home, chunk, HOLDERS, h[new[many]].tobytes(), owner[some].tobytes(),
-                                times[many].astype("<u4").tobytes()))
+                    out.append((home, chunk, HOLDERS, own[new[many]].tobytes(),
+                                owner[order][some[order]].tobytes(), times[many].astype("<u4").tobytes()))
                 for kind, x, extra in ((ONE, h[~some], owner[~some]),
-                                       (ADDED, h[new[many]], times[many].astype("<u4"))):
-                    low = _low_bytes(x)
-                    edges = np.searchsorted((x >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+                                       (ADDED, own[new[many]], times[many].astype("<u4"))):
+                    bucket = (x >> U64(64 - bits)).astype(np.int64)
+                    # By bucket, and in it by document, which packs best.
+                    by = np.argsort(bucket, kind="stable")
+                    low, extra = _low_bytes(x[by]), extra[by]
+                    edges = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
                     for b in np.flatnonzero(np.diff(edges)):
                         i, j = edges[b], edges[b + 1]
                         out.append((int(b), chunk, kind, low[i:j].tobytes(), extra[i:j].tobytes(), None))
