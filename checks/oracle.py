@@ -264,6 +264,28 @@ def _profile() -> str:
             f"LEFT JOIN session_tab USING ({KEY})) SELECT {', '.join(out)} FROM raw_wide")
 
 
+def _path(regs: str, mixes: str) -> str:
+    """Mean RMSE over ten folds (scores) of a linear model on one feature with both penalties."""
+    return f"""{WIDE},
+            xy AS (SELECT CAST(cohort_ltv_avg_lifetime AS DOUBLE) AS y,
+                          CAST(avg_session_duration_sec AS DOUBLE) AS x,
+                          {split_part(10, 511)} AS fold
+                   FROM wide WHERE {split_part(100)} < 80),
+            held AS (SELECT DISTINCT fold AS own FROM xy),
+            regs AS (SELECT CAST(unnest({regs}) AS DOUBLE) AS reg_param),
+            mixes AS (SELECT CAST(unnest({mixes}) AS DOUBLE) AS mix),
+            sums AS (SELECT own, AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x) AS c, var_pop(x) AS v,
+                            stddev_pop(y) AS s FROM xy, held WHERE fold <> own GROUP BY own),
+            fits AS (SELECT own, reg_param, mix, mx, my,
+                            sign(c) * greatest(abs(c) - mix * reg_param, 0) / (v + (1 - mix) * reg_param / s)
+                              AS slope
+                     FROM sums, regs, mixes),
+            errors AS (SELECT own, reg_param, mix, sqrt(AVG((y - my - slope * (x - mx))
+                                                            * (y - my - slope * (x - mx)))) AS e
+                       FROM fits JOIN xy ON fold = own GROUP BY own, reg_param, mix),
+            scores AS (SELECT reg_param, mix, ROUND(AVG(e), 6) AS rmse FROM errors GROUP BY reg_param, mix)"""
+
+
 WIDE_COLUMNS = f"{KEY}, cohort_ltv_avg_lifetime, {', '.join(FEATURES)}"
 # The filtered queries ask for one cohort of the tables: a date, a source, an OS and a country.
 ONE_COHORT = ("first_touch_date = DATE '2024-01-01' AND traffic_source = 'FURNITURE' "
@@ -385,20 +407,45 @@ def statements() -> dict[str, str]:
             m AS (SELECT AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
                          / (var_pop(x) + 2.0 / stddev_pop(y)) AS slope FROM xy)
             SELECT ROUND(slope, 6) AS slope, ROUND(my - slope * mx, 6) AS intercept FROM m""",
-        "ridge_path": f"""WITH {WIDE},
+        "ridge_path": f"""WITH {_path("[0.1, 0.5, 1.0, 5.0, 10.0]", "[0.0]")}
+            SELECT reg_param, rmse FROM scores""",
+        "elastic_path": f"""WITH {_path("[0.1, 0.5, 1.0, 5.0, 10.0]", "[0.1, 0.3, 0.5, 0.7, 0.9, 1.0]")}
+            SELECT reg_param, mix, rmse FROM scores""",
+        "path_neighbours": f"""WITH {_path("[0.1, 0.5, 1.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0]", "[0.0]")},
+            numbered AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY reg_param) - 1 AS INTEGER) AS grid_index,
+                                reg_param, rmse FROM scores),
+            best AS (SELECT MIN_BY(grid_index, rmse) AS top_index FROM numbered)
+            SELECT grid_index, reg_param, rmse FROM numbered, best WHERE abs(grid_index - top_index) <= 1""",
+        "stored_ridge": f"""WITH {WIDE},
             xy AS (SELECT CAST(cohort_ltv_avg_lifetime AS DOUBLE) AS y,
-                          CAST(avg_session_duration_sec AS DOUBLE) AS x,
-                          {split_part(10, 511)} AS fold
+                          CAST(avg_session_duration_sec AS DOUBLE) AS x
                    FROM wide WHERE {split_part(100)} < 80),
-            held AS (SELECT DISTINCT fold AS own FROM xy),
-            regs AS (SELECT CAST(unnest([0.1, 0.5, 1.0, 5.0, 10.0]) AS DOUBLE) AS reg_param),
-            m AS (SELECT own, reg_param, AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
-                         / (var_pop(x) + reg_param / stddev_pop(y)) AS slope
-                  FROM xy, held, regs WHERE fold <> own GROUP BY own, reg_param),
-            s AS (SELECT own, reg_param, sqrt(AVG((y - my - slope * (x - mx))
-                                                  * (y - my - slope * (x - mx)))) AS e
-                  FROM m JOIN xy ON fold = own GROUP BY own, reg_param)
-            SELECT reg_param, ROUND(AVG(e), 6) AS rmse FROM s GROUP BY reg_param""",
+            m AS (SELECT AVG(x) AS mx, AVG(y) AS my, covar_pop(y, x)
+                         / (var_pop(x) + 2.0 / stddev_pop(y)) AS slope FROM xy)
+            SELECT ROUND(slope, 6) AS slope, ROUND(my - slope * mx, 6) AS intercept FROM m""",
+        "tree_stump": f"""WITH {WIDE},
+            xy AS (SELECT CAST(cohort_ltv_avg_lifetime AS DOUBLE) AS y,
+                          CAST(session_claimed_ad_rewards_d_1 AS DOUBLE) AS x
+                   FROM wide WHERE {split_part(100)} < 80),
+            cuts AS (SELECT (x + next_x) / 2 AS threshold FROM (
+                       SELECT x, LEAD(x) OVER (ORDER BY x) AS next_x FROM (SELECT DISTINCT x FROM xy))
+                     WHERE next_x IS NOT NULL),
+            sides AS (SELECT threshold, AVG(y) FILTER (WHERE x <= threshold) AS low_mean,
+                             AVG(y) FILTER (WHERE x > threshold) AS high_mean,
+                             var_pop(y) FILTER (WHERE x <= threshold) * COUNT(*) FILTER (WHERE x <= threshold)
+                             + var_pop(y) FILTER (WHERE x > threshold) * COUNT(*) FILTER (WHERE x > threshold)
+                               AS rest
+                      FROM xy, cuts GROUP BY threshold)
+            SELECT threshold, ROUND(low_mean, 6) AS low_mean, ROUND(high_mean, 6) AS high_mean
+            FROM sides ORDER BY rest, threshold LIMIT 1""",
+        "pca_two": f"""WITH {WIDE},
+            m AS (SELECT var_samp(CAST(avg_session_duration_sec AS DOUBLE)) AS a,
+                         var_samp(CAST(avg_sessions_count AS DOUBLE)) AS c,
+                         covar_samp(CAST(avg_session_duration_sec AS DOUBLE), CAST(avg_sessions_count AS DOUBLE)) AS b
+                  FROM wide),
+            e AS (SELECT a + c AS total, sqrt((a - c) * (a - c) + 4 * b * b) AS gap FROM m)
+            SELECT ROUND((total + gap) / (2 * total), 9) AS "first",
+                   ROUND((total - gap) / (2 * total), 9) AS "second" FROM e""",
         "three_part_split": f"""WITH {WIDE} SELECT {KEY}, cohort_ltv_avg_lifetime,
             CASE WHEN {split_part(100)} < 70 THEN 'train' WHEN {split_part(100)} < 85 THEN 'test'
                  ELSE 'holdout' END AS part FROM wide""",
@@ -419,6 +466,14 @@ def statements() -> dict[str, str]:
                    wide.country IS NOT NULL AS known,
                    wide.cohort_ltv_avg_lifetime, avg_session_duration_sec
             FROM requests LEFT JOIN wide USING ({KEY})""",
+        "csv_roundtrip": f"""WITH {WIDE}
+            SELECT 'r0' AS data_id, ROUND(AVG(cohort_ltv_avg_lifetime), 6) AS predicted_ltv FROM wide""",
+        "request_folder_session":
+            f"WITH {DURATIONS} SELECT {session_columns} FROM session_tab WHERE {ONE_COHORT}",
+        "request_folder_event":
+            f"WITH {EVENTS} SELECT {EVENT_COLUMNS} FROM event_tab WHERE {ONE_COHORT}",
+        "request_folder_ltv":
+            f"WITH {_revenue_cte(PER_USER)} {ltv} ltv_tab WHERE {ONE_COHORT}",
         "prepared_requests": f"""WITH {WIDE}, {REQUESTS}
             SELECT request_id, first_touch_date, traffic_source, os, country,
                    wide.country IS NOT NULL AS known,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.ml.feature import PCA
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortide.functions.time import utc_day
@@ -80,12 +81,7 @@ def sessionize(spark, folder):
 
 
 def features_joined(params):
-    def run(spark, folder):
-        events = events_from_tables(spark, folder)
-        return plain(features.join_features(
-            revenue.cohort_ltv(events, params), event_metrics.event_session_metrics(events, params),
-            session_metrics.session_cohort_metrics(events, params), params))
-    return run
+    return on_events(feature_build.joined_features, params)
 
 
 def features_from_timeline(spark, folder):
@@ -331,16 +327,69 @@ def tuned_scores(spark, folder):
     return spark.createDataFrame(scores, "model string, part string, rmse double")
 
 
-def ridge_path(spark, folder):
-    """Mean RMSE over ten folds of a ridge on one feature for each penalty; SQL can say the same."""
+def path_scores(spark, folder, points):
+    """Mean RMSE over ten folds of linear models on one feature; SQL can say the same."""
     train, _ = split(stored_wide(spark, folder))
     moments = paths.fold_moments(with_fold(train, 10), [SESSION_AVERAGES[0]], 10)
-    regs = est.RIDGE_GRID["regParam"]
-    scores = paths.cross_validated(moments, [(reg, 0.0) for reg in regs])
-    return spark.createDataFrame([(reg, round(s, 6)) for reg, (s, _) in zip(regs, scores)],
+    return [(*point, round(s, 6)) for point, (s, _) in zip(points, paths.cross_validated(moments, points))]
+
+
+def ridge_path(spark, folder):
+    points = [(reg, 0.0) for reg in est.RIDGE_GRID["regParam"]]
+    return spark.createDataFrame([(reg, s) for reg, _, s in path_scores(spark, folder, points)],
                                  "reg_param double, rmse double")
 
 
+def elastic_path(spark, folder):
+    """The whole grid of the elastic net, and the lasso, which is its other end."""
+    points = [(reg, mix) for reg in est.ELASTIC_GRID["regParam"]
+              for mix in (*est.ELASTIC_GRID["elasticNetParam"], 1.0)]
+    return spark.createDataFrame(path_scores(spark, folder, points), "reg_param double, mix double, rmse double")
+
+
+def path_neighbours(spark, folder):
+    """The best penalty of the ridge path and its neighbours."""
+    points = [(reg, 0.0) for reg in est.RIDGE_GRID["regParam"] + est.RIDGE_SECOND_GRID["regParam"][1:]]
+    rows = [(i, reg, s) for i, (reg, _, s) in enumerate(path_scores(spark, folder, points))]
+    return est.around_best(spark.createDataFrame(rows, "grid_index int, reg_param double, rmse double"))
+
+
+def one_feature(spark, folder, feature):
+    """The training part with one feature as its vector."""
+    train, _ = split(stored_wide(spark, folder))
+    return assembler([feature], "features").transform(train)
+
+
+def stored_ridge(spark, folder):
+    """Slope and intercept of a ridge that was saved and loaded."""
+    model = est.linear("ridge", reg_param=2.0).fit(one_feature(spark, folder, SESSION_AVERAGES[0]))
+    path = scratch_path(spark, "ridge")
+    est.save_model(model, path, P)
+    loaded = est.load_model(spark, path, P)
+    return spark.createDataFrame(
+        [(round(float(loaded.coefficients[0]), 6), round(float(loaded.intercept), 6))],
+        "slope double, intercept double")
+
+
+def tree_stump(spark, folder):
+    """The split and the two means of a tree of one level on one feature, all thresholds allowed."""
+    rows = one_feature(spark, folder, "session_claimed_ad_rewards_d_1")
+    model = est.tree(maxDepth=1, maxBins=max(2, rows.count())).fit(rows)
+    nodes = search.node_table(model, scratch_path(spark, "stump"))
+    root = nodes.roots[0]
+    return spark.createDataFrame(
+        [(float(nodes.threshold[root]), *(round(float(nodes.prediction[k[root]]), 6) for k in (nodes.left, nodes.right)))],
+        "threshold double, low_mean double, high_mean double")
+
+
+def pca_two(spark, folder):
+    """Shares of variance of two components of two features, which have a closed form."""
+    rows = assembler(SESSION_AVERAGES, "pair").transform(stored_wide(spark, folder))
+    model = PCA(k=2, inputCol="pair", outputCol="components").fit(rows)
+    return spark.createDataFrame([tuple(round(float(v), 9) for v in model.explainedVariance)],
+                                 "first double, second double")
+
+
 def cv_folds(spark, folder):
     """Rows that each of the ten folds trains on and is scored on."""
     train, _ = split(wide(spark, folder))
@@ -457,6 +506,23 @@ def prepared_answers(spark, folder):
         "request_id", F.col("predicted_ltv").isNotNull().alias("answered"))
 
 
+def csv_roundtrip(spark, folder):
+    """A number stored as a request's prediction and read back."""
+    root = scratch_path(spark, "csv")
+    mean = wide(spark, folder).agg(F.round(F.avg(TARGET), 6).alias("predicted_ltv"))
+    tables.write_prediction(mean, root, "r0")
+    return tables.read_prediction(spark, root, "r0")
+
+
+def request_folder(job):
+    """One of the three tables of a request's folder, read back."""
+    def run(spark, folder):
+        root = scratch_path(spark, "requests")
+        scoring.prepare_request(events_from_tables(spark, folder), P, ONE_COHORT, root, "r0")
+        return plain(tables.read_request_tables(spark, root, "r0")[job])
+    return run
+
+
 def prediction_csv_roundtrip(spark, folder):
     """One cohort through the request folder: three tables, prediction as CSV, done message."""
     events = events_from_tables(spark, folder)
@@ -637,6 +703,11 @@ def queries():
         "cv_folds": cv_folds,
         "ridge_one_feature": ridge_one_feature,
         "ridge_path": ridge_path,
+        "elastic_path": elastic_path,
+        "path_neighbours": path_neighbours,
+        "stored_ridge": stored_ridge,
+        "tree_stump": tree_stump,
+        "pca_two": pca_two,
         "three_part_split": three_part_split,
         "holdout_scores": holdout_scores,
         "pca_tree_scores": pca_tree_scores,
@@ -648,6 +719,10 @@ def queries():
         "requests_answered": requests_answered,
         "prepared_requests": prepared_requests,
         "prepared_answers": prepared_answers,
+        "csv_roundtrip": csv_roundtrip,
+        "request_folder_session": request_folder("session"),
+        "request_folder_event": request_folder("event"),
+        "request_folder_ltv": request_folder("ltv"),
         "prediction_csv_roundtrip": prediction_csv_roundtrip,
         "stream_route": stream_route,
         "stream_latest_state": stream_latest_state,

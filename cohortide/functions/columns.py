@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortide.params import CohortRequest
 
+# Fixed value: the name of the blank country.
 REST_OF_WORLD = "Rest of the World"
 
 

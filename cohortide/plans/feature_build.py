@@ -16,10 +16,16 @@ from cohortide.sources.tables import write_bucketed, write_table
 
 def wide_features(events: DataFrame, params: CohortParams) -> DataFrame:
     """The wide table by the cheapest form the parameters allow."""
-    if params.cross_user_gaps:
-        return join_features(ltv_query(events, params), event_query(events, params),
-                             session_query(events, params), params)
-    return fused_features(events, params)
+    return joined_features(events, params) if params.cross_user_gaps else fused_features(events, params)
+
+
+def joined_features(events: DataFrame, params: CohortParams) -> DataFrame:
+    """The wide table from the three queries, joined. The log is scanned once, for a stored timeline;
+    pooled gaps are measured on the events themselves, which takes a second scan."""
+    timeline = events if is_timeline(events) else store_timeline(events, params)
+    earned = events if params.cross_user_gaps else timeline
+    return join_features(ltv_query(earned, params), event_query(timeline, params),
+                         session_query(timeline, params), params)
 
 
 def store_profiled(events: DataFrame, params: CohortParams) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +54,12 @@ def features_of_tables(spark: SparkSession, namespace: str, params: CohortParams
     return join_features(tables["ltv"], tables["event"], tables["session"], params)
 
 
-def store_features(events: DataFrame, params: CohortParams, wide_name: str = "processed_data",
-                   long_name: str = "processed_data_long", **table_options) -> DataFrame:
+# Names of the two feature tables.
+WIDE_TABLE, LONG_TABLE = "processed_data", "processed_data_long"
+
+
+def store_features(events: DataFrame, params: CohortParams, wide_name: str = WIDE_TABLE,
+                   long_name: str = LONG_TABLE, **table_options) -> DataFrame:
     """Compute the wide table once, save it and its long form, and return it."""
     wide = materialize(wide_features(events, params), "features")
     write_table(wide, wide_name, **table_options)

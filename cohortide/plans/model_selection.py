@@ -18,12 +18,13 @@ def training_parts(wide: DataFrame, params: CohortParams, scaled: bool = False
 
     The scaler, when asked for, is fitted on the training part only.
     """
-    table = materialize(wide, "wide")
-    train, test = split(table)
+    train, test = split(materialize(wide, "wide"))
     if scaled:
         scaler = minmax_pipeline(params).fit(train)
-        return scaler.transform(train).cache(), scaler.transform(test).cache()
-    return vectors(train, params).cache(), vectors(test, params).cache()
+        parts = scaler.transform(train), scaler.transform(test)
+    else:
+        parts = vectors(train, params), vectors(test, params)
+    return materialize(parts[0], "train"), materialize(parts[1], "test")
 
 
 def evaluate(models: dict[str, Model], rows: DataFrame, part: str) -> list[tuple]:
@@ -66,7 +67,9 @@ def tune(kind: str, wide_train: DataFrame, params: CohortParams, grid: dict, fol
 
 
 def pca_tree(wide: DataFrame, params: CohortParams):
-    """Decision tree on session averages and four components; returns model, PCA and parts."""
+    """Decision tree on session averages and four components; returns model, PCA and parts.
+
+    The components are fitted on all rows, before the split, as in the analysis this follows."""
     pca = pca_pipeline(params).fit(wide)
     train, test = split(reduced_features(wide, pca))
     return est.tree("reduced_features").fit(train), pca, train, test

@@ -109,6 +109,15 @@ def test_the_profile_comes_with_the_write(spark, events):
     assert seen.n_rows == events.count()
 
 
+def test_ordered_queries_come_in_order(spark, events):
+    rows = cohort_queries.event_query(events, PARAMS, ordered=True).collect()
+    key = [(r.user_pseudo_id, r.user_session_id) for r in rows]
+    assert key == sorted(key) and len(set(key)) > 50
+    rows = cohort_queries.ltv_query(events, PARAMS, ordered=True).collect()
+    key = [tuple(r[c] for c in COHORT_KEY) for r in rows]
+    assert key == sorted(key) and len(set(key)) > 10
+
+
 def test_daily_activity_scans_once(spark, events, tmp_path):
     events.write.parquet(str(tmp_path / "log"))
     plan = plan_of(daily_activity(spark.read.schema(events.schema).parquet(str(tmp_path / "log")), PARAMS))
