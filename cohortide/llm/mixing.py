@@ -8,8 +8,8 @@
 3. Each source is split into shards by a seeded hash of the document, and its blocks go to its shards
    by the same rule on shard sizes.
 4. A shard's documents stand in a seeded order and their words are cut into blocks. A quota of more
-   than the shard's size takes the whole shard as often as it fits; the rest takes blocks in a seeded
-   order, the last of them in part.
+   than the shard's size takes the whole shard as often as it fits; the rest takes blocks one after the
+   other, from a seeded one on, the last of them in part. So a shard cuts two documents at most.
 
 A shard holds about ``SHARD_TOKENS`` words or ``SHARD_ROWS`` rows without their texts, whatever the
 size of its source, and is worked on by itself. A source of so many shards that their sums, one row
@@ -182,7 +182,7 @@ def taken_words(sizes: np.ndarray, quota: int, block: int, rng) -> np.ndarray:
     blocks = -(-total // block)
     lengths = np.full(blocks, block, np.int64)
     lengths[-1] = total - block * (blocks - 1)
-    order = rng.permutation(blocks)
+    order = (rng.integers(blocks) + np.arange(blocks)) % blocks
     passed = np.cumsum(lengths[order])
     used = np.zeros(blocks, np.int64)
     used[order] = np.clip(rest - (passed - lengths[order]), 0, lengths[order])
