@@ -21,7 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,10 @@ from cohortide.llm.words import PLAIN, Texts, job_settings, slices
 from cohortide.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker keeps the ids of, about 30 bytes each, and runs of letters, about 200 bytes
+#: Words that a worker keeps the ids of, about 30 bytes each, and runs of letters, about 150 bytes
 #: each, in each of two generations.
-KNOWN = 2_000_000
-PARTS = 50_000
+KNOWN = 1_000_000
+PARTS = 40_000
 #: Words of so many characters go through the whole tokenizer.
 LONG = 64
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, part int, local_start long"
@@ -83,11 +83,10 @@ class Known:
                 known |= hit
         return known, start, size
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        """Words that are not known yet."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Words that are not known yet: their ids one after the other, and how many each has."""
         start = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
         self.tables[1] = self._merged(self.tables[1], (hashes, start, size))
         if len(self.tables[1][0]) > max(1 << 15, len(self.tables[0][0]) // 4):
             if len(self.tables[0][0]) > KNOWN:
@@ -121,22 +120,22 @@ class Encoder:
         self.model = self.full.model
         self.letters = byte_letters()
         self.known = Known()
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         probe = "Ab, c.d 'll  \n\té1 x"
-        self.by_piece = self._whole(probe) == sum(map(self._whole, probe.split()), [])
+        self.by_piece = self._whole(probe) == b"".join(map(self._whole, probe.split()))
         words = ("abc", "über", "señal", "ça")
         self.simple = self.by_piece and all(self._word(w) == self._whole(w) for w in words)
 
-    def _whole(self, text: str) -> list[int]:
-        return self.full.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        return array("i", self.full.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(word)]
+        return array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _part(self, key: str, make) -> list[int]:
+    def _part(self, key: str, make) -> bytes:
         """Ids of a run of letters or of marks, which many words share."""
         ids = self.new.get(key)
         if ids is None:
@@ -148,7 +147,8 @@ class Encoder:
             self.new[key] = ids
         return ids
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
+        """Its ids as 32-bit integers."""
         if self.simple and len(piece) < LONG and (m := _SIMPLE.fullmatch(piece)):
             ids = self._part(m[1].lower(), self._word)
             return ids + self._part(m[2], self._whole) if m[2] else ids
@@ -157,9 +157,9 @@ class Encoder:
     def encode(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each ended by ``tail``; and how many each has."""
         if not self.by_piece:
-            ids = [self._whole(t or "") + tail for t in texts.to_pylist()]
-            return (np.fromiter(chain.from_iterable(ids), np.int32),
-                    np.fromiter(map(len, ids), np.int64, len(ids)))
+            end = array("i", tail).tobytes()
+            ids = [self._whole(t or "") + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         words = Texts(texts, PLAIN)
         distinct, at, index = np.unique(words.hashes(), return_index=True, return_inverse=True)
         known, start, size = self.known.find(distinct)
@@ -169,11 +169,11 @@ class Encoder:
             ids = [self.piece(body[a:b].decode()) for a, b in
                    zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())]
             # Held apart, as adding may drop words that were found before.
-            pool, base = self.known.pool, len(self.known.pool)
-            size[new] = own = np.fromiter(map(len, ids), np.int64, len(ids))
-            start[new] = base + np.cumsum(own) - own
-            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), np.int32, int(own.sum()))])
-            self.known.add(distinct[new], ids)
+            base, own = len(self.known.pool), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            size[new], start[new] = own, base + np.cumsum(own) - own
+            fresh = np.frombuffer(b"".join(ids), np.int32)
+            pool = np.concatenate([self.known.pool, fresh])
+            self.known.add(distinct[new], fresh, own)
         else:
             pool = self.known.pool
         # Every text ends in a word of its own, the tail.
