@@ -29,7 +29,7 @@ HEADLINE = (
 FURTHER = (
     "daily_activity", "dq_profile", "features_from_timeline", "features_from_buckets",
     "features_incremental", "sql_ltv", "suffix_shards", "prepared_requests", "ridge_path",
-    "stream_ingest", "stream_answers",
+    "stream_ingest",
 )
 
 
