@@ -42,35 +42,42 @@ SERVED = ("step string, id string, first_touch_date date, traffic_source string,
           "country string, kind string, predicted_ltv double, topic string, partition int, "
           "offset bigint, timestamp timestamp, value string")
 _COLUMNS = [c.split()[0] for c in SERVED.split(", ")]
+# The same as JSON, for the way through the registry: an id has a row or two, and each column that
+# pandas gets or gives for them costs more than all its work. Instants are microseconds, days text.
+_TEXT = SERVED.replace("timestamp timestamp", "timestamp bigint").replace("date date", "date string")
+_POSITION = ("timestamp", "partition", "offset")
 
 
 def remember():
     """The registry of one id: requests are stored and announced, predict messages are given the
     cohorts stored by then (requests of the same batch included), or none."""
 
+    def position(row: dict) -> list[tuple[bool, int]]:
+        return [(row.get(c) is None, row.get(c) or 0) for c in _POSITION]
+
     def serve(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["timestamp", "partition", "offset"])
-        requests, asked = rows[rows["kind"] == "request"], rows[rows["kind"] == "predict"]
+        rows = sorted((json.loads(text) for frame in frames for text in frame["row"]), key=position)
+        requests = [row for row in rows if row["kind"] == "request"]
+        asked = [row for row in rows if row["kind"] == "predict"]
         cohorts = json.loads(held.get[0]) if held.exists else []
-        for own in requests[list(COHORT_KEY)].itertuples(index=False):
-            own = [str(own[0]), *own[1:]]
+        for row in requests:
+            own = [row[c] for c in COHORT_KEY]
             if own not in cohorts:
                 cohorts.append(own)
-        out = [requests.assign(step="announce")] if len(requests) else []
-        if len(asked):
-            last = asked.iloc[-1:].assign(step="score")
-            out += [last.assign(**dict(zip(COHORT_KEY, [pd.Timestamp(own[0]).date(), *own[1:]])))
-                    for own in cohorts] or [last]
+        out = [row | {"step": "announce"} for row in requests]
+        if asked:
+            last = asked[-1] | {"step": "score"}
+            out += [last | dict(zip(COHORT_KEY, own)) for own in cohorts] or [last]
         if cohorts:
             held.update((json.dumps(cohorts),))
             # The watermark stays behind the newest message by the time that ids are kept.
-            latest = rows["millis"].max()
+            heard = [row["millis"] for row in rows if row.get("millis") is not None]
             now = held.getCurrentWatermarkMs() + 1
-            held.setTimeoutTimestamp(now if pd.isna(latest) else max(now, int(latest)))
-        yield pd.concat(out)[_COLUMNS] if len(out) > 1 else out[0][_COLUMNS]
+            held.setTimeoutTimestamp(max([now, *heard]))
+        yield pd.DataFrame({"row": [json.dumps(row) for row in out]})
 
     return serve
 
@@ -88,9 +95,17 @@ def served(messages: DataFrame, keep_minutes: float = KEEP_MINUTES) -> DataFrame
     heard = F.col("timestamp") + F.expr("INTERVAL 1 DAY")
     asked = rows.where(F.col("kind").isin("request", "predict")).withColumn("heard", heard).withColumn(
         "millis", F.unix_millis("heard"))
-    registered = (asked.withWatermark("heard", f"{int(keep_minutes * 60_000)} milliseconds").groupBy("id")
-                  .applyInPandasWithState(remember(), SERVED, "cohorts string", "append",
-                                          GroupStateTimeout.EventTimeTimeout))
+    texts = F.to_json(F.struct(
+        *[F.col(c) for c in _COLUMNS if c not in ("step", COHORT_KEY[0], "timestamp")],
+        F.col(COHORT_KEY[0]).cast("string").alias(COHORT_KEY[0]),
+        F.unix_micros("timestamp").alias("timestamp"), "millis"))
+    registered = (asked.select("id", "heard", texts.alias("row"))
+                  .withWatermark("heard", f"{int(keep_minutes * 60_000)} milliseconds").groupBy("id")
+                  .applyInPandasWithState(remember(), "row string", "cohorts string", "append",
+                                          GroupStateTimeout.EventTimeTimeout)
+                  .select(F.from_json("row", _TEXT).alias("row")).select("row.*")
+                  .withColumns({COHORT_KEY[0]: F.col(COHORT_KEY[0]).cast("date"),
+                                "timestamp": F.timestamp_micros("timestamp")}))
     plain = rows.where(F.col("kind").isin("predict", "done", "rejected")).withColumn("step", F.col("kind"))
     return registered.unionByName(plain)
 

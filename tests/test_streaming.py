@@ -2,6 +2,7 @@ import datetime as dt
 import itertools
 import json
 
+import pandas as pd
 import pytest
 
 from cohortide.models import estimators as est
@@ -14,7 +15,7 @@ from cohortide.plans.cohort_queries import QUERIES
 from cohortide.plans.feature_build import store_features
 from cohortide.sources import files, messages as msg, tables
 from cohortide.streaming import routing, state
-from cohortide.streaming.loop import LoopPaths, start_loop
+from cohortide.streaming.loop import LoopPaths, remember, start_loop
 from micro import PARAMS, frame, random_events
 
 INPUT = {"country": "Cyprus", "date": "2018-07-01", "os": "IOS", "traffic_source": "cpc"}
@@ -228,6 +229,41 @@ def test_a_request_of_two_cohorts_is_answered_by_their_mean(spark, fitted, tmp_p
     assert sum("bucket_folder_id" in m for m in answers) == 3
 
 
+def test_the_registry_keeps_text_and_days_as_they_are(spark, fitted, tmp_path):
+    # 2300 is beyond the instants that pandas can hold.
+    odd = json.dumps({"request_id": 'r "\u00e9\n\\', "input_data": {**INPUT, "date": "2300-01-31"}})
+    source, root = str(tmp_path / "messages"), str(tmp_path)
+    batch(spark, [odd, json.dumps({"bucket_folder_id": 'r "\u00e9\n\\'})]).write.json(f"{source}/a")
+    run_loop(spark, fitted, source, root)
+    answers = [json.loads(r.value) for r in spark.read.json(f"{root}/out").collect()]
+    assert sorted(answers, key=str) == [{"bucket_folder_id": 'r "\u00e9\n\\'},
+                                        {"data_id": 'r "\u00e9\n\\', "predicted_ltv": None}]
+
+
+def test_an_id_goes_through_the_registry_as_one_column():
+    class Held:
+        hasTimedOut = exists = False
+
+        def update(self, value):
+            self.cohorts = json.loads(value[0])
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, millis):
+            self.millis = millis
+
+    row = {"id": "r", "kind": "request", "first_touch_date": "2018-07-01", "traffic_source": "cpc",
+           "os": "IOS", "country": "Cyprus", "partition": 0, "offset": 1, "timestamp": 5, "millis": 7}
+    asked = {"id": "r", "kind": "predict", "partition": 0, "offset": 0, "timestamp": 6, "millis": 8}
+    held = Held()
+    out, = remember()(("r",), iter([pd.DataFrame({"row": [json.dumps(asked), json.dumps(row)]})]), held)
+    got = [json.loads(text) for text in out["row"]]
+    assert list(out.columns) == ["row"] and [r["step"] for r in got] == ["announce", "score"]
+    assert held.cohorts == [[row[c] for c in COHORT_KEY]] == [[got[1][c] for c in COHORT_KEY]]
+    assert held.millis == 8
+
+
 def test_unanswered_ids_expire(spark, fitted, tmp_path):
     _, wide, _ = fitted
     cohort = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").first()
