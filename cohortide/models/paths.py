@@ -96,7 +96,10 @@ def solve(moments: Moments, reg: float, mix: float, start: np.ndarray | None = N
 
 
 def _descend(gram, cross, flat: float, ridge: float, w: np.ndarray) -> np.ndarray:
-    """Cyclic coordinate descent: each coefficient in turn to its optimum given the others."""
+    """Cyclic coordinate descent: each coefficient in turn to its optimum given the others.
+
+    Sweeps alone take thousands of rounds where features hang together. So each is followed by exact
+    steps of the coefficients that it left nonzero, all at once; none of them raises the objective."""
     w = w.copy()
     left = cross - gram @ w
     diagonal = np.diag(gram)
@@ -113,6 +116,31 @@ def _descend(gram, cross, flat: float, ridge: float, w: np.ndarray) -> np.ndarra
                 most = max(most, abs(step) * scale[j])
         if most <= TOLERANCE * (1.0 + np.abs(w * scale).max()):
             break
+        w = _settle(gram, cross, flat, ridge, w)
+        left = cross - gram @ w
+    return w
+
+
+def _settle(gram, cross, flat: float, ridge: float, w: np.ndarray) -> np.ndarray:
+    """The optimum for the signs of ``w``. Where a coefficient would change its sign on the way there, it
+    stops at 0 and the others go on without it."""
+    w = w.copy()
+    for _ in range(len(w)):
+        on = np.flatnonzero(w)
+        if not len(on):
+            break
+        scale = np.sqrt(np.diag(gram)[on] + ridge)
+        slope = cross[on] - gram[on] @ w - ridge * w[on] - flat * np.sign(w[on])
+        hessian = (gram[np.ix_(on, on)] + ridge * np.eye(len(on))) / np.outer(scale, scale)
+        step = np.linalg.lstsq(hessian, slope / scale, rcond=1e-12)[0] / scale
+        turns = w[on] * (w[on] + step) < 0
+        if not turns.any():
+            w[on] += step
+            break
+        part = np.where(turns, -w[on] / np.where(turns, step, 1.0), np.inf)
+        first = int(part.argmin())
+        w[on] += part[first] * step
+        w[on[first]] = 0.0
     return w
 
 

@@ -144,6 +144,22 @@ def test_paths_equal_every_fit(spark, train):
             assert whole.rmse(w, b) == pytest.approx(want)
 
 
+def test_features_that_hang_together_settle_in_few_sweeps(monkeypatch):
+    monkeypatch.setattr(paths, "MAX_SWEEPS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 1)) + 0.01 * rng.normal(size=(400, 12))
+    x = np.column_stack([x, x[:, 0], 1000 * x[:, 1] + rng.normal(size=400)])
+    y = x[:, :5] @ np.array([3.0, -2.0, 1.0, 0.0, 4.0]) + rng.normal(size=400)
+    z = np.column_stack([np.ones(400), x, y])
+    moments = paths.Moments(z.T @ z)
+    gram, cross, _, deviation = moments.centred()
+    for mix in (0.1, 0.5, 1.0):
+        for reg, (w, _) in paths.path(moments, [0.001, 0.01, 0.1, 1.0], mix).items():
+            slope = cross - gram @ w - (1 - mix) * reg / deviation * w
+            off = np.where(w != 0, np.abs(slope - mix * reg * np.sign(w)), np.abs(slope) - mix * reg)
+            assert (off <= 1e-8 * np.sqrt(np.diag(gram))).all(), (mix, reg)
+
+
 def test_linear_search_scores_as_cross_validation_does(spark, train):
     for kind, grid in (("lasso", est.LASSO_GRID), ("elastic_net", {"regParam": [0.1, 5.0], "elasticNetParam": [0.1, 0.9]})):
         got = search.search_linear(kind, train, PARAMS, grid, 4).collect()
