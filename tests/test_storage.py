@@ -56,6 +56,22 @@ def test_shards_outside_the_range_are_not_read(spark, events, tmp_path):
     assert read_day_shards(spark, prefix).count() == events.count() + 1
 
 
+def test_a_long_day_is_written_by_several_tasks(spark, tmp_path):
+    rows = [event(f"u{i}", f"2018-07-{1 + i % 2:02d} 10:{i % 60:02d}:00") for i in range(4000)]
+    events, days = frame(spark, rows), [dt.date(2018, 7, d) for d in (1, 2, 3)]
+    prefix, setting = f"{tmp_path}/events_", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "16k")
+    try:
+        write_day_shards(events.repartition(8), prefix, days)
+    finally:
+        spark.conf.unset(setting)
+    assert text(read_day_shards(spark, prefix)) == text(events)
+    assert all(len(list(tmp_path.glob(f"events_2018070{d}/part-*"))) > 1 for d in (1, 2))
+    # A day without events has an empty shard, and nothing else stays beside the shards.
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"events_2018070{d}" for d in (1, 2, 3)]
+    assert read_day_shards(spark, prefix, days[2]).count() == 0
+
+
 def test_a_timeline_built_by_day_equals_one_built_at_once(spark, events, tmp_path):
     path, days = str(tmp_path / "timeline"), days_of(events)
     half = events.where(F.col("event_timestamp") % 2 == 0)
