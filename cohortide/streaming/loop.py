@@ -1,9 +1,9 @@
 """The request loop as one streaming query: request in, prediction and state out.
 
 The registry of requests is the query's own keyed state: a stateful operator holds the cohorts of each
-request id, so a batch reads and writes the ids of its messages and no others, and a timer drops ids
-that nothing has been heard of for a time. Time is that of the messages, so a replay expires the same
-ids. The state lives in the checkpoint and comes back after a restart.
+request id, ids being dealt to many small groups by hash. A batch reads and writes the groups of its ids
+and no others, and a timer drops ids that nothing has been heard of for a time. Time is that of the
+messages, so a replay expires the same ids. The state lives in the checkpoint and comes back after a restart.
 """
 
 from __future__ import annotations
@@ -37,47 +37,78 @@ class LoopPaths:
     checkpoint: str
 
 
-# What reaches a batch. ``announce`` and ``score`` come from the registry, the others from messages.
-SERVED = ("step string, id string, first_touch_date date, traffic_source string, os string, "
-          "country string, kind string, predicted_ltv double, topic string, partition int, "
-          "offset bigint, timestamp timestamp, value string")
-_COLUMNS = [c.split()[0] for c in SERVED.split(", ")]
-# The same as JSON, for the way through the registry: an id has a row or two, and each column that
-# pandas gets or gives for them costs more than all its work. Instants are microseconds, days text.
-_TEXT = SERVED.replace("timestamp timestamp", "timestamp bigint").replace("date date", "date string")
+#: Groups that ids are dealt to in the registry's state. Calling Python costs far more for each group than
+#: for each of its rows, so a batch of many ids pays for this many groups at most; a batch of a few reads
+#: and writes the groups of its ids. A checkpoint goes with one number.
+GROUPS = 1 << 15
+
+# The messages that the registry gets and the steps that it gives, ``announce`` and ``score``, are JSON with
+# no more than it or a batch needs of them: each column that pandas gets or gives for a group costs more
+# than all its work. Instants are microseconds, days text.
+_ASKED = ("id", *COHORT_KEY[1:], "kind", "partition", "offset")
+_STEPS = ("step string, id string, first_touch_date string, traffic_source string, os string, "
+          "country string, timestamp bigint")
 _POSITION = ("timestamp", "partition", "offset")
 
 
 def remember():
-    """The registry of one id: requests are stored and announced, predict messages are given the
-    cohorts stored by then (requests of the same batch included), or none."""
+    """The registry of one group of ids: requests are stored and announced, predict messages are given
+    the cohorts stored for their id by then (requests of the same batch included), or none.
+
+    The state is the cohorts that the group's ids asked for, each once, and by id the time to forget it
+    and the places of its cohorts. The timer is that of the id to be forgotten first."""
 
     def position(row: dict) -> list[tuple[bool, int]]:
         return [(row.get(c) is None, row.get(c) or 0) for c in _POSITION]
 
+    def packed(cohorts: list[list], ids: dict[str, tuple[int, list[int]]]) -> tuple[str, str]:
+        # Without cohorts that no id asks for any more.
+        used = {place: n for n, place in enumerate(sorted({p for _, own in ids.values() for p in own}))}
+        return (json.dumps([cohorts[place] for place in used]),
+                json.dumps({ident: (until, [used[place] for place in own])
+                            for ident, (until, own) in ids.items()}))
+
     def serve(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        texts = [] if held.hasTimedOut else [text for frame in frames for text in frame["row"]]
+        messages = {}
+        for row in sorted(json.loads(f"[{','.join(texts)}]"), key=position):
+            messages.setdefault(row["id"], []).append(row)
+        cohorts, ids = map(json.loads, held.get) if held.exists else ([], {})
+        places = {tuple(cohort): place for place, cohort in enumerate(cohorts)}
+        # The watermark stays behind the newest message by the time that ids are kept.
+        now = held.getCurrentWatermarkMs()
+        kept = {ident: (until, own) for ident, (until, own) in ids.items()
+                if until >= now or ident in messages}
+        changed, out = len(kept) < len(ids), []
+        for ident, rows in messages.items():
+            own = list(kept[ident][1]) if ident in kept else []
+            asked = None
+            for row in rows:
+                if row["kind"] == "request":
+                    cohort = [row[c] for c in COHORT_KEY]
+                    place = places.setdefault(tuple(cohort), len(cohorts))
+                    if place == len(cohorts):
+                        cohorts.append(cohort)
+                    if place not in own:
+                        own.append(place)
+                    out.append({"step": "announce", "id": ident, "timestamp": row.get("timestamp")})
+                else:
+                    asked = row
+            if own:
+                heard = [row["millis"] for row in rows if row.get("millis") is not None]
+                kept[ident] = max([now + 1, *heard]), own
+                changed = True
+            if asked:
+                last = {"step": "score", "id": ident, "timestamp": asked.get("timestamp")}
+                out += [last | dict(zip(COHORT_KEY, cohorts[place])) for place in own] or [last]
+        if kept:
+            if changed:
+                held.update(packed(cohorts, kept))
+            held.setTimeoutTimestamp(max(now + 1, min(until for until, _ in kept.values())))
+        elif held.exists:
             held.remove()
-            return
-        rows = sorted((json.loads(text) for frame in frames for text in frame["row"]), key=position)
-        requests = [row for row in rows if row["kind"] == "request"]
-        asked = [row for row in rows if row["kind"] == "predict"]
-        cohorts = json.loads(held.get[0]) if held.exists else []
-        for row in requests:
-            own = [row[c] for c in COHORT_KEY]
-            if own not in cohorts:
-                cohorts.append(own)
-        out = [row | {"step": "announce"} for row in requests]
-        if asked:
-            last = asked[-1] | {"step": "score"}
-            out += [last | dict(zip(COHORT_KEY, own)) for own in cohorts] or [last]
-        if cohorts:
-            held.update((json.dumps(cohorts),))
-            # The watermark stays behind the newest message by the time that ids are kept.
-            heard = [row["millis"] for row in rows if row.get("millis") is not None]
-            now = held.getCurrentWatermarkMs() + 1
-            held.setTimeoutTimestamp(max([now, *heard]))
-        yield pd.DataFrame({"row": [json.dumps(row) for row in out]})
+        if out:
+            yield pd.DataFrame({"row": [json.dumps(row) for row in out]})
 
     return serve
 
@@ -96,18 +127,17 @@ def served(messages: DataFrame, keep_minutes: float = KEEP_MINUTES) -> DataFrame
     asked = rows.where(F.col("kind").isin("request", "predict")).withColumn("heard", heard).withColumn(
         "millis", F.unix_millis("heard"))
     texts = F.to_json(F.struct(
-        *[F.col(c) for c in _COLUMNS if c not in ("step", COHORT_KEY[0], "timestamp")],
-        F.col(COHORT_KEY[0]).cast("string").alias(COHORT_KEY[0]),
+        *_ASKED, F.col(COHORT_KEY[0]).cast("string").alias(COHORT_KEY[0]),
         F.unix_micros("timestamp").alias("timestamp"), "millis"))
-    registered = (asked.select("id", "heard", texts.alias("row"))
-                  .withWatermark("heard", f"{int(keep_minutes * 60_000)} milliseconds").groupBy("id")
-                  .applyInPandasWithState(remember(), "row string", "cohorts string", "append",
+    registered = (asked.select(state.bucket_of(F.col("id"), GROUPS).alias("group"), "heard", texts.alias("row"))
+                  .withWatermark("heard", f"{int(keep_minutes * 60_000)} milliseconds").groupBy("group")
+                  .applyInPandasWithState(remember(), "row string", "cohorts string, ids string", "append",
                                           GroupStateTimeout.EventTimeTimeout)
-                  .select(F.from_json("row", _TEXT).alias("row")).select("row.*")
+                  .select(F.from_json("row", _STEPS).alias("row")).select("row.*")
                   .withColumns({COHORT_KEY[0]: F.col(COHORT_KEY[0]).cast("date"),
                                 "timestamp": F.timestamp_micros("timestamp")}))
     plain = rows.where(F.col("kind").isin("predict", "done", "rejected")).withColumn("step", F.col("kind"))
-    return registered.unionByName(plain)
+    return registered.unionByName(plain, allowMissingColumns=True)
 
 
 def handle_batch(features: DataFrame, model: Model, params: CohortParams, paths: LoopPaths,

@@ -14,7 +14,7 @@ from cohortide.plans import scoring
 from cohortide.plans.cohort_queries import QUERIES
 from cohortide.plans.feature_build import store_features
 from cohortide.sources import files, messages as msg, tables
-from cohortide.streaming import routing, state
+from cohortide.streaming import loop, routing, state
 from cohortide.streaming.loop import LoopPaths, remember, start_loop
 from micro import PARAMS, frame, random_events
 
@@ -264,6 +264,72 @@ def test_an_id_goes_through_the_registry_as_one_column():
     assert held.millis == 8
 
 
+def test_ids_of_a_group_are_served_together_and_forgotten_one_by_one():
+    class Held:
+        hasTimedOut, exists, watermark, writes = False, False, 0, 0
+
+        def update(self, value):
+            self.get, self.exists, self.writes = value, True, self.writes + 1
+
+        def remove(self):
+            self.exists = False
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+        def setTimeoutTimestamp(self, millis):
+            assert millis > self.watermark
+            self.millis = millis
+
+    def send(ident, kind, millis, country="Cyprus"):
+        cohort = dict(zip(COHORT_KEY, ("2018-07-01", "cpc", "IOS", country))) if kind == "request" else {}
+        return json.dumps({"id": ident, "kind": kind, "partition": 0, "offset": millis, "timestamp": millis,
+                           "millis": millis} | cohort)
+
+    def serve(*texts):
+        frames = iter([pd.DataFrame({"row": [text]}) for text in texts])
+        return [(row["step"], row["id"], row.get("country")) for frame in remember()((3,), frames, held)
+                for row in map(json.loads, frame["row"])]
+
+    held = Held()
+    got = serve(send("a", "request", 5), send("a", "predict", 6), send("b", "request", 7, "Nowhere"),
+                send("b", "request", 9), send("c", "predict", 8))
+    assert sorted(got, key=str) == [("announce", "a", None), ("announce", "b", None), ("announce", "b", None),
+                                    ("score", "a", "Cyprus"), ("score", "c", None)]
+    assert held.millis == 6 and held.writes == 1
+    assert serve(send("b", "predict", 12)) == [("score", "b", "Nowhere"), ("score", "b", "Cyprus")]
+    assert serve(send("c", "predict", 30)) == [("score", "c", None)] and held.writes == 2
+    held.watermark = 8  # "a" was last heard of at 6
+    assert serve(send("b", "predict", 14), send("a", "request", 20, "Malta")) == [
+        ("score", "b", "Nowhere"), ("score", "b", "Cyprus"), ("announce", "a", None)]
+    held.watermark, held.hasTimedOut = 15, True
+    assert serve() == [] and held.exists and held.millis == 20
+    held.hasTimedOut = False
+    assert serve(send("a", "predict", 20), send("b", "predict", 21)) == [
+        ("score", "a", "Cyprus"), ("score", "a", "Malta"), ("score", "b", None)]
+    held.watermark, held.hasTimedOut = 21, True
+    assert serve() == [] and not held.exists
+
+
+def test_many_ids_share_few_groups(spark, fitted, tmp_path, monkeypatch):
+    monkeypatch.setattr(loop, "GROUPS", 4)
+    _, wide, model = fitted
+    cohorts = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").limit(3).collect()
+    source, root = str(tmp_path / "messages"), str(tmp_path)
+    batch(spark, [ask(f"r{i}", cohorts[i % 3]) for i in range(60)]).write.json(f"{source}/a")
+    first = run_loop(spark, fitted, source, root)
+    assert sum(s["numRowsTotal"] for s in first.lastProgress["stateOperators"]) == 4
+    batch(spark, [json.dumps({"bucket_folder_id": f"r{i}"}) for i in range(80)]).write.json(f"{source}/b")
+    run_loop(spark, fitted, source, root)  # a restart: the registry is read from the checkpoint
+    answers = [json.loads(r.value) for r in spark.read.json(f"{root}/out").collect()]
+    one = {tuple(r[c] for c in COHORT_KEY): r.prediction
+           for r in scoring.score_cohorts(wide, model, PARAMS).collect()}
+    assert sorted(m["bucket_folder_id"] for m in answers if "data_id" not in m) == sorted(f"r{i}" for i in range(60))
+    assert {m["data_id"]: m["predicted_ltv"] for m in answers if "data_id" in m} == {
+        f"r{i}": one[tuple(cohorts[i % 3])] if i < 60 else None for i in range(80)}
+    assert len(answers) == 140
+
+
 def test_unanswered_ids_expire(spark, fitted, tmp_path):
     _, wide, _ = fitted
     cohort = wide.select(*COHORT_KEY).where("country <> 'Rest of the World'").first()
