@@ -81,13 +81,13 @@ def _request_text(ident: Column) -> Column:
     return F.to_json(F.struct(data.alias("input_data"), ident.alias("request_id")))
 
 
-def request_message(requests: DataFrame) -> DataFrame:
-    """Requests as ``value`` texts. A request without an id gets one from its position in the topic,
-    where it has a position, else a random one."""
+def request_message(requests: DataFrame, *keep: str) -> DataFrame:
+    """Requests as ``value`` texts, beside the columns to keep. A request without an id gets one from its
+    position in the topic, where it has a position, else a random one."""
     position = [c for c in ("topic", "partition", "offset") if c in requests.columns]
     fresh = position_id(*position) if len(position) == 3 else F.uuid()
     ident = F.coalesce("request_id", fresh)
-    return requests.select(_request_text(ident).alias("value"))
+    return requests.select(_request_text(ident).alias("value"), *keep)
 
 
 def predict_message(ids: DataFrame, column: str = "request_id") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import pandas as pd
 import pytest
 
+from checks import registry
 from cohortide.models import estimators as est
 from cohortide.models.prepare import vectors
 from cohortide.operators.features import fused_features
@@ -60,6 +61,15 @@ def test_messages_round_trip(spark):
     assert len(json.loads(routing.request_message(fresh).collect()[0].value)["request_id"]) == 36
 
 
+def test_positions_of_requests_do_not_depend_on_partitions(spark, tmp_path):
+    # By partition they would be hours apart, and ids are kept for a time.
+    one = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{one}/customer.parquet").repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{one}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    got = sorted(map(tuple, registry.request_messages(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, registry.request_messages(spark, one).collect())) and len(got) > 100
+
+
 def test_state_keeps_the_last_value_of_each_field_and_survives_a_replay(spark, tmp_path):
     root = str(tmp_path / "state")
     first = batch(spark, ['{"bucket_folder_id": "x"}', '{"data_id": "x", "predicted_ltv": 1.0}',
